@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import mixing, packing, quality, sharding
+from trailweave.llm import minhash, mixing, packing, quality, sharding
 from trailweave.llm.common import table
 
 
@@ -37,9 +37,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.content_rules(documents, *quality.trained(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
+    "op10_minhash": op10_minhash,
 }
