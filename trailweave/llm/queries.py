@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import minhash, mixing, packing, quality, sharding
-from trailweave.llm.common import table
+from trailweave.llm import lines, minhash, mixing, packing, quality, sharding
+from trailweave.llm.common import table, utf8_crc32
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("_td_lines").cast("long").alias("n_lines"), F.col("_td_exact").alias("n_exact"), F.col("_td_near").alias("n_near"), utf8_crc32().alias("kept_crc32"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = lambda n: sharding.Tree((1.0,) * n)
     rows = sharding.shards(table(spark, sf_dir, "documents"), tree(sharding.SHARDS), tree(sharding.SHARDS + 1))
@@ -44,6 +49,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_lines": op3_lines,
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
     "op10_minhash": op10_minhash,
