@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import lines, minhash, mixing, packing, quality, sharding
+from trailweave.llm import lines, minhash, mixing, packing, quality, sharding, suffix_tree
 from trailweave.llm.common import table, utf8_crc32
 
 
@@ -42,6 +42,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.content_rules(documents, *quality.trained(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = suffix_tree.scores(documents, documents.where(~suffix_tree.held_out()))
+    return rows.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lines": op3_lines,
     "op5_sharding": op5_sharding,
     "op7_quality": op7_quality,
+    "op9_scores": op9_scores,
     "op10_minhash": op10_minhash,
 }
