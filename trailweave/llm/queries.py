@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import lines, minhash, mixing, packing, quality, sharding, suffix_tree
-from trailweave.llm.common import table, utf8_crc32
+from trailweave.llm import chat, lines, minhash, mixing, neighbours, packing, quality, sharding, substrings, suffix_tree
+from trailweave.llm.common import table, text_or_empty
 
 
 def tokenizer_path() -> str:
@@ -28,7 +28,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_td_lines").cast("long").alias("n_lines"), F.col("_td_exact").alias("n_exact"), F.col("_td_near").alias("n_near"), utf8_crc32().alias("kept_crc32"))
+    return rows.select("doc_id", F.col("_td_lines").cast("long").alias("n_lines"), F.col("_td_exact").alias("n_exact"), F.col("_td_near").alias("n_near"), F.md5(text_or_empty()).alias("kept_md5"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return rows.select("conv_id", "speaker", "part", "n_turns", F.md5("rendered").alias("rendered_md5"), spans.alias("spans"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +43,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.content_rules(documents, *quality.trained(documents, table(spark, sf_dir, "labels")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = suffix_tree.scores(documents, documents.where(~suffix_tree.held_out()))
@@ -56,8 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_lines": op3_lines,
+    "op4_chat": op4_chat,
     "op5_sharding": op5_sharding,
+    "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
+    "op8_substrings": op8_substrings,
     "op9_scores": op9_scores,
     "op10_minhash": op10_minhash,
 }
