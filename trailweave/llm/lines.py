@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import written
 
 MIN_WORDS, NEAR_WORDS = 5, 10
+#: Documents of which notes (some numbers each) may be sent to all executors; beyond, texts are shuffled.
+SENT_ROWS = 1_000_000
 
 _FIRST, _LAST, _GAP = 11, 13, 17  # fixed stand-ins for hashes of the line's ends and of the gap
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
 def _key(df_text: str = "text") -> Column:
@@ -42,41 +44,41 @@ def _key(df_text: str = "text") -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_key, line_no, words, line (the digest of the words) of each line with MIN_WORDS words or more."""
+    """doc_id, doc_key, line_no, words, line (128 bits of hashes of the words) of each line with MIN_WORDS words or more."""
     rows = documents.select("doc_id", _key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
     rows = rows.select("doc_id", "doc_key", "line_no", _words(F.col("_line")).alias("words")).where(F.size("words") >= MIN_WORDS)
-    return rows.withColumn("line", F.unhex(F.md5(F.array_join("words", " "))))
-
-
-def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no")
+    return rows.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(_FIRST), F.col("words")).alias("h2"))
 
 
 def _parts(n: Column, words: Column) -> Column:
-    """Hashes of the line's head and tail of k words, for its own k and that of a line one word shorter."""
+    """Hashes of the line's heads and tails of k words, for its own k and that of a line one word shorter."""
     power = lambda x: F.pow(F.lit(2), F.length(F.bin(F.floor(x / 2))) - 1).cast("int")
     found = []
     for k in (power(n), power(n - 1)):
-        found += [F.xxhash64(F.lit(0), k, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k))]
+        found += [F.struct(F.xxhash64(F.lit(0), k, F.slice(words, F.lit(1), k)).alias("part"), k.alias("head"), F.lit(0).alias("tail")), F.struct(F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k)).alias("part"), F.lit(0).alias("head"), k.alias("tail"))]
     return F.when(n >= NEAR_WORDS, F.array_distinct(F.array(*found)))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, line, place: the keys of each line's gapped forms; lines: line, words, place."""
-    hashed = lines.select("line", "place", F.concat(F.array(F.lit(_FIRST).cast("long")), F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(_LAST).cast("long"))).alias("h"))
+    """key, node: the keys of each line's gapped forms; lines: node, words, head, tail.
+
+    A line whose head of that many words is shared can have an edit after it, one whose tail is shared before it.
+    """
+    hashed = lines.select("node", "head", "tail", F.concat(F.array(F.lit(_FIRST).cast("long")), F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(_LAST).cast("long"))).alias("h"))
     n = F.size("h")
     pairs = hashed.select(
-        "line", "place", n.alias("n"), F.zip_with(F.slice("h", F.lit(1), n - 1), F.slice("h", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b)).alias("g"),
+        "node", "head", "tail", n.alias("n"), F.zip_with(F.slice("h", F.lit(1), n - 1), F.slice("h", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b)).alias("g"),
         F.transform("h", lambda a: F.xxhash64(a, F.lit(_GAP))).alias("a"), F.transform("h", lambda b: F.xxhash64(F.lit(_GAP), b)).alias("b"),
     )
-    whole = F.aggregate("g", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    pairs = pairs.withColumn("all", F.aggregate("g", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
     n = F.col("n")
     changed = F.arrays_zip(F.slice("g", F.lit(1), n - 2).alias("g"), F.slice("g", F.lit(2), n - 2).alias("g2"), F.slice("a", F.lit(1), n - 2).alias("a"), F.slice("b", F.lit(3), n - 2).alias("b"))
     added = F.arrays_zip(F.col("g"), F.slice("a", F.lit(1), n - 1).alias("a"), F.slice("b", F.lit(2), n - 1).alias("b"))
-    one = pairs.select("line", "place", n.alias("n"), whole.alias("all"), F.posexplode(changed).alias("at", "x"))
-    two = pairs.select("line", "place", (n + 1).alias("n"), whole.alias("all"), F.posexplode(added).alias("at", "x"))
-    key = lambda *parts: F.xxhash64("n", "at", _xor(F.col("all"), *map(F.col, parts)))
-    return one.select(key("x.g", "x.g2", "x.a", "x.b").alias("key"), "line", "place").union(two.select(key("x.g", "x.a", "x.b").alias("key"), "line", "place"))
+    able = ((F.col("head") > 0) & (F.col("at") >= F.col("head"))) | ((F.col("tail") > 0) & (F.col("at") < F.col("n") - 2 - F.col("tail") + F.col("more")))
+    one = pairs.select("node", "head", "tail", "n", "all", F.lit(0).alias("more"), F.posexplode(changed).alias("at", "x")).where(able)
+    two = pairs.select("node", "head", "tail", "n", "all", F.lit(1).alias("more"), F.posexplode(added).alias("at", "x")).where(able)
+    key = lambda *parts: F.xxhash64(F.col("n") + F.col("more"), "at", _xor(F.col("all"), *map(F.col, parts)))
+    return one.select(key("x.g", "x.g2", "x.a", "x.b").alias("key"), "node").union(two.select(key("x.g", "x.a", "x.b").alias("key"), "node"))
 
 
 def _xor(first: Column, *rest: Column) -> Column:
@@ -98,39 +100,54 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), changed).when(F.size(a) + 1 == F.size(b), left_out(a, b)).when(F.size(a) == F.size(b) + 1, left_out(b, a)).otherwise(False)
 
 
+def _sent(small: DataFrame, rows: int) -> DataFrame:
+    """small, sent to all executors if it has SENT_ROWS rows at most; else Spark joins it by a shuffle."""
+    return F.broadcast(small) if rows <= SENT_ROWS else small
+
+
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """doc_id, doc_key, line_no, near, of: the lines to drop of documents (doc_id, text), and the place of the earlier line."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    lines = _lines(documents)
-    marks = written(lines.select("doc_id", "doc_key", "line_no", "line", _parts(F.size("words"), F.col("words")).alias("parts")))
-    distinct = marks.groupBy("line").agg(F.min(_place()).alias("place"), F.min(F.struct(_place().alias("p"), "doc_key"))["doc_key"].alias("doc_key"), F.count(F.lit(1)).alias("times"), F.min("parts").alias("parts"))
-    distinct = written(distinct)
-    parts = distinct.select("line", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("part")
-    able = written(parts.join(shared, "part", "left_semi").select("line").distinct().join(distinct.select("line", "place", "doc_key"), "line"))
-    homes = able.select(F.col("place.doc_id").alias("doc_id"), F.col("doc_key").alias("_k")).distinct()
-    at_home = documents.join(homes, documents.doc_id.eqNullSafe(homes.doc_id) & (_key() == F.col("_k")), "left_semi")
-    near = written(_lines(at_home).select("line", "words").join(able.select("line", "place"), "line").dropDuplicates(["line"]))
+    marks = written(_lines(documents).select("doc_id", "doc_key", "line_no", "h1", "h2", _parts(F.size("words"), F.col("words")).alias("parts")))
+    earliest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no", "doc_key")).alias("place")
+    distinct = written(marks.groupBy("h1", "h2").agg(earliest, F.count(F.lit(1)).alias("times")))
+
+    # lines with a head or a tail in common with another line, and how long these are
+    parts = marks.select("h1", "h2", F.explode("parts").alias("p")).select("h1", "h2", "p.part", "p.head", "p.tail")
+    shared = parts.groupBy("part").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b")).where("_a <> _b").select("part")
+    able = parts.join(shared, "part", "left_semi").groupBy("h1", "h2").agg(F.min(F.when(F.col("head") > 0, F.col("head"))).alias("head"), F.min(F.when(F.col("tail") > 0, F.col("tail"))).alias("tail"))
+    able = able.join(distinct, ["h1", "h2"]).select("h1", "h2", "place", F.coalesce("head", F.lit(0)).alias("head"), F.coalesce("tail", F.lit(0)).alias("tail"))
+    # numbered in the order of their places
+    able = written(able.repartitionByRange("place").sortWithinPartitions("place").withColumn("node", F.monotonically_increasing_id()))
+    homes = able.groupBy(F.col("place.doc_id").alias("_d"), F.col("place.doc_key").alias("_k")).agg(F.collect_list(F.struct(F.col("place.line_no").alias("line_no"), "node", "head", "tail")).alias("wanted"))
+    homes = written(homes)
+    split = documents.select("doc_id", _key().alias("doc_key"), F.split("text", "\n").alias("split"))
+    at_home = split.join(_sent(homes, homes.count()), split.doc_id.eqNullSafe(F.col("_d")) & (F.col("doc_key") == F.col("_k")))
+    asked = at_home.select("split", F.explode("wanted").alias("w")).select("w.node", "w.head", "w.tail", _words(F.element_at("split", F.col("w.line_no") + 1)).alias("words"))
+    near = written(asked.dropDuplicates(["node"]))
 
     keys = written(_neighbourhood(near))
-    leads = keys.groupBy("key").agg(F.min(F.struct("place", "line")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.col("lead.line").alias("lead"))
-    pairs = keys.join(leads, "key").where("line <> lead").select("line", "lead").distinct()
-    one, two = near.select("line", F.col("words").alias("_a")), near.select(F.col("line").alias("lead"), F.col("words").alias("_b"), "place")
-    verified = pairs.join(one, "line").join(two, "lead").where(_one_edit(F.col("_a"), F.col("_b"))).groupBy("line").agg(F.min("place").alias("earlier"))
-
-    verdicts = distinct.select("line", "place", "times").join(verified, "line", "left").where("times > 1 or earlier is not null").select("line", "place", "earlier")
-    gone = marks.select("doc_id", "doc_key", "line_no", "line", _place().alias("_here")).join(verdicts, "line").where("earlier is not null or _here <> place")
+    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead <> _last").select("key", "lead")
+    pairs = keys.join(leads, "key").where("node <> lead").select("node", "lead").distinct()
+    one, two = near.select("node", F.col("words").alias("_a")), near.select(F.col("node").alias("lead"), F.col("words").alias("_b"))
+    verified = pairs.join(one, "node").join(two, "lead").where(_one_edit(F.col("_a"), F.col("_b"))).groupBy("node").agg(F.min("lead").alias("lead"))
+    places = able.select(F.col("node").alias("lead"), F.col("place").alias("earlier"))
+    verified = verified.join(able.select("node", "h1", "h2"), "node").join(places, "lead").select("h1", "h2", "earlier")
+
+    verdicts = distinct.join(verified, ["h1", "h2"], "left").where("times > 1 or earlier is not null").select("h1", "h2", "place", "earlier")
+    here = ~F.col("place.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("place.line_no") != F.col("line_no"))
+    gone = marks.drop("parts").join(verdicts, ["h1", "h2"]).where(F.col("earlier").isNotNull() | here)
     return gone.select("doc_id", "doc_key", "line_no", F.col("earlier").isNotNull().alias("near"), F.coalesce("earlier", "place").alias("of"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """documents with the later copies of lines taken out of text, all columns kept, and _td_lines, _td_exact, _td_near: counts of lines."""
-    by_document = dropped_lines(documents).groupBy(F.col("doc_id").alias("_td_id"), F.col("doc_key").alias("_td_key")).agg(
+    by_document = written(dropped_lines(documents).groupBy(F.col("doc_id").alias("_td_id"), F.col("doc_key").alias("_td_key")).agg(
         F.array_sort(F.collect_set("line_no")).alias("_td_gone"), F.count_distinct(F.when(~F.col("near"), F.col("line_no"))).alias("_td_exact"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("_td_near")
-    )
+    ))
     names = documents.columns
     split = documents.select(*[documents[c] for c in names if c != "text"], F.split("text", "\n").alias("_td_split"), F.col("doc_id").cast("long").alias("_td_of"), _key().alias("_td_mine"))
-    both = split.join(by_document, F.col("_td_of").eqNullSafe(F.col("_td_id")) & (F.col("_td_mine") == F.col("_td_key")), "left")
+    both = split.join(_sent(by_document, by_document.count()), F.col("_td_of").eqNullSafe(F.col("_td_id")) & (F.col("_td_mine") == F.col("_td_key")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_td_split") - 1), F.col("_td_gone"))
     text = F.when(F.col("_td_gone").isNull(), F.array_join("_td_split", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_td_split", i + 1)), "\n"))
     return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.size("_td_split").alias("_td_lines"), F.coalesce("_td_exact", F.lit(0)).alias("_td_exact"), F.coalesce("_td_near", F.lit(0)).alias("_td_near"))
