@@ -16,8 +16,7 @@ gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,53 +26,6 @@ from pyspark.sql import functions as F
 
 LENGTH, END = 1024, 0
 GROUP_DOCS, GROUP_CHARS, MAX_PADDING = 4096, 12_000_000, 16
-#: Distinct pieces of text whose ids a Python worker remembers.
-REMEMBERED = 300_000
-
-_BY_SPACE = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-class Encoder:
-    """ids of texts by a byte-level BPE file of the tokenizers library.
-
-    Its pre-tokenizer never joins across a space between two other characters, so a text may be encoded in
-    parts that begin at such spaces, and the parts' ids can be remembered.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(parts)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4")
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if _BY_SPACE.search(text):
-                parts = _CUT.split(text)
-            else:
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + x for x in rest]]
-            self._learn(set(parts))
-            known = self.known
-            yield np.concatenate([known[p] for p in parts])
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
 
 
 def first_fit(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -132,11 +84,11 @@ def packed_group(documents: list[np.ndarray], length: int = LENGTH, max_padding:
     return out
 
 
-def pack(documents: DataFrame, tokenizer_path: Callable[[], str], length: int = LENGTH, end: int = END, group_docs: int = GROUP_DOCS, group_chars: int = GROUP_CHARS, max_padding: int = MAX_PADDING, seed: int = 0) -> DataFrame:
+def pack(documents: DataFrame, tokens: Callable[[], object], length: int = LENGTH, end: int = END, group_docs: int = GROUP_DOCS, group_chars: int = GROUP_CHARS, max_padding: int = MAX_PADDING, seed: int = 0) -> DataFrame:
     """Pieces: doc_id, start, length, ids (their token ids), doc_tokens, sequence_id, offset of documents (doc_id, text).
 
-    tokenizer_path gives the tokenizer's file on the machine where it is called. Sequences are numbered by
-    group: group * 2^32 + number.
+    tokens() gives, on the machine where it is called, something whose ids(text) are token ids. Sequences are
+    numbered by group: group * 2^32 + number.
     """
     rows, chars = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     groups = max(1, -(-rows // group_docs), -(-chars // group_chars))
@@ -144,9 +96,8 @@ def pack(documents: DataFrame, tokenizer_path: Callable[[], str], length: int =
 
     def one_group(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
-        encode = encoder(tokenizer_path())
-        tail = np.array([end], "<u4")
-        ids = [np.concatenate([x, tail]) for x in encode([t or "" for t in rows["text"].to_pylist()])]
+        vocabulary, tail = tokens(), np.array([end], "<u4")
+        ids = [np.concatenate([vocabulary.ids(t or ""), tail]) for t in rows["text"].to_pylist()]
         pieces = packed_group(ids, length, max_padding)
         at = pa.array([p[0] for p in pieces], pa.int64())
         return pa.table({

@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import chat, lines, minhash, mixing, neighbours, packing, quality, sharding, substrings, suffix_tree
 from trailweave.llm.common import table, text_or_empty
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+from trailweave.llm.tokens import byte_bpe_50k
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), byte_bpe_50k)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -66,6 +61,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -77,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_scores": op9_scores,
     "op10_minhash": op10_minhash,
+    "pipeline": pipeline,
 }
