@@ -9,11 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.shipping import ship
+
 #: A word is a longest run of bytes other than these (ASCII white space). bytes.split() has the same notion.
 WHITE = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and it is computed once. The folder goes with the session."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/trailweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -32,6 +32,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{WHITE}]+")).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """sizes (source, source_size), one row a source: adds target. min(weight * level, most * size) with the one level whose sum is total.
 
@@ -64,8 +69,8 @@ def _size_class(size: Column) -> Column:
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, expected (copies), copies, taken (words) of each row of documents (doc_id, text, source)."""
-    sized = written(documents.select("doc_id", "source", n_words(text_or_empty()).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_tie")))
+    """doc_id, source, text_key, size, source_size, target, expected (copies), copies, taken (words) of each row of documents (doc_id, text, source)."""
+    sized = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key(F.col("text")).alias("text_key"), n_words(text_or_empty()).alias("size"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_tie")))
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     rows = sized.count()
     digits = 1
@@ -84,7 +89,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     rank = F.col("_start") + F.col("_row")
     crossed = F.floor(F.col("expected") * F.col("_rank") + F.col("_u")) - F.floor(F.col("expected") * (F.col("_rank") - 1) + F.col("_u"))
     return (
-        joined.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", expected.alias("expected"), rank.cast("double").alias("_rank"), offset.alias("_u"))
+        joined.select("d.doc_id", "d.source", "d.text_key", "d.size", "t.source_size", "t.target", expected.alias("expected"), rank.cast("double").alias("_rank"), offset.alias("_u"))
         .withColumn("copies", F.least(F.ceil("expected"), crossed).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop("_rank", "_u")
