@@ -31,6 +31,8 @@ from trailweave.llm.common import written
 MIN_WORDS, NEAR_WORDS = 5, 10
 #: Documents of which notes (some numbers each) may be sent to all executors; beyond, texts are shuffled.
 SENT_ROWS = 1_000_000
+#: A line is hot if it is more than this part of all lines.
+HOT_LINES = 10_000
 
 _FIRST, _LAST, _GAP = 11, 13, 17  # fixed stand-ins for hashes of the line's ends and of the gap
 
@@ -134,9 +136,15 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     places = able.select(F.col("node").alias("lead"), F.col("place").alias("earlier"))
     verified = verified.join(able.select("node", "h1", "h2"), "node").join(places, "lead").select("h1", "h2", "earlier")
 
-    verdicts = distinct.join(verified, ["h1", "h2"], "left").where("times > 1 or earlier is not null").select("h1", "h2", "place", "earlier")
+    verdicts = distinct.join(verified, ["h1", "h2"], "left").where("times > 1 or earlier is not null").select("h1", "h2", "place", "earlier", "times")
+    places = marks.drop("parts")
+    # at most HOT_LINES lines can have that many copies; their copies aren't gathered
+    many = max(1000, places.count() // HOT_LINES)
+    hot = F.broadcast(verdicts.where(F.col("times") > many))
+    cold = places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(verdicts.where(F.col("times") <= many), ["h1", "h2"])
+    gone = places.join(hot, ["h1", "h2"]).unionByName(cold)
     here = ~F.col("place.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("place.line_no") != F.col("line_no"))
-    gone = marks.drop("parts").join(verdicts, ["h1", "h2"]).where(F.col("earlier").isNotNull() | here)
+    gone = gone.where(F.col("earlier").isNotNull() | here)
     return gone.select("doc_id", "doc_key", "line_no", F.col("earlier").isNotNull().alias("near"), F.coalesce("earlier", "place").alias("of"))
 
 

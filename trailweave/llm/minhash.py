@@ -7,9 +7,11 @@ buckets; a pair of similarity s shares no bucket with the chance (1 - s^5)^50, a
 
 Documents of one shingle set form a class, which is one node. Candidates are verified on full sets:
 1. each member of a bucket against up to four leaders of it. Links make components.
-2. in buckets that still hold several components, every member outside the bucket's largest one against all
-   members of other components. Pairs inside one component need no test, so this loses no link that matters,
-   and a large group of copies, which step 1 joins, is never expanded into all its pairs.
+2. members of buckets that still hold several components, by their rarest shingles: of two similar sets a rare
+   shingle of the one is a rare one of the other. Where a rare shingle is shared by several components, every
+   holder outside the largest one is held against all holders of other components. Pairs inside one component
+   need no test, so no link that matters is lost, and neither a large group of copies, which step 1 joins, nor
+   texts around a passage that is frequent, are expanded into all their pairs.
 
 Cases: without words or text a document has no shingle and is its own component. Rows with a null doc_id are
 linked with nothing: component_id is null and kept is true. Repeated rows have equal answers. Rows that share
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import mixed, written
@@ -34,8 +36,10 @@ from trailweave.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 50, 5, 1 << 20
+#: Bits turned in a node's number for each of the four leaders of a bucket (fixed values).
+TURNS = (0, 0x5555555555555555, 0x3333333333333333, 0x7FFFFFFFFFFFFFFF)
 #: Words whose hashes a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _POWERS = mixed(np.arange(1, SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -93,8 +97,15 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, which bounds what a worker holds besides them."""
     for b in batches:
+        for i in range(0, len(b), 500):
+            yield b.slice(i, 500)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _some(batches):
         n, digests, keys = [], [], []
         for text in b.column("text").to_pylist():
             found = shingles(text or "")
@@ -105,25 +116,52 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _some(batches):
         found = [shingles(t or "") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in found], pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["digest", "items"])
 
 
-def _similar_sizes(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _rare_parts(sets: DataFrame) -> DataFrame:
+    """key, node: of each set its rarest shingles, so many that a similar set has one of its own rarest among them.
+
+    Of n shingles a similar set shares 0.75 n at least; so among the n - 0.75 n + 1 rarest of both there is a
+    common one. Texts that merely share a passage with many others have none: the passage is frequent.
+    """
+    items = sets.select("node", F.explode("items").alias("key"))
+    frequent = items.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    sized = items.join(frequent, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("found"))
+    n = F.size("found")
+    rare = sized.select("node", F.explode(F.slice("found", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))).alias("f"))
+    return rare.where("f.times > 1").select("f.key", "node")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose set sizes allow a link; each once, a < b."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = classes.select(F.col("node").alias("a"), F.col("n").alias("_na")), classes.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
+    return once.join(one, "a").join(two, "b").where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).select("a", "b")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of digests, those whose sets are similar."""
-    one, two = sets.select(F.col("digest").alias("a"), F.col("items").alias("_one")), sets.select(F.col("digest").alias("b"), F.col("items").alias("_two"))
+    """Of pairs (a, b) of nodes, those whose sets are similar."""
+    one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("_one")), sets.select(F.col("node").alias("b"), F.col("items").alias("_two"))
     common = F.size(F.array_intersect("_one", "_two"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("_common"), (F.size("_one") + F.size("_two")).alias("_sizes"))
     return both.where(100 * F.col("_common") >= PERCENT * (F.col("_sizes") - F.col("_common"))).select("a", "b")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _leaders(members: DataFrame) -> DataFrame:
+    """key, leader: up to four members of each bucket, the first ones by node number under four ways to turn its bits."""
+    turned = [F.min(F.col("node").bitwiseXOR(F.lit(bits))).bitwiseXOR(F.lit(bits)) for bits in TURNS]
+    return members.groupBy("key").agg(F.array(*turned).alias("found")).select("key", F.explode(F.array_distinct("found")).alias("leader"))
+
+
+def _several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of members (key, node), those of keys whose nodes are of several components; with label, and top, the key's largest component."""
+    labelled = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max_by("label", "_n").alias("top")).where("_parts > 1").select("key", "top")
+    return labelled.join(split, "key")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -131,35 +169,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(read.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>"))
     known = rows.where("doc_id is not null and n > 0")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    firsts = known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    members = firsts.select("digest", "n", F.explode("keys").alias("key"))
-    mixed_up = F.struct(F.xxhash64("digest").alias("h"), "digest", "n")
-    plain = F.struct("digest", "n")
-    leaders = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(plain).alias("l1"), F.max(plain).alias("l2"), F.min(mixed_up).alias("l3"), F.max(mixed_up).alias("l4")).where("_n > 1")
-    leaders = leaders.select(F.col("key"), F.array_distinct(F.array(*[F.struct(f"{k}.digest", f"{k}.n") for k in ("l1", "l2", "l3", "l4")])).alias("leaders"))
-    shared = written(members.join(leaders, "key"))  # the members of buckets with two or more
-    tried = shared.select(F.col("digest").alias("a"), F.col("n").alias("_n"), F.explode("leaders").alias("_l")).where(F.col("a") != F.col("_l.digest")).where(_similar_sizes(F.col("_n"), F.col("_l.n")))
-    pairs = written(_ordered(tried.select("a", F.col("_l.digest").alias("b"))))
-    wanted = shared.select("digest").distinct().join(firsts.select("digest", "doc_id"), "digest").select("doc_id").distinct()
-    sets = written(read.join(wanted, "doc_id").mapInArrow(_sets, "digest binary, items array<long>").dropDuplicates(["digest"]))
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    firsts = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
+    members = firsts.select("node", F.explode("keys").alias("key"))
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    shared = written(members.join(several, "key", "left_semi"))
+    tried = shared.join(_leaders(shared), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    pairs = written(_alike(tried, classes))
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(shared.select("node")).distinct()
+    wanted = written(paired.join(classes, "node").select("node", "digest", F.col("rep").alias("doc_id")))
+    texts = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = written(texts.mapInArrow(_sets, "digest binary, items array<long>").join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"]))
     links = written(_links(pairs, sets))
     labels = components(links)
 
-    labelled = shared.select("key", "digest", "n").join(labels, F.col("digest") == F.col("node"), "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
-    labelled = written(labelled)
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "label")).alias("_top")).where("_parts > 1").select("key", F.col("_top.label").alias("top"))
-    open_ = written(labelled.join(split, "key"))
-    u = open_.where("label <> top").select("key", F.col("digest").alias("a"), F.col("n").alias("_na"), F.col("label").alias("_la"))
-    v = open_.select("key", F.col("digest").alias("b"), F.col("n").alias("_nb"), F.col("label").alias("_lb"))
-    more = u.join(v, "key").where("_la <> _lb").where(_similar_sizes(F.col("_na"), F.col("_nb"))).select("a", "b")
-    more = _ordered(more).join(pairs, ["a", "b"], "left_anti")
+    # buckets, then rare shingles of their members, that several components share
+    undecided = _several_components(shared, labels).select("node").distinct()
+    open_ = written(_several_components(_rare_parts(sets.join(undecided, "node", "left_semi")), labels))
+    u = open_.where("label <> top").select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
+    v = open_.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
+    more = u.join(v, "key").where("_la <> _lb").select("a", "b")
+    more = written(_alike(more, classes).join(pairs, ["a", "b"], "left_anti"))
     found = written(_links(more, sets))
     if not found.isEmpty():
         labels = components(links.union(found))
 
-    least = labels.join(classes, F.col("node") == F.col("digest")).groupBy("label").agg(F.min("rep").alias("component_id"))
-    answers = classes.join(labels, F.col("node") == F.col("digest"), "left").join(least, "label", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
+    answers = classes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.drop("keys").join(answers, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,8 +7,8 @@ its place NEAREST), the RERANKED best of each block of a file are reranked by th
 original vectors, and the best of all blocks remain.
 
 Equal vectors are one class; it is indexed once and answers with its smallest vec_ids, so a vector that a third of
-all rows hold swells no file. A file is cut into blocks of BLOCK vectors, which are the tasks' units, so a
-frequent pivot doesn't either. The number of pivots grows with the square root of the number of rows, and so
+all rows hold swells no file. A file is cut into blocks of BLOCK vectors, and so are the queries that
+read it; a block of each is a task's unit, so a frequent pivot swells none. The number of pivots grows with the square root of the number of rows, and so
 does a file's length.
 
 Cases: vectors that are null or zero, or hold a null or non-finite component, take no part, as queries or as
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import written
 
 TOP, NEAREST, RERANKED, BLOCK = 20, 12, 400, 2048
-LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+LEAST_PIVOTS, MOST_PIVOTS = 64, 16384
 
 
 def n_pivots(rows: int) -> int:
@@ -99,10 +99,13 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
             yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("v"), b.column("q"), pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "v", "q", "nearest"])
 
     index = written(classes.mapInArrow(placed, "cls binary, v array<double>, q boolean, nearest array<int>"))
-    posts = index.select("cls", "v", "nearest", F.explode("nearest").alias("pivot"))
-    blocks = posts.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    posted = posts.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    asking = index.where("q").select("cls", "v", "nearest", F.explode("nearest").alias("pivot")).join(F.broadcast(blocks), "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posts = index.select("cls", "v", "q", "nearest", F.explode("nearest").alias("pivot"))
+    count = lambda c: F.greatest(F.ceil(F.count(c) / block), F.lit(1)).cast("int")
+    cut = F.broadcast(posts.groupBy("pivot").agg(count(F.lit(1)).alias("blocks"), count(F.when(F.col("q"), 1)).alias("parts")))  # a row a pivot
+    deal = lambda into: F.pmod(F.xxhash64("cls"), F.col(into)).cast("int")
+    every = lambda into: F.explode(F.sequence(F.lit(0), F.col(into) - 1))
+    posted = posts.join(cut, "pivot").withColumn("block", deal("blocks")).withColumn("part", every("parts"))
+    asking = posts.where("q").join(cut, "pivot").withColumn("part", deal("parts")).withColumn("block", every("blocks"))
     n_all = len(pivots)
 
     def one_block(key: tuple, asking: pa.Table, posted: pa.Table) -> pa.Table:
@@ -125,9 +128,9 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
                     out_s.append(score[best])
         return pa.table({"query": pa.array(out_q, pa.binary()), "cls": pa.array(out_c, pa.binary()), "score": pa.array(np.concatenate(out_s) if out_s else [], pa.float64())})
 
-    names = ["cls", "v", "nearest", "pivot", "block"]
+    names = ["cls", "v", "nearest", "pivot", "block", "part"]
     asking, posted = asking.select(*[F.col(n).alias(n) for n in names]), posted.select(*[F.col(n).alias(n) for n in names])
-    found = asking.groupBy("pivot", "block").cogroup(posted.groupBy("pivot", "block")).applyInArrow(one_block, "query binary, cls binary, score double")
+    found = asking.groupBy("pivot", "block", "part").cogroup(posted.groupBy("pivot", "block", "part")).applyInArrow(one_block, "query binary, cls binary, score double")
     # equal pairs of classes come from several files; the sum of products is taken once more, in one order, for all
     best = found.groupBy("query", "cls").agg(F.max("score").alias("near")).withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "cls"))).where(F.col("_n") <= top + 1 + 4)
     exact = best.select("query", "cls").join(index.select("cls", F.col("v").alias("cv")), "cls").join(index.select(F.col("cls").alias("query"), F.col("v").alias("qv")), "query")

@@ -1,9 +1,9 @@
 """Operator 8, substring dedup by content-defined chunks.
 
 A rolling gear hash runs over a text's bytes: h(i) = 2 h(i - 1) + gear(byte i), so that the last WINDOW bytes
-decide it. A chunk ends before a word if the hash of the bytes before the word is 0 in its lowest BITS bits; a
-chunk has 2^BITS words on average. As only the bytes just before a cut decide it, an insertion moves no cut
-but those next to it. Chunks of one digest (of their words, joined by single spaces) are copies. A document's
+decide it. A chunk ends before a word if the (mixed) hash of the bytes before the word is the least among those of
+the RADIUS words before and after; so a chunk has RADIUS + 1 words at least, and 2 RADIUS + 1 on average. As only
+the bytes around a cut decide it, an insertion moves no cut but those next to it. Chunks of one digest (of their words, joined by single spaces) are copies. A document's
 chunk goes if its digest occurs earlier (smaller doc_id, then place) and if it is in a run of such chunks with
 RUN_WORDS words or more: a long repeated passage, not a phrase that texts have in common by chance.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import mixed, written
 
-BITS, WINDOW, RUN_WORDS = 2, 32, 20
+RADIUS, WINDOW, RUN_WORDS = 2, 32, 20
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -39,16 +39,20 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunks(text: str, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, words) of each chunk; a chunk ends where the next one starts, the first starts at its first word."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     white = _WHITE[data]
     starts = np.flatnonzero(~white & np.r_[True, white[:-1]]) if len(data) else np.zeros(0, np.int64)
     if not len(starts):
         return starts, starts, starts
-    before = starts[1:] - 1
     # mixed, as the lowest bits of a gear hash depend on the last bytes alone
-    cut = np.flatnonzero(mixed(gear_hashes(data)[before]) & np.uint64((1 << bits) - 1) == 0) + 1
+    h = mixed(gear_hashes(data)[starts[1:] - 1])
+    least = np.ones(len(h), bool)
+    for d in range(1, radius + 1):
+        least[d:] &= h[d:] < h[:-d]
+        least[:-d] &= h[:-d] <= h[d:]
+    cut = np.flatnonzero(least) + 1
     first = np.r_[0, cut]
     return starts[first], np.r_[starts[cut], len(data)], np.diff(np.r_[first, len(starts)])
 

@@ -120,3 +120,57 @@ def gates(exits: DataFrame) -> DataFrame:
         return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "junction_id": found, "stage": range(len(found))})
 
     return exits.groupBy("workflow").applyInPandas(cut, "workflow string, junction_id string, stage long")
+
+
+def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = 100_000) -> DataFrame:
+    """workflow, scenarios (a whole number as text; null if unmeasured): different sequences of external steps and end, counted without listing paths.
+
+    external: workflow, edge_id, steps, zero (a loop exit's steps if the loop wasn't iterated). Sets of places that
+    one sequence leads to are the states; above most_states of them the count is given up.
+    """
+
+    def count(key: tuple, rows: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"workflow": [], "scenarios": []})
+        m = _Map(rows)
+        words = {r.edge_id: (list(r.steps), list(r.zero)) for r in outside.itertuples()}
+
+        def said(edge: str, round_: bool) -> list[str]:
+            own, zero = words.get(edge, ([], []))
+            return own if round_ else own + zero
+
+        def after(edge: str) -> list[tuple[str, bool]]:
+            r = m.all[edge]
+            return [(e.edge_id, r.to_kind == "retry") for e in m.next(r)]
+
+        known: dict[frozenset, int] = {}
+
+        def total(places: frozenset) -> int:
+            """places: (edge, came round, steps of it said)."""
+            if places in known:
+                return known[places]
+            if len(known) > most_states:
+                raise OverflowError
+            ends, by_step, todo, seen = set(), {}, list(places), set(places)
+            while todo:
+                edge, round_, n = todo.pop()
+                steps = said(edge, round_)
+                if n < len(steps):
+                    by_step.setdefault(steps[n], set()).add((edge, round_, n + 1))
+                    continue
+                if m.all[edge].to_kind == "end":
+                    ends.add(m.all[edge].to_id)
+                for e, again in after(edge):
+                    if (e, again, 0) not in seen:
+                        seen.add((e, again, 0))
+                        todo.append((e, again, 0))
+            known[places] = len(ends) + sum(total(frozenset(p)) for p in by_step.values())
+            return known[places]
+
+        try:
+            n = str(total(frozenset({(START, False, 0)})))
+        except OverflowError:
+            n = None
+        return pd.DataFrame({"workflow": [key[0]], "scenarios": [n]})
+
+    return exits.groupBy("workflow").cogroup(external.groupBy("workflow")).applyInPandas(count, "workflow string, scenarios string")
