@@ -17,8 +17,7 @@ out or changed (from NEAR_WORDS words on; shorter lines are too easily near by c
 
 Cases: a null text stays null; lines without words and lines of fewer than MIN_WORDS words always stay. Rows
 with a null doc_id come last in the order. Repeated rows (one doc_id, one text) are one document: they keep the
-same lines. An empty table gives an empty result. Extra columns are kept, and never clash: columns of this
-module's own begin with "_td_".
+same lines. An empty table gives an empty result. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,14 +147,20 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return gone.select("doc_id", "doc_key", "line_no", F.col("earlier").isNotNull().alias("near"), F.coalesce("earlier", "place").alias("of"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """documents with the later copies of lines taken out of text, all columns kept, and _td_lines, _td_exact, _td_near: counts of lines."""
-    by_document = written(dropped_lines(documents).groupBy(F.col("doc_id").alias("_td_id"), F.col("doc_key").alias("_td_key")).agg(
-        F.array_sort(F.collect_set("line_no")).alias("_td_gone"), F.count_distinct(F.when(~F.col("near"), F.col("line_no"))).alias("_td_exact"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("_td_near")
+def deduped(documents: DataFrame) -> DataFrame:
+    """row (documents' own columns, with the later copies of lines taken out of text), n_lines, n_exact, n_near: counts of lines."""
+    by_document = written(dropped_lines(documents).groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(
+        F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_distinct(F.when(~F.col("near"), F.col("line_no"))).alias("n_exact"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("n_near")
     ))
-    names = documents.columns
-    split = documents.select(*[documents[c] for c in names if c != "text"], F.split("text", "\n").alias("_td_split"), F.col("doc_id").cast("long").alias("_td_of"), _key().alias("_td_mine"))
-    both = split.join(_sent(by_document, by_document.count()), F.col("_td_of").eqNullSafe(F.col("_td_id")) & (F.col("_td_mine") == F.col("_td_key")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_td_split") - 1), F.col("_td_gone"))
-    text = F.when(F.col("_td_gone").isNull(), F.array_join("_td_split", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_td_split", i + 1)), "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.size("_td_split").alias("_td_lines"), F.coalesce("_td_exact", F.lit(0)).alias("_td_exact"), F.coalesce("_td_near", F.lit(0)).alias("_td_near"))
+    # the other columns travel in a struct, so that none can clash
+    split = documents.select(F.struct(*documents.columns).alias("held"), F.split("text", "\n").alias("split"), F.col("doc_id").cast("long").alias("mine"), _key().alias("my_key"))
+    both = split.join(_sent(by_document, by_document.count()), F.col("mine").eqNullSafe(F.col("of_id")) & (F.col("my_key") == F.col("of_key")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("held.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("split", i + 1)), "\n"))
+    row = F.struct(*[text.alias(c) if c == "text" else F.col("held").getField(c).alias(c) for c in documents.columns])
+    return both.select(row.alias("row"), F.size("split").alias("n_lines"), F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """documents with the later copies of lines taken out of text; its columns and no others."""
+    return deduped(documents).select("row.*")

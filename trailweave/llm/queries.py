@@ -22,8 +22,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("_td_lines").cast("long").alias("n_lines"), F.col("_td_exact").alias("n_exact"), F.col("_td_near").alias("n_near"), F.md5(text_or_empty()).alias("kept_md5"))
+    rows = lines.deduped(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_exact", "n_near", F.md5(text_or_empty("row.text")).alias("kept_md5"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
