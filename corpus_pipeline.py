@@ -29,9 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of lines go; so do documents that held words and have none left."""
-    deduped = lines.dedup_lines(docs)
-    emptied = (F.col("_td_exact") + F.col("_td_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return deduped.where(~emptied | F.col("text").isNull()).select(*docs.columns)
+    rows, text = lines.deduped(docs), F.col("row.text")
+    emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~text.rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(~emptied | text.isNull()).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +48,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it. Rows of one doc_id, source and text stand in for each other."""
-    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_cp_id"), F.col("source").alias("_cp_source"), F.col("text_key").alias("_cp_key"))
-    taken = mixed.agg(F.sum("copies").cast("int").alias("_cp_n"), F.count(F.lit(1)).alias("_cp_rows")).where("_cp_n > 0")
-    taken = _sent(taken)
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("_cp_id")) & docs.source.eqNullSafe(F.col("_cp_source")) & (mixing.text_key(docs.text) == F.col("_cp_key"))
-    rows = docs.join(taken, same)
-    if not taken.where("_cp_rows > 1").isEmpty():
-        rows = rows.where("_cp_rows = 1").unionByName(rows.where("_cp_rows > 1").dropDuplicates(["_cp_id", "_cp_source", "_cp_key"]))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_cp_n"))).alias("_cp_i")).select(*docs.columns)
+    mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("text_key").alias("of_key"))
+    taken = _sent(mixed.agg(F.sum("copies").cast("int").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("src"), mixing.text_key(docs.text).alias("key"))
+    rows = keyed.join(taken, F.col("id").eqNullSafe(F.col("of_id")) & F.col("src").eqNullSafe(F.col("of_source")) & (F.col("key") == F.col("of_key")))
+    if not taken.where("rows > 1").isEmpty():
+        rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["of_id", "of_source", "of_key"]))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
