@@ -273,6 +273,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_without_clusters(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(20_000, 64)).astype("f4")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    queries = list(range(0, 20_000, 200))
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 200 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    score = v[queries] @ v.T
+    score[np.arange(len(queries)), queries] = -9
+    true = np.argsort(-score, axis=1)[:, :20]
+    assert all(len(got[q]) == 20 for q in queries)
+    assert sum(len(got[q] & set(t)) for q, t in zip(queries, true.tolist())) >= 0.9 * 20 * len(queries)
+
+
 # 7 quality
 
 

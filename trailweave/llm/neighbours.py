@@ -1,15 +1,18 @@
 """Operator 6, approximate nearest neighbours by a permutation index.
 
-PIVOTS vectors (those of the smallest hashes) are pivots. A vector is represented by its NEAREST nearest pivots
-in order, and posted in each of their inverted files. A query reads the files of its own nearest pivots; the
-candidates are ranked by Spearman's footrule between the two orders (a pivot that one order lacks counts as
-its place NEAREST), the RERANKED best of each block of a file are reranked by the inner product on the
-original vectors, and the best of all blocks remain.
+Some vectors (those of the smallest hashes) are pivots; their number grows with the square root of the number of
+rows. A vector is represented by its NEAREST nearest pivots and posted in each of their inverted files. A query
+orders all pivots from the nearest on, reads the files of the first of them, and takes every vector there by the
+inner product on the original vectors: no candidate of a file is left out.
+
+How many files are read is measured in each run, not fixed: SAMPLE queries are held against all vectors (one
+linear pass), and the least number is taken that holds a share AIMED of their true neighbours. Clustered vectors
+need few files. Vectors without any structure need about half of them at any size, so the work grows with the
+square of the rows there; no index of this kind does it with less at that recall.
 
 Equal vectors are one class; it is indexed once and answers with its smallest vec_ids, so a vector that a third of
-all rows hold swells no file. A file is cut into blocks of BLOCK vectors, and so are the queries that
-read it; a block of each is a task's unit, so a frequent pivot swells none. The number of pivots grows with the square root of the number of rows, and so
-does a file's length.
+all rows hold swells no file. Files of near pivots go into one bundle of about BLOCK vectors, a longer file is cut
+into blocks, and the queries that read a bundle are cut into parts; a bundle and a part are a task's unit.
 
 Cases: vectors that are null or zero, or hold a null or non-finite component, take no part, as queries or as
 candidates; neither do vectors whose number of components isn't the most frequent one, nor null vec_ids. Equal
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import written
 
-TOP, NEAREST, RERANKED, BLOCK = 20, 12, 400, 2048
+TOP, NEAREST, BLOCK = 20, 2, 8192
+SAMPLE, AIMED = 256, 0.95
 LEAST_PIVOTS, MOST_PIVOTS = 64, 16384
 
 
 def n_pivots(rows: int) -> int:
-    return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * math.isqrt(rows))))
+    return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(rows) // 2)))
 
 
 def _sound(vector: Column) -> Column:
@@ -55,20 +59,68 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarra
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1)
 
 
-def footrule(queries: np.ndarray, candidates: np.ndarray, pivots: int) -> np.ndarray:
-    """The footrule distance of each query's order to each candidate's."""
-    n = queries.shape[1]
-    place = np.full((len(queries), pivots), n, np.int16)
-    np.put_along_axis(place, queries, np.arange(n, dtype=np.int16)[None], 1)
-    # a shared pivot costs the difference of places; one that only one side has costs n - place on that side
-    cost = np.abs(place[:, :, None] - np.arange(n, dtype=np.int16)) - (n - place)[:, :, None]
-    total = np.full((len(queries), len(candidates)), n * (n + 1) // 2, np.int16)
-    for j in range(n):
-        total += cost[:, :, j][:, candidates[:, j]]
-    return total
-
-
-def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NEAREST, reranked: int = RERANKED, block: int = BLOCK) -> DataFrame:
+def best_of(held: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of each row: their values of held, and their scores."""
+    if scores.shape[1] > n:
+        some = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        held, scores = np.take_along_axis(held, some, 1), np.take_along_axis(scores, some, 1)
+    return held, scores
+
+
+def files_read(index: DataFrame, pivots: np.ndarray, width: int, top: int, sample: int = SAMPLE, aimed: float = AIMED) -> int:
+    """How many files of its nearest pivots a query must read for a share aimed of its true neighbours, measured on sample queries."""
+    taken = index.where("q").orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(sample).select("cls", "v").toArrow()
+    if not len(taken):
+        return 1
+    asked = _matrix(taken["v"].combine_chunks(), width)
+    order = nearest_pivots(asked, pivots, len(pivots))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(pivots))[None], 1)
+    sent = index.sparkSession.sparkContext.broadcast((taken["cls"].to_pylist(), asked, place))
+
+    def held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked, place = sent.value
+        number = {c: i for i, c in enumerate(names)}
+        at, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for b in batches:
+            if not len(b):
+                continue
+            score = asked @ _matrix(b.column("v"), width).T
+            own = np.array(b.column("nearest").to_pylist())
+            for j, c in enumerate(b.column("cls").to_pylist()):
+                if c in number:
+                    score[number[c], j] = -np.inf
+            first = place[:, own].min(2)
+            at, best = best_of(np.hstack([at, first]), np.hstack([best, score]), top)
+        who = np.repeat(np.arange(len(names)), at.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(at.ravel()), pa.array(best.ravel())], ["who", "at", "score"])
+
+    found = index.select("cls", "v", "nearest").mapInArrow(held_against, "who long, at long, score double").where(F.col("score") > float("-inf"))
+    true = found.withColumn("_n", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("score")))).where(F.col("_n") <= top)
+    at = np.sort(true.select("at").toArrow()["at"].to_numpy())
+    return int(at[math.ceil(aimed * len(at)) - 1]) + 1 if len(at) else 1
+
+
+def bundles(pivots: np.ndarray, sizes: dict[int, int], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bundle of each pivot's file, and the number of its blocks, each a bundle then; near pivots share one."""
+    seeds = pivots[: max(1, math.isqrt(len(pivots)))]
+    first, blocks = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+    at, room = -1, 0
+    for p in np.argsort(np.argmax(pivots @ seeds.T, axis=1), kind="stable"):
+        size = sizes.get(int(p), 0)
+        if size > block:
+            blocks[p] = -(-size // block)
+            first[p] = at + 1
+            at, room = at + int(blocks[p]), 0
+            continue
+        if size > room:
+            at, room = at + 1, block
+        first[p] = max(at, 0)
+        room -= size
+    return first, blocks
+
+
+def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NEAREST, block: int = BLOCK, aimed: float = AIMED) -> DataFrame:
     """query_id, rank, vec_id, score: the top candidates found for each query; vectors: vec_id, embedding."""
     spark = vectors.sparkSession
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & _sound(F.col("embedding")))
@@ -99,38 +151,66 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
             yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("v"), b.column("q"), pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "v", "q", "nearest"])
 
     index = written(classes.mapInArrow(placed, "cls binary, v array<double>, q boolean, nearest array<int>"))
-    posts = index.select("cls", "v", "q", "nearest", F.explode("nearest").alias("pivot"))
-    count = lambda c: F.greatest(F.ceil(F.count(c) / block), F.lit(1)).cast("int")
-    cut = F.broadcast(posts.groupBy("pivot").agg(count(F.lit(1)).alias("blocks"), count(F.when(F.col("q"), 1)).alias("parts")))  # a row a pivot
-    deal = lambda into: F.pmod(F.xxhash64("cls"), F.col(into)).cast("int")
-    every = lambda into: F.explode(F.sequence(F.lit(0), F.col(into) - 1))
-    posted = posts.join(cut, "pivot").withColumn("block", deal("blocks")).withColumn("part", every("parts"))
-    asking = posts.where("q").join(cut, "pivot").withColumn("part", deal("parts")).withColumn("block", every("blocks"))
-    n_all = len(pivots)
+    reads = files_read(index, pivots, width, top, aimed=aimed)
+    sizes = {r.pivot: r["count"] for r in index.select(F.explode("nearest").alias("pivot")).groupBy("pivot").count().collect()}  # a row a pivot
+    first, blocks = bundles(pivots, sizes, block)
+    parts = max(1, math.ceil(classes.where("q").count() / block))
+    small = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    sent = spark.sparkContext.broadcast((pivots, first, blocks))
+
+    def asked_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, first, blocks = sent.value
+        for b in batches:
+            if not len(b):
+                continue
+            order = nearest_pivots(_matrix(b.column("v"), width), pivots, min(reads, len(pivots)))
+            rows, wanted = [], []
+            for i, own in enumerate(order):
+                by: dict[int, list[int]] = {}
+                for p in own.tolist():
+                    for k in range(int(first[p]), int(first[p] + blocks[p])):
+                        by.setdefault(k, []).append(p)
+                rows += [i] * len(by)
+                wanted += by.items()
+            took = b.select(["cls", "small", "part"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array([k for k, _ in wanted], pa.int64()), pa.array([w for _, w in wanted], pa.list_(pa.int32()))], ["cls", "v", "part", "bundle", "wanted"])
+
+    deal = lambda into: F.pmod(F.xxhash64("cls"), into).cast("int")
+    asking = index.where("q").select("cls", "v", F.col("v").cast(f"array<{small}>").alias("small"), deal(F.lit(parts)).alias("part"))
+    asking = asking.mapInArrow(asked_files, f"cls binary, v array<{small}>, part int, bundle long, wanted array<int>")
+    # a row a pivot
+    cut = F.broadcast(spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, blocks))], "pivot int, first long, blocks int"))
+    posted = index.select("cls", F.col("v").cast(f"array<{small}>").alias("v"), F.explode("nearest").alias("pivot")).join(cut, "pivot")
+    posted = posted.select("cls", "v", "pivot", (F.col("first") + deal(F.col("blocks"))).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    several = (top + 1) * near
 
     def one_block(key: tuple, asking: pa.Table, posted: pa.Table) -> pa.Table:
         q, c = asking["cls"].to_pylist(), posted["cls"].to_pylist()
         out_q, out_c, out_s = [], [], []
         if q and c:
             qv, cv = _matrix(asking["v"].combine_chunks(), width), _matrix(posted["v"].combine_chunks(), width)
-            qn, cn = (np.array(t["nearest"].to_pylist()) for t in (asking, posted))
-            for i in range(0, len(q), 64):
-                far = footrule(qn[i : i + 64], cn, n_all)
-                if len(c) > reranked:
-                    kept = np.argpartition(far, reranked - 1, axis=1)[:, :reranked]
-                else:
-                    kept = np.broadcast_to(np.arange(len(c)), far.shape)
-                for k, columns in enumerate(kept):
-                    score = cv[columns] @ qv[i + k]
-                    best = np.argsort(-score, kind="stable")[: top + 1]
-                    out_q += [q[i + k]] * len(best)
-                    out_c += [c[x] for x in columns[best]]
-                    out_s.append(score[best])
-        return pa.table({"query": pa.array(out_q, pa.binary()), "cls": pa.array(out_c, pa.binary()), "score": pa.array(np.concatenate(out_s) if out_s else [], pa.float64())})
-
-    names = ["cls", "v", "nearest", "pivot", "block", "part"]
-    asking, posted = asking.select(*[F.col(n).alias(n) for n in names]), posted.select(*[F.col(n).alias(n) for n in names])
-    found = asking.groupBy("pivot", "block", "part").cogroup(posted.groupBy("pivot", "block", "part")).applyInArrow(one_block, "query binary, cls binary, score double")
+            wanted = asking["wanted"].combine_chunks()
+            asker = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
+            asked, own = wanted.flatten().to_numpy(), posted["pivot"].to_numpy()
+            at, best = np.zeros((len(q), several), np.int64), np.full((len(q), several), -np.inf)
+            for p in np.unique(own):
+                columns, rows = np.flatnonzero(own == p), asker[asked == p]
+                for i in range(0, len(rows), 512):
+                    some = rows[i : i + 512]
+                    score = qv[some] @ cv[columns].T
+                    here, score = best_of(np.broadcast_to(columns, score.shape), score, several)
+                    at[some], best[some] = best_of(np.hstack([at[some], here]), np.hstack([best[some], score]), several)
+            for i in range(len(q)):
+                names: dict[bytes, float] = {}  # a vector may stand in several files of a bundle
+                for j in np.argsort(-best[i], kind="stable"):
+                    if best[i, j] > -np.inf and len(names) <= top:
+                        names.setdefault(c[at[i, j]], best[i, j])
+                out_q += [q[i]] * len(names)
+                out_c += names
+                out_s += names.values()
+        return pa.table({"query": pa.array(out_q, pa.binary()), "cls": pa.array(out_c, pa.binary()), "score": pa.array(out_s, pa.float64())})
+
+    found = asking.groupBy("bundle", "part").cogroup(posted.groupBy("bundle", "part")).applyInArrow(one_block, "query binary, cls binary, score double")
     # equal pairs of classes come from several files; the sum of products is taken once more, in one order, for all
     best = found.groupBy("query", "cls").agg(F.max("score").alias("near")).withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "cls"))).where(F.col("_n") <= top + 1 + 4)
     exact = best.select("query", "cls").join(index.select("cls", F.col("v").alias("cv")), "cls").join(index.select(F.col("cls").alias("query"), F.col("v").alias("qv")), "query")
