@@ -195,6 +195,16 @@ def test_lines_against_brute_force(table, request):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, ((r.doc_id, None if r.text is None else want[(r.doc_id, r.text)]) for r in before)))
 
 
+def test_lines_of_permuted_and_doubled_cells(spark):
+    rows = ["| a | b | c | d | e |", "| b | a | c | d | e |", "| b | a | c | d | f |", "| 5 | 5 | c | d | e |", "| 0 | 0 | c | d | e |", "| 0 | 0 | c | d | g |", "| 0 | 0 | d | c | g |"]
+    rng = np.random.default_rng(10)
+    rows += ["| " + " | ".join(rng.choice(list("abc"), rng.integers(5, 8))) + " |" for _ in range(300)]
+    docs = spark.createDataFrame([(i, text, "s", None) for i, text in enumerate(rows)], DOCS)
+    want = plain_lines(list(enumerate(rows)))
+    assert want[(2, rows[2])] == "" == want[(5, rows[5])]
+    assert {(r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()} == {(i, want[(i, text)]) for i, text in enumerate(rows)}
+
+
 def test_lines_of_an_empty_table(none):
     assert lines.dedup_lines(none).count() == 0
 

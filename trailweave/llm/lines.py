@@ -11,8 +11,9 @@ out or changed (from NEAR_WORDS words on; shorter lines are too easily near by c
 3. Those emit their deletion neighbourhood as hashed keys: the line with a gap in place of each word, and with a
    gap between any two. Lines of one key are within one edit of each other, all of them; hence each is joined
    with the key's earliest line alone, and a key that thousands of lines share makes thousands of rows, not
-   millions. A gapped line's hash is the exclusive or of its neighbouring pairs' hashes, so a line's keys take
-   time in proportion to its words.
+   millions. A key is a hash of the gap's place, the length, and two sums: of the words before the gap, each
+   hashed with its place from the start, and of those after it, each with its place from the end. So texts of
+   other words or of another order share no key, and a line of n words takes n log n steps for all its keys.
 4. Each joined pair's edit distance is verified on the words.
 
 Cases: a null text stays null; lines without words and lines of fewer than MIN_WORDS words always stay. Rows
@@ -33,7 +34,7 @@ SENT_ROWS = 1_000_000
 #: A line is hot if it is more than this part of all lines.
 HOT_LINES = 10_000
 
-_FIRST, _LAST, _GAP = 11, 13, 17  # fixed stand-ins for hashes of the line's ends and of the gap
+_FIRST, _LAST = 11, 13  # seeds of hashes with a place from the start and from the end
 
 
 def _words(line: Column) -> Column:
@@ -65,27 +66,27 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
 
     A line whose head of that many words is shared can have an edit after it, one whose tail is shared before it.
     """
-    hashed = lines.select("node", "head", "tail", F.concat(F.array(F.lit(_FIRST).cast("long")), F.transform("words", lambda w: F.xxhash64(w)), F.array(F.lit(_LAST).cast("long"))).alias("h"))
-    n = F.size("h")
-    pairs = hashed.select(
-        "node", "head", "tail", n.alias("n"), F.zip_with(F.slice("h", F.lit(1), n - 1), F.slice("h", F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b)).alias("g"),
-        F.transform("h", lambda a: F.xxhash64(a, F.lit(_GAP))).alias("a"), F.transform("h", lambda b: F.xxhash64(F.lit(_GAP), b)).alias("b"),
-    )
-    pairs = pairs.withColumn("all", F.aggregate("g", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
+    hashed = lines.select("node", "head", "tail", F.size("words").alias("n"), F.transform("words", lambda w, i: F.xxhash64(F.lit(_FIRST), i, w)).alias("a"), F.transform(F.reverse("words"), lambda w, i: F.xxhash64(F.lit(_LAST), i, w)).alias("b"))
+    none = F.array(F.lit(0).cast("long"))
+    both = hashed.select("node", "head", "tail", "n", F.concat(none, _scan("a")).alias("a"), F.reverse(F.concat(none, _scan("b"))).alias("b"))
     n = F.col("n")
-    changed = F.arrays_zip(F.slice("g", F.lit(1), n - 2).alias("g"), F.slice("g", F.lit(2), n - 2).alias("g2"), F.slice("a", F.lit(1), n - 2).alias("a"), F.slice("b", F.lit(3), n - 2).alias("b"))
-    added = F.arrays_zip(F.col("g"), F.slice("a", F.lit(1), n - 1).alias("a"), F.slice("b", F.lit(2), n - 1).alias("b"))
-    able = ((F.col("head") > 0) & (F.col("at") >= F.col("head"))) | ((F.col("tail") > 0) & (F.col("at") < F.col("n") - 2 - F.col("tail") + F.col("more")))
-    one = pairs.select("node", "head", "tail", "n", "all", F.lit(0).alias("more"), F.posexplode(changed).alias("at", "x")).where(able)
-    two = pairs.select("node", "head", "tail", "n", "all", F.lit(1).alias("more"), F.posexplode(added).alias("at", "x")).where(able)
-    key = lambda *parts: F.xxhash64(F.col("n") + F.col("more"), "at", _xor(F.col("all"), *map(F.col, parts)))
-    return one.select(key("x.g", "x.g2", "x.a", "x.b").alias("key"), "node").union(two.select(key("x.g", "x.a", "x.b").alias("key"), "node"))
-
-
-def _xor(first: Column, *rest: Column) -> Column:
-    for x in rest:
-        first = first.bitwiseXOR(x)
-    return first
+    changed, added = F.arrays_zip(F.slice("a", F.lit(1), n).alias("a"), F.slice("b", F.lit(2), n).alias("b")), F.arrays_zip("a", "b")
+    able = ((F.col("head") > 0) & (F.col("at") >= F.col("head"))) | ((F.col("tail") > 0) & (F.col("at") < n - F.col("tail") + F.col("more")))
+    one = both.select("node", "head", "tail", "n", F.lit(0).alias("more"), F.posexplode(changed).alias("at", "x")).where(able)
+    two = both.select("node", "head", "tail", "n", F.lit(1).alias("more"), F.posexplode(added).alias("at", "x")).where(able)
+    key = F.xxhash64(n + F.col("more"), "at", "x.a", "x.b").alias("key")
+    return one.select(key, "node").union(two.select(key, "node"))
+
+
+def _scan(column: str) -> Column:
+    """The exclusive or of each number of an array and all before it, in steps of 1, 2, 4 and so on."""
+    n = F.size(column)
+
+    def step(x: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(x, F.concat(F.array_repeat(F.lit(0).cast("long"), by), F.slice(x, F.lit(1), n - by)), lambda u, v: u.bitwiseXOR(v))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n - 1)) - 1), F.col(column), step)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
