@@ -76,6 +76,13 @@ def test_pipeline(spark, tmp_path):
         assert abs(took[s] - target) <= 2 * max(len(words_of(r[1])) for r in kept if r[2] == s)
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Read more\nHome\none two three four five six\nAbout us here now"), (2, "Read  more\nNews\none two three 4 five six\nAbout us here now"), (3, "Home\n\nNews\nfive words are enough here"), (4, "five words are not here\nRead more")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    # equal lines of any length go, near ones from five words on
+    assert got == {1: rows[0][1], 2: "News", 3: "\nfive words are enough here"}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -16,7 +16,7 @@ out or changed (from NEAR_WORDS words on; shorter lines are too easily near by c
    other words or of another order share no key, and a line of n words takes n log n steps for all its keys.
 4. Each joined pair's edit distance is verified on the words.
 
-Cases: a null text stays null; lines without words and lines of fewer than MIN_WORDS words always stay. Rows
+Cases: a null text stays null; lines without words always stay. Rows
 with a null doc_id come last in the order. Repeated rows (one doc_id, one text) are one document: they keep the
 same lines. An empty table gives an empty result. Extra columns are kept, whatever their names.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import written
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
 #: Documents of which notes (some numbers each) may be sent to all executors; beyond, texts are shuffled.
 SENT_ROWS = 1_000_000
 #: A line is hot if it is more than this part of all lines.
@@ -45,20 +45,20 @@ def _key(df_text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(df_text), F.lit("")), F.col(df_text).isNull())
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_key, line_no, words, line (128 bits of hashes of the words) of each line with MIN_WORDS words or more."""
+def _lines(documents: DataFrame, least: int) -> DataFrame:
+    """doc_id, doc_key, line_no, words, line (128 bits of hashes of the words) of each line with least words or more."""
     rows = documents.select("doc_id", _key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
-    rows = rows.select("doc_id", "doc_key", "line_no", _words(F.col("_line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    rows = rows.select("doc_id", "doc_key", "line_no", _words(F.col("_line")).alias("words")).where(F.size("words") >= least)
     return rows.select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(_FIRST), F.col("words")).alias("h2"))
 
 
-def _parts(n: Column, words: Column) -> Column:
+def _parts(n: Column, words: Column, near: int) -> Column:
     """Hashes of the line's heads and tails of k words, for its own k and that of a line one word shorter."""
     power = lambda x: F.pow(F.lit(2), F.length(F.bin(F.floor(x / 2))) - 1).cast("int")
     found = []
     for k in (power(n), power(n - 1)):
         found += [F.struct(F.xxhash64(F.lit(0), k, F.slice(words, F.lit(1), k)).alias("part"), k.alias("head"), F.lit(0).alias("tail")), F.struct(F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k)).alias("part"), F.lit(0).alias("head"), k.alias("tail"))]
-    return F.when(n >= NEAR_WORDS, F.array_distinct(F.array(*found)))
+    return F.when(n >= near, F.array_distinct(F.array(*found)))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -107,10 +107,10 @@ def _sent(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= SENT_ROWS else small
 
 
-def dropped_lines(documents: DataFrame) -> DataFrame:
+def dropped_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """doc_id, doc_key, line_no, near, of: the lines to drop of documents (doc_id, text), and the place of the earlier line."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    marks = written(_lines(documents).select("doc_id", "doc_key", "line_no", "h1", "h2", _parts(F.size("words"), F.col("words")).alias("parts")))
+    marks = written(_lines(documents, least).select("doc_id", "doc_key", "line_no", "h1", "h2", _parts(F.size("words"), F.col("words"), near).alias("parts")))
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no", "doc_key")).alias("place")
     distinct = written(marks.groupBy("h1", "h2").agg(earliest, F.count(F.lit(1)).alias("times")))
 
@@ -126,12 +126,12 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     split = documents.select("doc_id", _key().alias("doc_key"), F.split("text", "\n").alias("split"))
     at_home = split.join(_sent(homes, homes.count()), split.doc_id.eqNullSafe(F.col("_d")) & (F.col("doc_key") == F.col("_k")))
     asked = at_home.select("split", F.explode("wanted").alias("w")).select("w.node", "w.head", "w.tail", _words(F.element_at("split", F.col("w.line_no") + 1)).alias("words"))
-    near = written(asked.dropDuplicates(["node"]))
+    able_words = written(asked.dropDuplicates(["node"]))
 
-    keys = written(_neighbourhood(near))
+    keys = written(_neighbourhood(able_words))
     leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead <> _last").select("key", "lead")
     pairs = keys.join(leads, "key").where("node <> lead").select("node", "lead").distinct()
-    one, two = near.select("node", F.col("words").alias("_a")), near.select(F.col("node").alias("lead"), F.col("words").alias("_b"))
+    one, two = able_words.select("node", F.col("words").alias("_a")), able_words.select(F.col("node").alias("lead"), F.col("words").alias("_b"))
     verified = pairs.join(one, "node").join(two, "lead").where(_one_edit(F.col("_a"), F.col("_b"))).groupBy("node").agg(F.min("lead").alias("lead"))
     places = able.select(F.col("node").alias("lead"), F.col("place").alias("earlier"))
     verified = verified.join(able.select("node", "h1", "h2"), "node").join(places, "lead").select("h1", "h2", "earlier")
@@ -148,9 +148,9 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return gone.select("doc_id", "doc_key", "line_no", F.col("earlier").isNotNull().alias("near"), F.coalesce("earlier", "place").alias("of"))
 
 
-def deduped(documents: DataFrame) -> DataFrame:
+def deduped(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """row (documents' own columns, with the later copies of lines taken out of text), n_lines, n_exact, n_near: counts of lines."""
-    by_document = written(dropped_lines(documents).groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(
+    by_document = written(dropped_lines(documents, least, near).groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(
         F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_distinct(F.when(~F.col("near"), F.col("line_no"))).alias("n_exact"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("n_near")
     ))
     # the other columns travel in a struct, so that none can clash

@@ -22,7 +22,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.deduped(table(spark, sf_dir, "documents"))
+    rows = lines.deduped(table(spark, sf_dir, "documents"), least=5, near=10)  # the bounds of its SQL
     return rows.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_exact", "n_near", F.md5(text_or_empty("row.text")).alias("kept_md5"))
 
 
