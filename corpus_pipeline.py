@@ -35,15 +35,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays, once. Rows without doc_id stay."""
-    found = minhash.near_duplicates(docs)
-    ids = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
-    left = docs.join(_sent(ids.where("not kept").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    several = written(ids.where("kept and rows > 1").select("doc_id"))
-    if several.isEmpty():
-        return left
-    once = left.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """Of each group of near duplicates one text of the smallest doc_id stays, once. Rows without doc_id stay.
+
+    Rows of one doc_id are judged by their own text; if several near texts have the smallest one, that of the least key stays.
+    """
+    texts = minhash.answers(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"))
+    texts = written(texts.agg(F.bool_and("kept").alias("kept"), F.min("component").alias("component"), F.count(F.lit(1)).alias("rows")))
+    chosen = texts.where("kept and component is not null").groupBy("component").agg(F.min("of_key").alias("chosen"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    texts = texts.join(_sent(chosen), "component", "left").select("of_id", "of_key", "rows", (F.col("kept") & (F.col("chosen").isNull() | (F.col("of_key") == F.col("chosen")))).alias("kept"))
+    texts = written(texts)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of_id"), mixing.text_key(docs.text).alias("of_key"))
+    left = keyed.join(_sent(texts.where("not kept").select("of_id", "of_key")), ["of_id", "of_key"], "left_anti")
+    several = written(texts.where("kept and rows > 1").select("of_id", "of_key"))
+    if not several.isEmpty():
+        once = left.join(several, ["of_id", "of_key"], "left_semi").dropDuplicates(["of_id", "of_key"])
+        left = left.join(several, ["of_id", "of_key"], "left_anti").unionByName(once)
+    return left.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

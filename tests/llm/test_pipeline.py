@@ -83,6 +83,21 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "News", 3: "\nfive words are enough here"}
 
 
+def test_near_dedup_of_unlike_texts_of_one_doc_id(spark):
+    rng = np.random.default_rng(12)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    near = lambda text: " ".join([*text.split()[:-1], "changed"])
+    # doc_id 5: two unlike texts, one a near copy of an earlier document; 7: two near texts and a repeated row; 8: an unlike text and a copy of it
+    rows = [(1, a), (5, near(a)), (5, b), (7, c), (7, near(c)), (7, c), (8, d), (9, d), (9, near(b)), (None, a), (None, a), (3, ""), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "s", None) for i, t in rows], DOCS).withColumn("rows", F.lit(1)).withColumn("of_key", F.lit("x"))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    sevens = [k for k in kept if k[0] == 7]
+    assert len(sevens) == 1 and kept.pop(sevens[0]) == 1 and sevens[0][1] in (c, near(c))
+    assert kept == {(1, a): 1, (5, b): 1, (8, d): 1, (None, a): 2, (3, ""): 1, (3, None): 1}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import mixed, written
 from trailweave.llm.components import components
+from trailweave.llm.mixing import text_key
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 50, 5, 1 << 20
@@ -112,7 +113,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(found))
             digests.append(digest(found) if len(found) else None)
             keys.append(band_keys(signature(found)) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "digest", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +167,13 @@ def _several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of documents (doc_id, text)."""
-    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(read.mapInArrow(_signed, "doc_id long, n long, digest binary, keys array<long>"))
+    return answers(documents).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def answers(documents: DataFrame) -> DataFrame:
+    """near_duplicates with text_key and component: components of unlike texts differ even where their least doc_id is one."""
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    rows = written(read.mapInArrow(_signed, "doc_id long, text_key long, n long, digest binary, keys array<long>"))
     known = rows.where("doc_id is not null and n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     firsts = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
@@ -195,6 +201,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         labels = components(links.union(found))
 
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    answers = classes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.drop("keys").join(answers, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = classes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    out = rows.drop("keys").join(found, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
