@@ -421,6 +421,28 @@ def test_suffix_tree(spark, odd, none):
     assert suffix_tree.scores(docs.limit(2), none).count() == 2
 
 
+@pytest.mark.parametrize("sent_share", [0.0, 1e-3, 1.0])
+def test_scores_are_those_of_the_whole_tree(spark, sent_share):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(WORDS[:40], 50)) for _ in range(80)] + ["rare zq\x00 zq", "rare zq\x00 zx", "\x00" * 9, None]
+    docs = spark.createDataFrame([(i, t, "s", None) for i, t in enumerate(texts)], DOCS)
+    trains = F.col("doc_id") % 4 != 1
+    tree = suffix_tree.tree_of(docs.where(trains), depth=5)
+    want = [plain_score(tree, b" ".join(words_of(t)) + b"\n") for t in texts]
+    for training in (trains, docs.where(trains)):
+        got = {r.doc_id: r.score for r in suffix_tree.scores(docs, training, depth=5, sent_share=sent_share).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
+def test_pairs_stay_in_the_tree_at_any_size(spark):
+    # 20 million symbols would have called for four occurrences, not two
+    texts = spark.createDataFrame([("zq",), ("zq",), ("x y " * 1000,)], "text string").select("text", F.lit(True).alias("trains"))
+    many = texts.where("text = 'zq'").unionAll(texts.where("text <> 'zq'").select(F.repeat("text", F.lit(5000)).alias("text"), "trains"))
+    logs, symbols = suffix_tree.chances(many, depth=1)
+    assert symbols >= 19_000_000
+    assert {r.gram: r.log for r in logs.collect()}[int.from_bytes(b"zq", "big")] > -3
+
+
 # 10 near duplicates
 
 

@@ -53,7 +53,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    rows = suffix_tree.scores(documents, documents.where(~suffix_tree.held_out()))
+    rows = suffix_tree.scores(documents, ~suffix_tree.held_out())
     return rows.select("doc_id", suffix_tree.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -5,12 +5,13 @@ text stand ends only. A context is up to DEPTH symbols before the next one.
 
 Learning: all (DEPTH + 1)-grams of all training texts are counted, first in each task, then by a shuffle; counts
 of shorter contexts are sums of longer ones. A pair (context, next symbol) counts in the tree if it was seen
-often enough, as in any suffix tree: LEAST times, and a share LEAST_SHARE of all symbols, so that a level has
-at most 1 / LEAST_SHARE pairs and the tree a size that is proven before it is sent to the executors. The tree
-starts with the empty context; a longer one is retained if its parent (without its first symbol) is and its
+LEAST times, at any size of the corpus. The levels of the tree are tables that grow with it, each made from
+the one before by a join (see chances); they also hold the grams of the texts to score. The tree starts with the empty context; a longer one is retained if its parent (without its first symbol) is and its
 next symbols diverge from its parent's: count * KL divergence >= DIVERGENCE. A retained context's distribution
 is smoothed by its parent's, which weighs SMOOTHING times the number of its next symbols.
-Scoring: each symbol's probability comes from the longest retained suffix of what stands before it.
+Scoring: each symbol's probability comes from the longest retained suffix of what stands before it. Grams with at
+least a share SENT_SHARE of all symbols (at most 1 / SENT_SHARE of them) are sent to the executors with their
+probabilities; all others are joined by a shuffle.
 
 The base score counts words. Words with at least a share HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of
 them) are sent to the executors; all others are joined by a shuffle.
@@ -29,12 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import written
 
-DEPTH, LEAST, LEAST_SHARE, DIVERGENCE, SMOOTHING = 6, 2, 2e-7, 1.0, 20.0
+DEPTH, LEAST, DIVERGENCE, SMOOTHING = 6, 2, 1.0, 20.0
+SENT_SHARE = 2e-7
 HEAD_SHARE = 1e-6
 #: Distinct entries that a task gathers before it hands them on.
 GATHERED = 2_000_000
@@ -81,15 +83,18 @@ def _gram_counts(depth: int):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], ["gram", "n"])
 
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 2000):
-                keys, _ = grams([words_of(t) for t in texts[i : i + 2000]], depth)
-                held.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held) > GATHERED:
-                merged = _merged(held)
-                held[:] = [merged]
-                if len(merged[0]) > GATHERED:
-                    yield from out()
+            texts, trains = b.column("text").to_pylist(), b.column("trains").to_numpy(zero_copy_only=False).astype(bool)
+            for i in range(0, len(texts), 500):
+                keys, sizes = grams([words_of(t) for t in texts[i : i + 500]], depth)
+                trained = np.repeat(trains[i : i + 500], sizes)
+                held.append(np.unique(keys[trained], return_counts=True))
+                others = np.unique(keys[~trained])
+                held.append((others, np.zeros(len(others), np.int64)))
+                if sum(len(k) for k, _ in held) > GATHERED:
+                    merged = _merged(held)
+                    held[:] = [merged]
+                    if len(merged[0]) > GATHERED // 2:
+                        yield from out()
         if held:
             yield from out()
 
@@ -244,23 +249,63 @@ def learned(levels: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIV
     return SuffixTree(len(levels) - 1, join(pairs, np.uint64), np.log10(join(pair_chances, float)), join(contexts, np.uint64), join(context_logs, float), root)
 
 
-def tree_of(training: DataFrame, depth: int = DEPTH, least: int = LEAST, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> SuffixTree:
-    """The tree of training (text). Each level that comes to the driver has at most 1 / least_share rows."""
-    level = written(training.select("text").mapInArrow(_gram_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    symbols = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    enough = max(least, math.ceil(symbols * least_share))
+def tree_of(training: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> SuffixTree:
+    """The whole tree of training (text) in memory, for small corpora; scores() makes the same as tables."""
+    level = written(training.select("text", F.lit(True).alias("trains")).mapInArrow(_gram_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     levels = []
     for d in range(depth, -1, -1):
         if d < depth:
             level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
             level = written(level)
-        frequent = level.where(F.col("n") >= (enough if d else 1)).toArrow()
+        frequent = level.where(F.col("n") >= (least if d else 1)).toArrow()
         levels.append((frequent["gram"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
     return learned(levels[::-1], divergence, smoothing)
 
 
-def scores(documents: DataFrame, training: DataFrame, depth: int = DEPTH, head_share: float = HEAD_SHARE, **tree: float) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of documents (doc_id, text), learned from training (text)."""
+def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> tuple[DataFrame, int]:
+    """gram, n, log of all full grams of texts (text, trains): its count in the training texts, log10 of its probability; the symbols trained on.
+
+    A level's table has, of each pair (context, next symbol), the probability of the symbol after the longest
+    retained suffix of the context, and whether the context is retained itself. A longer pair's parent is the pair
+    without its first symbol, so a level needs one join with the one before and sums over each context's pairs.
+    """
+    full = written(texts.mapInArrow(_gram_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    levels = [full]
+    for d in range(depth - 1, -1, -1):
+        cut = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")
+        levels.append(written(levels[-1].groupBy(cut).agg(F.sum("n").alias("n"))))
+    levels.reverse()
+    symbols = {r.gram: r.n for r in levels[0].collect()}  # 256 rows at most
+    chance = np.full(256, 0.5)
+    for symbol, n in symbols.items():
+        chance[symbol] += n
+    chance /= chance.sum() * 257 / 256  # the 257th part is for no symbol
+    made = texts.sparkSession.createDataFrame([(i, float(x), True) for i, x in enumerate(chance)], "parent long, low double, held boolean")
+    if depth == 0:
+        return full.join(F.broadcast(made.withColumnRenamed("parent", "gram")), "gram").select("gram", "n", F.log10("low").alias("log")), sum(symbols.values())
+    for d in range(1, depth + 1):
+        pairs = levels[d].select("gram", "n", F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("parent"), F.shiftrightunsigned("gram", 8).alias("context"))
+        seen, over = F.when(F.col("n") >= least, F.col("n").cast("double")), Window.partitionBy("context")
+        rows = pairs.join(made.select("parent", "low", "held"), "parent").select("gram", "n", "context", "low", "held", seen.alias("seen"))
+        rows = rows.select("*", F.sum("seen").over(over).alias("total"), F.count("seen").over(over).alias("kinds"), F.sum(F.col("seen") * F.log(F.col("seen") / F.col("low"))).over(over).alias("sum"))
+        held = F.coalesce(F.col("held") & (F.col("sum") - F.col("total") * F.log("total") >= divergence), F.lit(False))
+        weight = smoothing * F.col("kinds")
+        value = (F.coalesce("seen", F.lit(0.0)) + weight * F.col("low")) / (F.col("total") + weight)
+        rows = rows.select("gram", "n", held.alias("held"), F.when(held, value).otherwise(F.col("low")).alias("low"))
+        made = written(rows).select(F.col("gram").alias("parent"), "n", "low", "held")
+    return made.select(F.col("parent").alias("gram"), "n", F.log10("low").alias("log")), sum(symbols.values())
+
+
+def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPTH, head_share: float = HEAD_SHARE, sent_share: float = SENT_SHARE, **tree: float) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of documents (doc_id, text).
+
+    Learned from training (text), or from those documents for which training, a condition, holds.
+    """
+    if isinstance(training, Column):
+        texts = documents.select("text", F.coalesce(training, F.lit(False)).alias("trains"))
+        training = documents.where(training)
+    else:
+        texts = documents.select("text", F.lit(False).alias("trains")).unionAll(training.select("text", F.lit(True).alias("trains")))
     spark = documents.sparkSession
     counts = written(training.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -272,23 +317,30 @@ def scores(documents: DataFrame, training: DataFrame, depth: int = DEPTH, head_s
         n = counts.where(F.col("word") == F.lit(b"\n")).first()
         known[b"\n"] = math.log10(n.n + 0.1) - whole
     unknown = -1.0 - whole
-    model = spark.sparkContext.broadcast((tree_of(training, depth, **tree), known))
+    logs_of, symbols = chances(texts, depth, **tree)
+    often = F.col("n") >= max(1, math.ceil(symbols * sent_share))
+    sent = logs_of.where(often).select("gram", "log").toArrow()
+    model = spark.sparkContext.broadcast((sent["gram"].to_numpy().view(np.uint64), sent["log"].to_numpy(), known))
     made: dict = {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        suffixes, logs = model.value
+        frequent, values_of, logs = model.value
         if "score" not in made:
-            made["score"] = suffixes.scorer()
+            made["score"] = Lookup(_tagged(frequent, depth), values_of)
         end = logs.get(b"\n")
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for i in range(0, len(texts), 500):
                 words = [words_of(t) for t in texts[i : i + 500]]
-                keys, sizes = grams(words, suffixes.depth)
-                total = np.add.reduceat(made["score"](keys), np.cumsum(sizes) - sizes)
+                keys, sizes = grams(words, depth)
+                value, found = made["score"](_tagged(keys, depth))
+                starts = np.cumsum(sizes) - sizes
+                total = np.add.reduceat(np.where(found, value, 0.0).astype(float), starts)
+                offsets = np.r_[0, np.cumsum(np.add.reduceat((~found).astype(np.int64), starts))]
+                others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[~found].view(np.int64)))
                 n, in_head, base, rare, times = [], [], [], [], []
                 for w in words:
                     values = list(map(logs.get, w))
@@ -302,17 +354,19 @@ def scores(documents: DataFrame, training: DataFrame, depth: int = DEPTH, head_s
                 rows = pa.array(range(row, row + len(words)), pa.int64())
                 row += len(words)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, ids[i : i + 500], pa.array(n, pa.int64()), pa.array(in_head, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "n_tokens", "in_head", "base", "score", "rare", "times"],
+                    [rows, ids[i : i + 500], pa.array(n, pa.int64()), pa.array(in_head, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), others],
+                    ["row", "doc_id", "n_tokens", "in_head", "base", "score", "rare", "times", "others"],
                 )
 
-    schema = "row long, doc_id long, n_tokens long, in_head long, base double, score double, rare array<binary>, times array<long>"
+    schema = "row long, doc_id long, n_tokens long, in_head long, base double, score double, rare array<binary>, times array<long>, others array<long>"
     scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     gains = rare.join(counts.where(F.col("n") < least), "word").groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("gain"), F.sum("times").alias("in_tail"))
-    return scored.drop("rare", "times").join(gains, "row", "left").select(
+    others = scored.select("row", F.explode("others").alias("gram")).join(logs_of.where(~often).select("gram", "log"), "gram")
+    rest = others.groupBy("row").agg(F.sum("log").alias("rest"))
+    return scored.drop("rare", "times", "others").join(gains, "row", "left").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("in_head") + F.coalesce("in_tail", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 
