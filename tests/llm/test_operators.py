@@ -119,6 +119,15 @@ def test_ids_equal_those_of_tokenizers(text):
     assert t.ids(text).tolist() == t.any.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids():
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(files.path("byte_bpe_50k.json")))
+    text = "a <|endoftext|> b"
+    assert byte_bpe_50k().ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids and len(byte_bpe_50k().ids(text)) == 4
+
+
 # 2 mixing
 
 

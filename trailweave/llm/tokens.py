@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Texts of these characters and of no longer words have equal ids in both libraries, and one is five times as fast.
+#: Texts of these characters, of no longer words and without added tokens have equal ids in both libraries, and one is five times as fast.
 _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-ɏ]*")
 _LONG_WORD = re.compile(r"[^\t\n\x20]{1000}")
 
@@ -21,13 +21,13 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.any = Tokenizer.from_file(json_path)
-        self.any.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.any.get_added_tokens_decoder().values()) or "(?!)")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not _LONG_WORD.search(text):
+        if _PLAIN.fullmatch(text) and not _LONG_WORD.search(text) and not self.added.search(text):
             return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
         return np.array(self.any.encode(text, add_special_tokens=False).ids, "<u4")
 
