@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import written
@@ -26,3 +26,20 @@ def components(links: DataFrame) -> DataFrame:
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of components() and further links (a, b) of nodes, with or without a label -> node, label with all of them.
+
+    Only the components that the new links touch are gone through again.
+    """
+    label = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+
+    def whole(side: str) -> Column:
+        return F.coalesce(f"{side}._l", f"links.{side}").alias(side)
+
+    ends = links.alias("links").join(label.alias("a"), F.col("links.a") == F.col("a._n"), "left").join(label.alias("b"), F.col("links.b") == F.col("b._n"), "left")
+    merged = components(ends.select(whole("a"), whole("b")))
+    now = merged.select(F.col("node").alias("_m"), F.col("label").alias("_now"))
+    known = labels.join(now, labels.label == now["_m"], "left").select("node", F.coalesce("_now", "label").alias("label"))
+    return written(known.union(merged.join(labels, "node", "left_anti")))

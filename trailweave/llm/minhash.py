@@ -7,11 +7,12 @@ buckets; a pair of similarity s shares no bucket with the chance (1 - s^5)^50, a
 
 Documents of one shingle set form a class, which is one node. Candidates are verified on full sets:
 1. each member of a bucket against up to four leaders of it. Links make components.
-2. members of buckets that still hold several components, by their rarest shingles: of two similar sets a rare
-   shingle of the one is a rare one of the other. Where a rare shingle is shared by several components, every
-   holder outside the largest one is held against all holders of other components. Pairs inside one component
-   need no test, so no link that matters is lost, and neither a large group of copies, which step 1 joins, nor
-   texts around a passage that is frequent, are expanded into all their pairs.
+2. members of buckets that still hold several components, against the buckets' most central members.
+3. what is still apart, by an exact join on rare shingles: of two similar sets the rarest common shingle stands
+   early in both, counted from the rarest one. So only these few are posted, by classes of sizes, and a pair comes
+   out only if the sizes and what lies behind the shingle in both sets leave room for the overlap that a link needs.
+Pairs inside one component need no test, so no link that matters is lost, and neither a large group of copies, nor
+texts that vary one template, nor those around a frequent passage are expanded into all their pairs.
 
 Cases: without words or text a document has no shingle and is its own component. Rows with a null doc_id are
 linked with nothing: component_id is null and kept is true. Repeated rows have equal answers. Rows that share
@@ -22,23 +23,26 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import mixed, written
-from trailweave.llm.components import components
+from trailweave.llm.components import components, joined
 from trailweave.llm.mixing import text_key
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 50, 5, 1 << 20
 #: Bits turned in a node's number for each of the four leaders of a bucket (fixed values).
 TURNS = (0, 0x5555555555555555, 0x3333333333333333, 0x7FFFFFFFFFFFFFFF)
+#: Holders of a key that one task compares with all others of it.
+BLOCK = 1024
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 200_000
 
@@ -122,18 +126,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in found], pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["digest", "items"])
 
 
-def _rare_parts(sets: DataFrame) -> DataFrame:
-    """key, node: of each set its rarest shingles, so many that a similar set has one of its own rarest among them.
+def _ranked(sets: DataFrame) -> DataFrame:
+    """node, n, own (number of shingles that no other of these sets has), found (its other shingles, the rarest first) of each set."""
+    items = sets.select("node", F.explode("items").alias("key"))
+    frequent = items.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = items.join(frequent, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("found"))
+    return sets.select("node", F.size("items").alias("n")).join(shared, "node").select("node", "n", (F.col("n") - F.size("found")).alias("own"), F.transform("found", lambda f: f["key"]).alias("found"))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(1.08)).cast("int")
+
 
-    Of n shingles a similar set shares 0.75 n at least; so among the n - 0.75 n + 1 rarest of both there is a
-    common one. Texts that merely share a passage with many others have none: the passage is frequent.
+def _postings(ranked: DataFrame) -> DataFrame:
+    """key, node, n, at, small: the rarest shingles of each set, with their places in it, by the sizes of the sets they may link it with.
+
+    Two similar sets of sizes m <= n share (m + n) * 75 / 175 shingles at least. So their rarest common one stands
+    before all but that many of either, and a partner's size bounds how far in a set it may stand. A set is posted
+    as the smaller one under its own class of sizes, and as the larger one under every class that a smaller
+    partner can have if this shingle is their rarest common one.
     """
-    items = sets.select("node", F.explode("items").alias("key"))
-    frequent = items.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    sized = items.join(frequent, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("found"))
-    n = F.size("found")
-    rare = sized.select("node", F.explode(F.slice("found", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))).alias("f"))
-    return rare.where("f.times > 1").select("f.key", "node")
+    n, at = F.col("n"), F.col("own") + F.col("_at")
+    least = F.ceil(n * PERCENT / 100)
+    rows = ranked.where(F.col("own") <= n - least).select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), (n - least + 1 - F.col("own")).cast("int"))).alias("_at", "of"))
+    rows = rows.select("of", "node", "n", at.alias("at"))
+    key = lambda size_class: F.xxhash64("of", size_class).alias("key")
+    left, most = n - F.col("at"), F.lit(100 + PERCENT)
+    small = rows.where(most * left >= 2 * PERCENT * n).select(key(_size_class(n)), "node", "n", "at", F.lit(True).alias("small"))
+    largest = F.least(n, F.floor(most * left / PERCENT) - n)
+    large = rows.where(largest >= least).select(F.explode(F.sequence(_size_class(least), _size_class(largest))).alias("_c"), "of", "node", "n", "at")
+    return small.union(large.select(key(F.col("_c")), "node", "n", "at", F.lit(False).alias("small")))
+
+
+def _by_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar by their sizes and the places of a common shingle.
+
+    The holders of a key with many of them are dealt to blocks, so that no task holds them all.
+    """
+    dealt = written(_several_components(postings, labels).withColumn("blocks", F.ceil(F.col("holders") / BLOCK).cast("int")))
+    x = dealt.where("small").select("key", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_ia"), F.col("label").alias("_la"), (F.col("label") == F.col("top")).alias("_ta"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = dealt.where("not small").select("key", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("at").alias("_ib"), F.col("label").alias("_lb"), (F.col("label") == F.col("top")).alias("_tb"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    left = F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))
+    fits = (100 * F.col("_na") >= PERCENT * F.col("_nb")) & ((100 + PERCENT) * left >= PERCENT * (F.col("_na") + F.col("_nb")))
+    smaller = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("a") < F.col("b")))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        on = (x.key == y.key) & (x.block == y.block) & (F.col("_la") != F.col("_lb")) & smaller & fits
+        return x.join(y, on).select("a", "b")
+
+    return joined(x.where("not _ta"), y).union(joined(x.where("_ta"), y.where("not _tb")))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -143,6 +184,13 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return once.join(one, "a").join(two, "b").where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).select("a", "b")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those of different components."""
+    one, two = labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose sets are similar."""
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("_one")), sets.select(F.col("node").alias("b"), F.col("items").alias("_two"))
@@ -157,11 +205,21 @@ def _leaders(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.array(*turned).alias("found")).select("key", F.explode(F.array_distinct("found")).alias("leader"))
 
 
+def _central(members: DataFrame, ranked: DataFrame) -> DataFrame:
+    """key, leader: of each open bucket the members with the least share of shingles of their own, among all and among those outside its largest component.
+
+    Around a text that many vary, the least varied one is similar to all that any of them is similar to.
+    """
+    share = members.join(ranked.select("node", F.struct(F.col("own") / F.col("n"), "node").alias("_share")), "node")
+    leads = share.groupBy("key").agg(F.array(F.min_by("node", "_share"), F.min_by(F.when(F.col("label") != F.col("top"), F.col("node")), F.when(F.col("label") != F.col("top"), F.col("_share")))).alias("found"))
+    return leads.select("key", F.explode(F.array_compact("found")).alias("leader")).distinct()
+
+
 def _several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of members (key, node), those of keys whose nodes are of several components; with label, and top, the key's largest component."""
-    labelled = written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    """Of members (key, node, more) those of keys whose nodes are of several components; with label, the key's largest component (top), and its number of holders."""
+    labelled = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max_by("label", "_n").alias("top")).where("_parts > 1").select("key", "top")
+    split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("_parts"), F.max_by("label", F.struct("_n", "label")).alias("top"), F.sum("_n").alias("holders")).where("_parts > 1").drop("_parts")
     return labelled.join(split, "key")
 
 
@@ -186,19 +244,18 @@ def answers(documents: DataFrame) -> DataFrame:
     wanted = written(paired.join(classes, "node").select("node", "digest", F.col("rep").alias("doc_id")))
     texts = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets, "digest binary, items array<long>").join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"]))
-    links = written(_links(pairs, sets))
-    labels = components(links)
-
-    # buckets, then rare shingles of their members, that several components share
-    undecided = _several_components(shared, labels).select("node").distinct()
-    open_ = written(_several_components(_rare_parts(sets.join(undecided, "node", "left_semi")), labels))
-    u = open_.where("label <> top").select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
-    v = open_.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
-    more = u.join(v, "key").where("_la <> _lb").select("a", "b")
-    more = written(_alike(more, classes).join(pairs, ["a", "b"], "left_anti"))
-    found = written(_links(more, sets))
-    if not found.isEmpty():
-        labels = components(links.union(found))
+    labels = components(_links(pairs, sets))
+
+    # the buckets that several components share: first against their most central members, then all by rare shingles
+    open_ = written(_several_components(shared, labels))
+    undecided = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    ranked = written(_ranked(undecided))
+    tried = pairs
+    central = open_.join(_central(open_, ranked), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    more = written(_apart(_alike(central, classes).join(tried, ["a", "b"], "left_anti"), labels))
+    labels, tried = joined(labels, _links(more, sets)), tried.union(more)
+    more = written(_alike(_by_postings(_postings(ranked), labels), classes).join(tried, ["a", "b"], "left_anti"))
+    labels = joined(labels, _links(more, sets))
 
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     found = classes.join(labels, "node", "left").join(least, "label", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "node").alias("component"))
