@@ -6,7 +6,7 @@ the other permutation pi, turned by k, has at those places. BANDS bands of ROWS
 buckets; a pair of similarity s shares no bucket with the chance (1 - s^5)^50, about one in a million at 0.75.
 
 Documents of one shingle set form a class, which is one node. Candidates are verified on full sets:
-1. each member of a bucket against up to four leaders of it. Links make components.
+1. each member of a bucket against the bucket's leader. Links make components.
 2. members of buckets that still hold several components, against the buckets' most central members.
 3. what is still apart, by an exact join on rare shingles: of two similar sets the rarest common shingle stands
    early in both, counted from the rarest one. So only these few are posted, by classes of sizes, and a pair comes
@@ -33,18 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import mixed, written
+from trailweave.llm.common import lean, mixed, written
 from trailweave.llm.components import components, joined
 from trailweave.llm.mixing import text_key
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, UNIVERSE = 50, 5, 1 << 20
-#: Bits turned in a node's number for each of the four leaders of a bucket (fixed values).
-TURNS = (0, 0x5555555555555555, 0x3333333333333333, 0x7FFFFFFFFFFFFFFF)
 #: Holders of a key that one task compares with all others of it.
 BLOCK = 1024
 #: Words whose hashes a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _POWERS = mixed(np.arange(1, SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -102,15 +100,8 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, which bounds what a worker holds besides them."""
-    for b in batches:
-        for i in range(0, len(b), 500):
-            yield b.slice(i, 500)
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _some(batches):
+    for b in batches:
         n, digests, keys = [], [], []
         for text in b.column("text").to_pylist():
             found = shingles(text or "")
@@ -121,7 +112,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _some(batches):
+    for b in batches:
         found = [shingles(t or "") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in found], pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["digest", "items"])
 
@@ -200,9 +191,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """key, leader: up to four members of each bucket, the first ones by node number under four ways to turn its bits."""
-    turned = [F.min(F.col("node").bitwiseXOR(F.lit(bits))).bitwiseXOR(F.lit(bits)) for bits in TURNS]
-    return members.groupBy("key").agg(F.array(*turned).alias("found")).select("key", F.explode(F.array_distinct("found")).alias("leader"))
+    """key, leader: a member of each bucket, drawn by a hash, so that a document meets a leader in each of its buckets."""
+    return members.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("leader"))
 
 
 def _central(members: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -231,7 +221,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def answers(documents: DataFrame) -> DataFrame:
     """near_duplicates with text_key and component: components of unlike texts differ even where their least doc_id is one."""
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
-    rows = written(read.mapInArrow(_signed, "doc_id long, text_key long, n long, digest binary, keys array<long>"))
+    rows = written(read.mapInArrow(lean(_signed), "doc_id long, text_key long, n long, digest binary, keys array<long>"))
     known = rows.where("doc_id is not null and n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     firsts = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
@@ -243,7 +233,7 @@ def answers(documents: DataFrame) -> DataFrame:
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(shared.select("node")).distinct()
     wanted = written(paired.join(classes, "node").select("node", "digest", F.col("rep").alias("doc_id")))
     texts = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "digest binary, items array<long>").join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"]))
+    sets = written(texts.mapInArrow(lean(_sets), "digest binary, items array<long>").join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"]))
     labels = components(_links(pairs, sets))
 
     # the buckets that several components share: first against their most central members, then all by rare shingles
