@@ -10,17 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import lines, minhash, mixing, packing, quality
-from trailweave.llm.common import table, written
+from trailweave.llm.common import sent, table, written
 from trailweave.llm.tokens import byte_bpe_50k
 
-#: Documents whose numbers may be sent to all executors to pick rows; beyond, the join is a shuffle.
-SENT_ROWS = 1_000_000
-
-
-def _sent(small: DataFrame) -> DataFrame:
-    small = written(small)
-    return F.broadcast(small) if small.count() <= SENT_ROWS else small
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go; fitted on the labelled ones among docs."""
@@ -42,10 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = minhash.answers(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"))
     texts = written(texts.agg(F.bool_and("kept").alias("kept"), F.min("component").alias("component"), F.count(F.lit(1)).alias("rows")))
     chosen = texts.where("kept and component is not null").groupBy("component").agg(F.min("of_key").alias("chosen"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    texts = texts.join(_sent(chosen), "component", "left").select("of_id", "of_key", "rows", (F.col("kept") & (F.col("chosen").isNull() | (F.col("of_key") == F.col("chosen")))).alias("kept"))
+    texts = texts.join(sent(chosen), "component", "left").select("of_id", "of_key", "rows", (F.col("kept") & (F.col("chosen").isNull() | (F.col("of_key") == F.col("chosen")))).alias("kept"))
     texts = written(texts)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of_id"), mixing.text_key(docs.text).alias("of_key"))
-    left = keyed.join(_sent(texts.where("not kept").select("of_id", "of_key")), ["of_id", "of_key"], "left_anti")
+    left = keyed.join(sent(texts.where("not kept").select("of_id", "of_key")), ["of_id", "of_key"], "left_anti")
     several = written(texts.where("kept and rows > 1").select("of_id", "of_key"))
     if not several.isEmpty():
         once = left.join(several, ["of_id", "of_key"], "left_semi").dropDuplicates(["of_id", "of_key"])
@@ -56,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it. Rows of one doc_id, source and text stand in for each other."""
     mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("text_key").alias("of_key"))
-    taken = _sent(mixed.agg(F.sum("copies").cast("int").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0"))
+    taken = sent(mixed.agg(F.sum("copies").cast("int").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("src"), mixing.text_key(docs.text).alias("key"))
     rows = keyed.join(taken, F.col("id").eqNullSafe(F.col("of_id")) & F.col("src").eqNullSafe(F.col("of_source")) & (F.col("key") == F.col("of_key")))
     if not taken.where("rows > 1").isEmpty():

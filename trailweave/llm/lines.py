@@ -26,11 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import written
+from trailweave.llm.common import sent, written
 
 MIN_WORDS, NEAR_WORDS = 1, 5
-#: Documents of which notes (some numbers each) may be sent to all executors; beyond, texts are shuffled.
-SENT_ROWS = 1_000_000
 #: A line is hot if it is more than this part of all lines.
 HOT_LINES = 10_000
 
@@ -102,11 +100,6 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), changed).when(F.size(a) + 1 == F.size(b), left_out(a, b)).when(F.size(a) == F.size(b) + 1, left_out(b, a)).otherwise(False)
 
 
-def _sent(small: DataFrame, rows: int) -> DataFrame:
-    """small, sent to all executors if it has SENT_ROWS rows at most; else Spark joins it by a shuffle."""
-    return F.broadcast(small) if rows <= SENT_ROWS else small
-
-
 def dropped_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """doc_id, doc_key, line_no, near, of: the lines to drop of documents (doc_id, text), and the place of the earlier line."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -122,10 +115,9 @@ def dropped_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR
     # numbered in the order of their places
     able = written(able.repartitionByRange("place").sortWithinPartitions("place").withColumn("node", F.monotonically_increasing_id()))
     homes = able.groupBy(F.col("place.doc_id").alias("_d"), F.col("place.doc_key").alias("_k")).agg(F.collect_list(F.struct(F.col("place.line_no").alias("line_no"), "node", "head", "tail")).alias("wanted"))
-    homes = written(homes)
-    split = documents.select("doc_id", _key().alias("doc_key"), F.split("text", "\n").alias("split"))
-    at_home = split.join(_sent(homes, homes.count()), split.doc_id.eqNullSafe(F.col("_d")) & (F.col("doc_key") == F.col("_k")))
-    asked = at_home.select("split", F.explode("wanted").alias("w")).select("w.node", "w.head", "w.tail", _words(F.element_at("split", F.col("w.line_no") + 1)).alias("words"))
+    texts = documents.select("doc_id", _key().alias("doc_key"), "text")
+    at_home = texts.join(sent(homes), texts.doc_id.eqNullSafe(F.col("_d")) & (F.col("doc_key") == F.col("_k")))
+    asked = at_home.select(F.split("text", "\n").alias("split"), F.explode("wanted").alias("w")).select("w.node", "w.head", "w.tail", _words(F.element_at("split", F.col("w.line_no") + 1)).alias("words"))
     able_words = written(asked.dropDuplicates(["node"]))
 
     keys = written(_neighbourhood(able_words))
@@ -150,12 +142,12 @@ def dropped_lines(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR
 
 def deduped(documents: DataFrame, least: int = MIN_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """row (documents' own columns, with the later copies of lines taken out of text), n_lines, n_exact, n_near: counts of lines."""
-    by_document = written(dropped_lines(documents, least, near).groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(
+    by_document = sent(dropped_lines(documents, least, near).groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(
         F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_distinct(F.when(~F.col("near"), F.col("line_no"))).alias("n_exact"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("n_near")
     ))
     # the other columns travel in a struct, so that none can clash
-    split = documents.select(F.struct(*documents.columns).alias("held"), F.split("text", "\n").alias("split"), F.col("doc_id").cast("long").alias("mine"), _key().alias("my_key"))
-    both = split.join(_sent(by_document, by_document.count()), F.col("mine").eqNullSafe(F.col("of_id")) & (F.col("my_key") == F.col("of_key")), "left")
+    held = documents.select(F.struct(*documents.columns).alias("held"), F.col("doc_id").cast("long").alias("mine"), _key().alias("my_key"))
+    both = held.join(by_document, F.col("mine").eqNullSafe(F.col("of_id")) & (F.col("my_key") == F.col("of_key")), "left").withColumn("split", F.split("held.text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("held.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("split", i + 1)), "\n"))
     row = F.struct(*[text.alias(c) if c == "text" else F.col("held").getField(c).alias(c) for c in documents.columns])

@@ -24,8 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.common import released
+
 LENGTH, END = 1024, 0
-GROUP_DOCS, GROUP_CHARS, MAX_PADDING = 4096, 12_000_000, 16
+GROUP_DOCS, GROUP_CHARS, MAX_PADDING = 4096, 8_000_000, 16
 
 
 def first_fit(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -97,9 +99,10 @@ def pack(documents: DataFrame, tokens: Callable[[], object], length: int = LENGT
     def one_group(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
         vocabulary, tail = tokens(), np.array([end], "<u4")
-        ids = [np.concatenate([vocabulary.ids(t or ""), tail]) for t in rows["text"].to_pylist()]
+        ids = [np.concatenate([vocabulary.ids(t.as_py() or ""), tail]) for t in rows["text"]]
         pieces = packed_group(ids, length, max_padding)
         at = pa.array([p[0] for p in pieces], pa.int64())
+        released()
         return pa.table({
             "doc_id": rows["doc_id"].take(at), "start": pa.array([p[1] for p in pieces], pa.int64()), "length": pa.array([p[2] for p in pieces], pa.int64()),
             "ids": pa.array([ids[d][s : s + n].tobytes() for d, s, n, _, _ in pieces], pa.binary()), "doc_tokens": pa.array([len(ids[p[0]]) for p in pieces], pa.int64()),

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import mixed, written
+from trailweave.llm.common import lean, mixed, written
 
 RADIUS, WINDOW, RUN_WORDS = 2, 32, 20
 
@@ -79,7 +79,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(documents: DataFrame, run_words: int = RUN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(one row a row of documents: doc_id, doc_key, n_words, n_chunks; one a repeated span: doc_id, doc_key, first_chunk, last_chunk, first_word, span_words, first_docs)."""
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("doc_key"))
-    rows = written(read.mapInArrow(_chunked, "doc_id long, doc_key long, n_words long, n_chunks long, words array<int>, digests array<long>"))
+    rows = written(read.mapInArrow(lean(_chunked), "doc_id long, doc_key long, n_words long, n_chunks long, words array<int>, digests array<long>"))
     each = rows.select("doc_id", "doc_key", F.posexplode("digests").alias("at", "digest"))
     copied = each.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at")

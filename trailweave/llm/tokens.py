@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -18,14 +19,21 @@ class ByteBpe:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.any = Tokenizer.from_file(json_path)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.any.get_added_tokens_decoder().values()) or "(?!)")
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as vocabulary:
+            added = [t["content"] for t in json.load(vocabulary)["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def any(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def ids(self, text: str) -> np.ndarray:
         if _PLAIN.fullmatch(text) and not _LONG_WORD.search(text) and not self.added.search(text):
             return np.asarray(self.plain.encode_to_numpy(text, disallowed_special=()), "<u4")
