@@ -24,6 +24,9 @@ are scored each. An empty table gives an empty result. Other columns are not rea
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import written
+from trailweave.llm.common import lean, written
 
 DEPTH, LEAST, DIVERGENCE, SMOOTHING = 6, 2, 1.0, 20.0
 SENT_SHARE = 2e-7
@@ -42,6 +45,7 @@ HEAD_SHARE = 1e-6
 GATHERED = 2_000_000
 #: Symbols scored at once: what is made for them stays in a processor's cache.
 AT_ONCE = 1 << 17
+ENTRY = np.dtype([("key", np.uint64), ("value", np.float32)])
 _END = 10  # the end's byte: white space, so no word holds it
 
 
@@ -123,9 +127,8 @@ class Lookup:
     """An open-addressing table from 64-bit keys (not 0) to numbers, for arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 2).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+        self._sized(max(4, int(len(keys) * 1.5).bit_length()))
+        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.float32)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == 0
@@ -134,6 +137,22 @@ class Lookup:
             self.values[at[placed]] = values[left[placed]]
             left, at = left[~placed], (at[~placed] + 1) & self.mask
 
+    def _sized(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+
+    def save(self, path: str) -> None:
+        both = np.empty(self.mask + 1, ENTRY)
+        both["key"], both["value"] = self.keys, self.values
+        np.save(path, both)
+
+    @classmethod
+    def mapped(cls, path: str) -> Lookup:
+        """The table of a file, mapped into memory: all workers of a machine share its pages."""
+        self, both = cls.__new__(cls), np.load(path, mmap_mode="r")
+        self._sized((len(both) - 1).bit_length())
+        self.keys, self.values = both["key"], both["value"]
+        return self
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -251,7 +270,7 @@ def learned(levels: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIV
 
 def tree_of(training: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> SuffixTree:
     """The whole tree of training (text) in memory, for small corpora; scores() makes the same as tables."""
-    level = written(training.select("text", F.lit(True).alias("trains")).mapInArrow(_gram_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    level = written(training.select("text", F.lit(True).alias("trains")).mapInArrow(lean(_gram_counts(depth)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     levels = []
     for d in range(depth, -1, -1):
         if d < depth:
@@ -269,7 +288,7 @@ def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence
     retained suffix of the context, and whether the context is retained itself. A longer pair's parent is the pair
     without its first symbol, so a level needs one join with the one before and sums over each context's pairs.
     """
-    full = written(texts.mapInArrow(_gram_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    full = written(texts.mapInArrow(lean(_gram_counts(depth)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     levels = [full]
     for d in range(depth - 1, -1, -1):
         cut = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")
@@ -307,7 +326,7 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
     else:
         texts = documents.select("text", F.lit(False).alias("trains")).unionAll(training.select("text", F.lit(True).alias("trains")))
     spark = documents.sparkSession
-    counts = written(training.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(training.select("text").mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2, math.ceil(tokens * head_share))
     head = counts.where(F.col("n") >= least).toArrow()
@@ -320,15 +339,17 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
     logs_of, symbols = chances(texts, depth, **tree)
     often = F.col("n") >= max(1, math.ceil(symbols * sent_share))
     sent = logs_of.where(often).select("gram", "log").toArrow()
-    model = spark.sparkContext.broadcast((sent["gram"].to_numpy().view(np.uint64), sent["log"].to_numpy(), known))
-    made: dict = {}
+    name = f"grams-{uuid.uuid4().hex}.npy"
+    path = os.path.join(tempfile.mkdtemp(prefix="trailweave-"), name)  # on the driver; Spark brings it to the executors
+    Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy()).save(path)
+    spark.sparkContext.addFile(path)
+    model = spark.sparkContext.broadcast(known)
+    del sent
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        from pyspark import SparkFiles, TaskContext
 
-        frequent, values_of, logs = model.value
-        if "score" not in made:
-            made["score"] = Lookup(_tagged(frequent, depth), values_of)
+        logs, frequent = model.value, Lookup.mapped(SparkFiles.get(name))
         end = logs.get(b"\n")
         row = TaskContext.get().partitionId() << 36
         for b in batches:
@@ -336,7 +357,7 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
             for i in range(0, len(texts), 500):
                 words = [words_of(t) for t in texts[i : i + 500]]
                 keys, sizes = grams(words, depth)
-                value, found = made["score"](_tagged(keys, depth))
+                value, found = frequent(_tagged(keys, depth))
                 starts = np.cumsum(sizes) - sizes
                 total = np.add.reduceat(np.where(found, value, 0.0).astype(float), starts)
                 offsets = np.r_[0, np.cumsum(np.add.reduceat((~found).astype(np.int64), starts))]
@@ -359,7 +380,7 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
                 )
 
     schema = "row long, doc_id long, n_tokens long, in_head long, base double, score double, rare array<binary>, times array<long>, others array<long>"
-    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, schema))
+    scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(score), schema))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     gains = rare.join(counts.where(F.col("n") < least), "word").groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("gain"), F.sum("times").alias("in_tail"))
     others = scored.select("row", F.explode("others").alias("gram")).join(logs_of.where(~often).select("gram", "log"), "gram")
