@@ -1,14 +1,13 @@
 """Operator 5, sharding by a hierarchical weighted hash tree.
 
-Shards lie in racks, racks in regions; a node's weight is the sum of its shards' weights. A document's key
-descends region, rack and shard level by hash draws. Along the shards in order, a key "jumps" to a shard with
-the chance weight / (weight up to and with it); it stays where it jumped last. Whether it jumps inside a node
-that begins at cumulative weight a and ends at b has the chance 1 - a / b, so one draw u of the node decides
-for all its shards at once, and the first jump in the node lies at cumulative weight a / u. At each level the
-last node with a jump is descended, which happens with a chance in proportion to its weight; below the node of
-the first jump the draws are free, at the first jump itself they hold it. A further shard, or more weight for
-the last one, changes only the end b of the nodes above it: rows move into that subtree alone, and into its
-last shard alone. All else stays.
+Shards lie in racks, racks in regions; a node's weight is the sum of its shards' weights. A key draws a number for
+each shard, -ln(u) / weight with u a hash of key and shard; a node's draw is the least one below it, so it is that
+of a node of the summed weight. The key descends region, rack and shard level, each time to the child of the least
+draw, which happens with a chance in proportion to the child's weight.
+
+A shard's draws depend on its own number and weight only. So if weights change, rows move only out of shards whose
+weight falls and into shards whose weight rises; a further shard takes rows only into itself, and subtrees without
+a changed weight exchange none among each other. The draws of a key are as many as there are shards.
 
 Law: key. A row's shard depends on its doc_id and the shards' weights only. Cases: a null doc_id is a key like
 others. Rows with one doc_id share a shard. A null text counts as empty. Repeated rows get a slot each. An
@@ -37,42 +36,32 @@ class Tree:
     rack: int = RACK
     region: int = REGION
 
-    def ends(self) -> np.ndarray:
-        return np.cumsum(self.weights)
-
 
-def _draws(keys: np.ndarray, level: int, node: int) -> np.ndarray:
-    """Numbers in (0, 1], one a key, of this node."""
-    salt = mixed(np.array([level * 1_000_003 + node + 1], np.uint64))[0]
-    return ((mixed(keys ^ salt) >> np.uint64(11)).astype(float) + 1) / float(1 << 53)
+#: Keys whose draws are made at once.
+AT_ONCE = 4096
 
 
-def _descend(keys: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, ends: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """One level: of the nodes of `width` shards in [low, high), that of each key's last jump.
-
-    first: the shard of the key's first jump in [low, high). Gives the start of the chosen node, and the first jump in it.
-    """
-    chosen, jump = first // width * width, first.copy()
-    for start in range(0, len(ends), width):
-        stop = min(start + width, len(ends))
-        inside = (start > first) & (start >= low) & (start < high)
-        if not inside.any():
-            continue
-        begins = ends[start - 1] if start else 0.0
-        at = np.searchsorted(ends[:stop], begins / _draws(keys[inside], level, start // width), side="right")
-        rows = np.flatnonzero(inside)[at < stop]
-        chosen[rows], jump[rows] = start, at[at < stop]
-    return chosen, jump
+def _draws(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One number a key and shard, the less the greater the shard's weight; shards of weight 0 are never drawn."""
+    salts = mixed(np.arange(1, len(weights) + 1, dtype=np.uint64))
+    u = ((mixed(keys[:, None] ^ salts) >> np.uint64(11)).astype(float) + 1) / float(1 << 53)
+    with np.errstate(divide="ignore"):
+        return np.where(weights > 0, -np.log(u) / weights, np.inf)
 
 
 def shard_of(keys: np.ndarray, tree: Tree) -> np.ndarray:
     """The shard of each 64-bit key."""
-    ends, n = tree.ends(), len(tree.weights)
-    low, high, jump = np.zeros(len(keys), np.int64), np.full(len(keys), n), np.zeros(len(keys), np.int64)
-    for level, width in enumerate((tree.region, tree.rack, 1)):
-        low, jump = _descend(keys, jump, low, high, ends, width, level)
-        high = np.minimum(low + width, n)
-    return low
+    weights, out = np.array(tree.weights, float), np.empty(len(keys), np.int64)
+    for i in range(0, len(keys), AT_ONCE):
+        draws = _draws(keys[i : i + AT_ONCE], weights)
+        inside, low = draws, np.zeros(len(draws), np.int64)
+        for width in (tree.region, tree.rack, 1):
+            nodes = np.minimum.reduceat(inside, np.arange(0, len(weights), width), axis=1)
+            low = np.argmin(nodes, axis=1) * width
+            shard = np.arange(len(weights))
+            inside = np.where((shard >= low[:, None]) & (shard < low[:, None] + width), draws, np.inf)
+        out[i : i + AT_ONCE] = low
+    return out
 
 
 def shards(documents: DataFrame, tree: Tree, grown: Tree) -> DataFrame:
