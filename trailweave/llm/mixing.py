@@ -80,7 +80,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     parted = sized.withColumn("_class", _size_class(F.col("size"))).withColumn("_salt", F.substring("_tie", 1, digits))
     along = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
-    numbered = parted.withColumn("_row", F.row_number().over(Window.partitionBy(*part).orderBy("size", "_tie", "doc_id")))
+    numbered = parted.withColumn("_row", F.row_number().over(Window.partitionBy(*part).orderBy("size", "_tie", "doc_id", "text_key")))
     d, s, t = numbered.alias("d"), starts.alias("s"), F.broadcast(sources).alias("t")
     same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._class") == F.col("s._class")) & (F.col("d._salt") == F.col("s._salt"))
     joined = d.join(s, same).join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
