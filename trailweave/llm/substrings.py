@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import lean, mixed, written
+from trailweave.llm.common import lean, mixed, sent, written
 
 RADIUS, WINDOW, RUN_WORDS = 2, 32, 20
 
@@ -112,6 +112,35 @@ def repeated_spans(documents: DataFrame, run_words: int = RUN_WORDS) -> tuple[Da
     return rows.drop("words", "digests"), spans
 
 
+def without_spans(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """row (documents' own columns, with the repeated passages taken out of text), removed_words. A null text stays null."""
+    _, spans = repeated_spans(documents, run_words)
+    gone = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("first_word", "span_words"))).alias("gone"))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([t if not s else _without(t, [(x["first_word"], x["span_words"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    held = documents.select(F.struct(*documents.columns).alias("held"), F.col("doc_id").cast("long").alias("mine"), key.alias("my_key"))
+    both = held.join(sent(gone), F.col("mine").eqNullSafe(F.col("of_id")) & (F.col("my_key") == F.col("of_key")), "left")
+    both = both.withColumn("left", cut(F.col("held.text"), F.col("gone")))
+    row = F.struct(*[F.col("left").alias(c) if c == "text" else F.col("held").getField(c).alias(c) for c in documents.columns])
+    return both.select(row.alias("row"), F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, s: n + s["span_words"]), F.lit(0).cast("long")).alias("removed_words"))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without spans of words (first, number), each with the white space behind it."""
+    data = text.encode("utf-8", "surrogatepass")
+    white = _WHITE[np.frombuffer(data, np.uint8)]
+    starts = np.r_[np.flatnonzero(~white & np.r_[True, white[:-1]]), len(data)]
+    kept, at = [], 0
+    for first, number in spans:
+        kept.append(data[at : starts[first]])
+        at = starts[first + number]
+    return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
+
+
 def dedup_substrings(documents: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, n_words, n_chunks, repeated (whether it loses a passage), removed_words, spans (first word, words), first_docs (where they came first) of each row of documents (doc_id, text)."""
     rows, spans = repeated_spans(documents, run_words)
