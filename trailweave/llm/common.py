@@ -23,8 +23,17 @@ SENT_BYTES = 64 << 20
 SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches between Spark and Python in this session, and with them what both sides hold; settings given at its start stay."""
+    given = spark.sparkContext.getConf()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
+        if not given.contains(key):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +52,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and it is computed once. The folder goes with the session."""
     spark = df.sparkSession
     ship(spark)
+    small_batches(spark)
     path = f"{shared_dir(spark)}/trailweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

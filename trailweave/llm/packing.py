@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import released
 
 LENGTH, END = 1024, 0
-GROUP_DOCS, GROUP_CHARS, MAX_PADDING = 4096, 8_000_000, 16
+GROUP_DOCS, GROUP_CHARS, MAX_PADDING = 4096, 4_000_000, 16
 
 
 def first_fit(lengths: np.ndarray, room: int) -> np.ndarray:
