@@ -250,6 +250,22 @@ def test_hash_tree_moves_rows_into_the_new_shard_only():
     assert np.allclose(weighted, [1 / 8, 2 / 8, 3 / 8, 2 / 8], atol=0.01)
 
 
+def test_hash_tree_confines_moves_to_the_changed_shard():
+    keys = sharding.mixed(np.arange(100_000, dtype=np.uint64))
+    before = sharding.shard_of(keys, sharding.Tree((1.0,) * 40))
+    assert np.bincount(before, minlength=40).min() > 2200
+    for changed in (0, 5, 20, 39):
+        weights = [1.0] * 40
+        weights[changed] = 2.0
+        after = sharding.shard_of(keys, sharding.Tree(tuple(weights)))
+        moved = before != after
+        assert 0.018 < moved.mean() < 0.03 and (after[moved] == changed).all()
+        weights[changed] = 0.0
+        after = sharding.shard_of(keys, sharding.Tree(tuple(weights)))
+        moved = before != after
+        assert (moved == (before == changed)).all()
+
+
 def test_shards_of_odd_rows(odd, none):
     tree, grown = sharding.Tree((1.0,) * 3), sharding.Tree((1.0,) * 4)
     rows = sharding.shards(odd, tree, grown).collect()
@@ -332,6 +348,35 @@ def test_viterbi_is_the_best_sequence():
         assert quality.viterbi(s, t).tolist() == best
 
 
+def test_a_good_text_holds_lines_of_both_labels(spark):
+    rng = np.random.default_rng(21)
+    shared = ["Home.", "Read more", "Share this page", "All rights reserved"]
+    docs, labels = [], []
+    for i in range(120):
+        good = i % 3 > 0
+        body = [sentence(rng, 30) + "." for _ in range(4)] if good else [" ".join(w + "###" for w in sentence(rng, 30).split()) for _ in range(4)]
+        docs.append((i, "\n".join([shared[i % 4], *body[:2], shared[(i + int(rng.integers(4))) % 4], *body[2:], shared[(i // 4) % 4]]), "s", "en"))
+        labels.append((i, int(good)))
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    weights = quality.trained(d.where("doc_id < 90"), y)
+    for i, text, _, _ in docs[90:]:
+        _, x, _ = quality.measured(text)
+        if i % 3:
+            assert quality.viterbi(x @ weights[0], weights[1]).tolist() == [0, 1, 1, 0, 1, 1, 0]
+        else:
+            assert quality.viterbi(x @ weights[0], weights[1])[[1, 2, 4, 5]].tolist() == [0, 0, 0, 0]
+
+
+def test_quality_fits_all_lines_of_long_texts():
+    rng = np.random.default_rng(4)
+    x, y = np.zeros((500, quality.N_FEATURES)), np.zeros(500, np.int8)
+    x[:, 0], x[:, 1] = 1.0, rng.random(500)
+    y[:] = x[:, 1] < 0.5
+    x[: quality.CHAIN, 1], y[: quality.CHAIN] = 0.9, 1  # the first lines say the contrary of all others
+    weights, transition = quality.fitted([x], [y], rounds=100)
+    assert (quality.viterbi(x @ weights, transition) == y)[quality.CHAIN :].mean() > 0.8
+
+
 def test_quality_learns_from_labels(spark):
     rng = np.random.default_rng(2)
     docs, labels = [], []
@@ -366,6 +411,37 @@ def test_chunks_resist_insertions():
     assert substrings.gear_hashes(np.frombuffer(text.encode(), np.uint8))[199] == slow
 
 
+def test_substrings_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    passage, other = sentence(rng, 80), sentence(rng, 60)
+    rows = [(i, " ".join([sentence(rng, 50), passage if i % 3 == 0 else sentence(rng, 70), sentence(rng, 30), other if i % 4 == 1 else ""])) for i in range(40)]
+    rows += [(40, rows[3][1]), (None, rows[7][1]), (41, None), (42, "")]
+    chunks = [(i, t, [(" ".join((t or "").encode()[s:e].decode().split()), n) for s, e, n in zip(*(x.tolist() for x in substrings.chunks(t or "")))]) for i, t in rows]
+    first, want = {}, {}
+    for i, _, found in sorted(chunks, key=lambda r: (r[0] is None, r[0] or 0)):
+        for at, (words, _) in enumerate(found):
+            first.setdefault(words, (i, at))
+    for i, t, found in chunks:
+        again = [first[words] != (i, at) for at, (words, _) in enumerate(found)]
+        begins, spans, at = np.cumsum([0, *[n for _, n in found]]), [], 0
+        while at < len(again):
+            to = at
+            while to < len(again) and again[to]:
+                to += 1
+            if begins[to] - begins[at] >= substrings.RUN_WORDS:
+                spans.append((int(begins[at]), int(begins[to] - begins[at])))
+            at = max(to, at + 1)
+        words = (t or "").split()
+        left = [w for k, w in enumerate(words) if not any(a <= k < a + n for a, n in spans)]
+        want[i] = (spans, left)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("x")).withColumn("mine", F.lit(1))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substrings.dedup_substrings(docs).collect()}
+    assert got == {i: s for i, (s, _) in want.items()} and sum(map(bool, got.values())) > 10
+    for r in substrings.without_spans(docs).select("row.*", "removed_words").collect():
+        spans, left = want[r.doc_id]
+        assert r.gone == "x" and r.removed_words == sum(n for _, n in spans) and (r.text or "").split() == left and (r.text is None) == (r.doc_id == 41)
+
+
 def test_substrings(spark, odd, none):
     rng = np.random.default_rng(4)
     passage = sentence(rng, 60)
