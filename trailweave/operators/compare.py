@@ -5,8 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Risks of a missed outcome, the gravest first.
-RISKS = ("cancel", "compensation", "activity failure", "continue-as-new", "timer", "signal", "old version", "plain logic")
+#: Risks of a missed outcome, the gravest first (fixed values).
+RISKS = ("cancel", "compensation", "activity failure", "continue-as-new", "timers and timeouts", "signals and updates", "plain logic", "old version branches")
+#: What a step of a call holds (fixed values).
+CALLS = ("(activity)", "(local activity)", "(child workflow)", "(nexus operation)", "(helper)")
+#: What a step of a cancelled run holds (fixed values).
+CANCELS = ("cancel context", "cancel sent", "failure kind: cancelled", "canceled", "cancelled", "(timer): failure", "(wait): failure")
+
+
+def risk_of(steps: Column, deferred: Column) -> Column:
+    """The gravest risk of a list of external steps; deferred: whether the path's end undoes what was done.
+
+    Compensation is a call after a failed call that followed a successful one.
+    """
+    any_of = lambda x, parts: F.greatest(*[x.contains(p) for p in parts]) if len(parts) > 1 else x.contains(parts[0])
+    has = lambda *parts: F.exists(steps, lambda s: any_of(s, parts))
+    none = F.struct(F.lit(False).alias("done"), F.lit(False).alias("failed"), F.lit(False).alias("undone"))
+
+    def step(a: Column, s: Column) -> Column:
+        call = any_of(s, CALLS)
+        undone = call & a["failed"]
+        return F.struct((a["done"] | (call & s.endswith(": success"))).alias("done"), (a["failed"] | (call & s.endswith(": failure") & a["done"])).alias("failed"), (a["undone"] | undone).alias("undone"))
+
+    undone = F.aggregate(steps, none, step, lambda a: a["undone"])
+    failed = F.exists(steps, lambda s: any_of(s, CALLS) & s.endswith(": failure"))
+    cancel, compensation, failure, again, timer, signal, logic, old = map(F.lit, RISKS)
+    return (
+        F.when(has(*CANCELS), cancel).when(undone | deferred, compensation).when(failed | has("failure kind"), failure).when(has("continue-as-new"), again)
+        .when(has("timer", "timeout", "wait with timeout"), timer).when(has("signal", "update"), signal).when(has("version") & has(": old"), old).otherwise(logic)
+    )
 
 
 def baseline_check(baseline: DataFrame, now: DataFrame) -> DataFrame:
@@ -56,13 +83,20 @@ def history(runs: DataFrame, run: DataFrame | None = None, keep: int = 5) -> Dat
 
 
 def missed_ranking(outcomes: DataFrame, limit: int | None = None) -> DataFrame:
-    """outcomes (risk, missed_paths, missed_scenarios, file, line, name) with rank and a name of its own: gravest first, then most paths, then place."""
-    risk = F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk"))
-    order = [risk, F.desc(F.col("missed_paths") + F.col("missed_scenarios")), F.col("file"), F.col("line"), F.col("branch_id")]
-    ranked = outcomes.orderBy(*order).limit(limit) if limit else outcomes
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("workflow").orderBy(*order)))
-    twin = F.row_number().over(Window.partitionBy("workflow", "name").orderBy("rank"))
-    return ranked.withColumn("_n", twin).withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.col("_n").cast("string"))).otherwise(F.col("name"))).drop("_n")
+    """outcomes (risk, missed_paths, missed_scenarios, file, line, branch_id, name) with rank and a name of its own: gravest first, then most paths, then place.
+
+    Ranks count over the whole project: within a risk, after the outcomes of graver ones. Later outcomes of one name get a number, before the list is cut.
+    """
+    graver = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, RISKS)), F.col("risk")), F.lit(0)), F.lit(len(RISKS) + 1))
+    rows = outcomes.withColumn("_risk", graver)
+    within = Window.partitionBy("_risk").orderBy(F.desc(F.col("missed_paths") + F.col("missed_scenarios")), "file", "line", "branch_id")
+    counts = rows.groupBy("_risk").agg(F.count(F.lit(1)).alias("_n"))  # a row a risk
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_risk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = rows.withColumn("_row", F.row_number().over(within)).join(F.broadcast(before), "_risk").withColumn("rank", (F.col("_before") + F.col("_row")).cast("int"))
+    twin = F.row_number().over(Window.partitionBy("name").orderBy("rank"))
+    named = ranked.withColumn("_n", twin).withColumn("name", F.when(F.col("_n") > 1, F.concat("name", F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col("name")))
+    named = named.drop("_n", "_risk", "_row", "_before")
+    return named.where(F.col("rank") <= limit) if limit else named
 
 
 def tests_first(missed: DataFrame, limit: int | None = None) -> DataFrame:
@@ -78,15 +112,15 @@ def sampled(branches: DataFrame, n: int, salt: str = "decision-sample") -> DataF
 
 def scope(workflows: DataFrame, include: DataFrame | None, exclude: DataFrame) -> DataFrame:
     """workflow, status (in scope, excluded, not included), reason; excluded beats not included. include, exclude: name (and reason)."""
-    rows = workflows.select("workflow").join(F.broadcast(exclude.select(F.col("name").alias("workflow"), F.col("reason").alias("_why"))), "workflow", "left")
-    rows = rows.join(F.broadcast(include.select(F.col("name").alias("workflow"), F.lit(True).alias("_in"))), "workflow", "left") if include is not None else rows.withColumn("_in", F.lit(True))
+    rows = workflows.select("workflow").join(exclude.select(F.col("name").alias("workflow"), F.col("reason").alias("_why")), "workflow", "left")
+    rows = rows.join(include.select(F.col("name").alias("workflow"), F.lit(True).alias("_in")), "workflow", "left") if include is not None else rows.withColumn("_in", F.lit(True))
     return rows.select("workflow", F.when(F.col("_why").isNotNull(), "excluded").when(F.col("_in").isNull(), "not included").otherwise("in scope").alias("status"), F.coalesce("_why", F.lit("")).alias("reason"))
 
 
 def suggestions(names: DataFrame, workflows: DataFrame, most: int = 3) -> DataFrame:
     """name, workflow: for names that no workflow has, the nearest ones by edit distance."""
     unknown = names.join(workflows.select(F.col("workflow").alias("name")), "name", "left_anti")
-    near = F.broadcast(unknown).join(workflows.select("workflow"), F.levenshtein(F.lower("name"), F.lower("workflow"), most) >= 0)
+    near = unknown.join(workflows.select("workflow"), F.levenshtein(F.lower("name"), F.lower("workflow"), most) >= 0)
     return near.withColumn("_d", F.levenshtein(F.lower("name"), F.lower("workflow"))).groupBy("name").agg(F.min_by("workflow", F.struct("_d", "workflow")).alias("workflow"))
 
 

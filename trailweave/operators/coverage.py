@@ -88,7 +88,7 @@ def unmatched_groups(triaged: DataFrame) -> DataFrame:
 def acknowledged(groups: DataFrame, explained: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups with `explained`, the entries of explained (workflow, steps_id, reason) that no group uses)."""
     key = ["workflow", "steps_id"]
-    return groups.join(F.broadcast(explained.withColumn("explained", F.lit(True))), key, "left").withColumn("explained", F.coalesce("explained", F.lit(False))), explained.join(groups, key, "left_anti")
+    return groups.join(explained.withColumn("explained", F.lit(True)), key, "left").withColumn("explained", F.coalesce("explained", F.lit(False))), explained.join(groups, key, "left_anti")
 
 
 def test_results(counted: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def loop_rounds(counted: DataFrame, loops: DataFrame) -> DataFrame:
     Reads the raw steps. A loop that a run left by a break, or was in at its end, closes there.
     """
     steps = counted.select("workflow", "run_id", F.posexplode("steps").alias("at", "edge_id"))
-    l = F.broadcast(loops)
+    l = loops
     events = steps.join(l, "workflow").where((F.col("edge_id") == F.col("iterate")) | (F.col("edge_id") == F.col("leave")) | F.array_contains("closes", F.col("edge_id")))
     w = Window.partitionBy("workflow", "run_id", "junction_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     turns = F.col("edge_id") == F.col("iterate")

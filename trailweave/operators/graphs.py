@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,20 +29,44 @@ class _Map:
         return [e for e in self.ways.get(r.to_id, []) if not e.is_retry and (r.only_edge is None or e.edge_id == r.only_edge)]
 
 
+def _from_ends(starts: list, after: Callable[[object], list], own: Callable[[object, list], object]) -> dict:
+    """own(x, values of what comes after x) of all that can be reached from starts, ends first; a stack of its own bears long maps."""
+    known: dict = {}
+    stack, open_ = list(starts), set()
+    while stack:
+        x = stack[-1]
+        if x in known:
+            stack.pop()
+            continue
+        todo = [c for c in after(x) if c not in known]
+        if not todo:
+            known[x] = own(x, [known[c] for c in after(x)])
+            stack.pop()
+        elif x in open_:
+            raise ValueError(f"a way leads back to {x} that is no retry")
+        else:
+            open_.add(x)
+            stack += todo
+    return known
+
+
+def _ways(m: _Map, avoid: str | None = None, skip: tuple[str, ...] = ()) -> int:
+    """How many paths m has that avoid a decision and the exits of skip."""
+    after = lambda edge: [e.edge_id for e in m.next(m.all[edge]) if e.junction_id != avoid and e.edge_id not in skip]
+    return _from_ends([START], after, lambda edge, below: 1 if m.all[edge].to_kind == "end" else sum(below))[START]
+
+
+def _alive(m: _Map) -> dict[str, bool]:
+    """Of each exit whether an end can be reached by it."""
+    after = lambda edge: [e.edge_id for e in m.next(m.all[edge])]
+    return _from_ends(list(m.all), after, lambda edge, below: m.all[edge].to_kind == "end" or any(below))
+
+
 def path_counts(exits: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """workflow, paths (a whole number as text): all paths of each map that take no exit of skip, counted without listing them."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        m = _Map(rows)
-
-        @lru_cache(None)
-        def below(edge: str) -> int:
-            if edge in skip:
-                return 0
-            r = m.all[edge]
-            return 1 if r.to_kind == "end" else sum(below(e.edge_id) for e in m.next(r))
-
-        return pd.DataFrame({"workflow": [rows["workflow"].iloc[0]], "paths": [str(below(START))]})
+        return pd.DataFrame({"workflow": [rows["workflow"].iloc[0]], "paths": [str(_ways(_Map(rows), skip=skip))]})
 
     return exits.groupBy("workflow").applyInPandas(count, "workflow string, paths string")
 
@@ -52,19 +76,13 @@ def reachable(exits: DataFrame) -> DataFrame:
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         m = _Map(rows)
-
-        @lru_cache(None)
-        def ends(edge: str) -> bool:
-            r = m.all[edge]
-            return r.to_kind == "end" or any([ends(e.edge_id) for e in m.next(r)])
-
-        found, todo = set(), [START]
+        alive, found, todo = _alive(m), set(), [START]
         while todo:
             r = m.all[todo.pop()]
-            if r.to_kind == "retry" and ends(r.edge_id):
+            if r.to_kind == "retry" and alive[r.edge_id]:
                 found.add(r.to_id)
             for e in m.next(r):
-                if e.edge_id not in found and ends(e.edge_id):
+                if e.edge_id not in found and alive[e.edge_id]:
                     found.add(e.edge_id)
                     todo.append(e.edge_id)
         return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "edge_id": sorted(found)})
@@ -72,6 +90,43 @@ def reachable(exits: DataFrame) -> DataFrame:
     return exits.groupBy("workflow").applyInPandas(walk, "workflow string, edge_id string")
 
 
+def first_paths(exits: DataFrame, cap: int) -> DataFrame:
+    """workflow, number, steps, end, truncated: each map's first cap paths in the order of exits; truncated if there are more.
+
+    A path takes an exit once at most. Exits that lead to no end are not entered, so each step made belongs to a path
+    unless its way is blocked by exits that it has taken already.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        m = _Map(rows)
+        alive, found = _alive(m), []
+
+        def after(r) -> list:
+            to = [m.all[r.to_id]] if r.to_kind == "retry" else m.next(r)
+            return [e for e in to if alive[e.edge_id]]
+
+        steps: list[str] = []
+        taken, stack = set(), [iter(after(m.all[START]))]
+        if m.all[START].to_kind == "end":
+            found.append(([], m.all[START].to_id))
+        while stack and len(found) <= cap:
+            e = next(stack[-1], None)
+            if e is None:
+                stack.pop()
+                if steps:
+                    taken.remove(steps.pop())
+            elif e.edge_id not in taken:
+                steps.append(e.edge_id)
+                taken.add(e.edge_id)
+                if e.to_kind == "end":
+                    found.append((list(steps), e.to_id))
+                stack.append(iter(after(e) if e.to_kind != "end" else []))
+        kept = found[:cap]
+        return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "number": range(1, len(kept) + 1), "steps": [s for s, _ in kept], "end": [e for _, e in kept], "truncated": len(found) > cap})
+
+    return exits.groupBy("workflow").applyInPandas(walk, "workflow string, number int, steps array<string>, end string, truncated boolean")
+
+
 def gates(exits: DataFrame) -> DataFrame:
     """workflow, junction_id, stage: decisions that every path passes (a map's stages begin at them), in their order.
 
@@ -82,17 +137,6 @@ def gates(exits: DataFrame) -> DataFrame:
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         m = _Map(rows)
         total = m.all[START]
-
-        def count(avoid: str | None) -> int:
-            @lru_cache(None)
-            def below(edge: str) -> int:
-                r = m.all[edge]
-                if r.to_kind == "end":
-                    return 1
-                return sum(below(e.edge_id) for e in m.next(r) if e.junction_id != avoid)
-
-            return below(total.edge_id)
-
         limited = {r.to_id for r in m.all.values() if r.to_kind == "junction" and r.only_edge is not None}
         # inside a loop's body: what is reached from its iteration before its way round
         inside: set[str] = set()
@@ -105,7 +149,7 @@ def gates(exits: DataFrame) -> DataFrame:
                     seen.add(r.to_id)
                     todo += m.next(r)
             inside |= seen
-        found = [j for j in m.ways if j not in limited and j not in inside and count(j) == 0]
+        found = [j for j in m.ways if j not in limited and j not in inside and _ways(m, avoid=j) == 0]
         order: dict[str, int] = {}
         r, seen_edges = total, set()
         todo = [total]
@@ -143,13 +187,13 @@ def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = 10
             r = m.all[edge]
             return [(e.edge_id, r.to_kind == "retry") for e in m.next(r)]
 
-        known: dict[frozenset, int] = {}
+        made: dict[frozenset, tuple[set, list[frozenset]]] = {}
 
-        def total(places: frozenset) -> int:
-            """places: (edge, came round, steps of it said)."""
-            if places in known:
-                return known[places]
-            if len(known) > most_states:
+        def states(places: frozenset) -> list[frozenset]:
+            """The sets of places that one further step leads to; places: (edge, came round, steps of it said)."""
+            if places in made:
+                return made[places][1]
+            if len(made) > most_states:
                 raise OverflowError
             ends, by_step, todo, seen = set(), {}, list(places), set(places)
             while todo:
@@ -164,11 +208,12 @@ def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = 10
                     if (e, again, 0) not in seen:
                         seen.add((e, again, 0))
                         todo.append((e, again, 0))
-            known[places] = len(ends) + sum(total(frozenset(p)) for p in by_step.values())
-            return known[places]
+            made[places] = ends, [frozenset(p) for p in by_step.values()]
+            return made[places][1]
 
+        first = frozenset({(START, False, 0)})
         try:
-            n = str(total(frozenset({(START, False, 0)})))
+            n = str(_from_ends([first], states, lambda p, below: len(made[p][0]) + sum(below))[first])
         except OverflowError:
             n = None
         return pd.DataFrame({"workflow": [key[0]], "scenarios": [n]})

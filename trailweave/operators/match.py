@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from trailweave.sources.tables import START
 
+#: Exits of all maps up to which maps are sent to all executors.
+MOST_EXITS = 200_000
+
 
 def place(to_kind: Column, to_id: Column, only: Column) -> Column:
     junction = F.concat(F.lit("J:"), to_id, F.coalesce(F.concat(F.lit("!"), only), F.lit("")))
@@ -23,10 +26,10 @@ def transitions(exits: DataFrame) -> DataFrame:
     to = exits.withColumn("next", place(F.col("to_kind"), F.col("to_id"), F.col("only_edge")))
     places = to.select("workflow", F.col("next").alias("at"), "to_kind", "to_id", F.col("only_edge").alias("only")).distinct()
     chosen = to.where(F.col("edge_id") != START).select("workflow", "edge_id", "junction_id", "is_retry", "next", ((F.col("kind") == "loop") & (F.col("label") == "iterate")).alias("loops"))
-    p, e = places.alias("p"), chosen.alias("e")
-    at_junction = (F.col("p.to_kind") == "junction") & (F.col("p.to_id") == F.col("e.junction_id")) & ~F.col("e.is_retry") & (F.col("p.only").isNull() | (F.col("p.only") == F.col("e.edge_id")))
-    at_retry = (F.col("p.to_kind") == "retry") & (F.col("p.to_id") == F.col("e.edge_id"))
-    return p.join(e, (F.col("p.workflow") == F.col("e.workflow")) & (at_junction | at_retry)).select("p.workflow", "p.at", "e.edge_id", "e.next", "e.loops")
+    at_junction = places.where("to_kind = 'junction'").withColumnRenamed("to_id", "junction_id").join(chosen.where("not is_retry"), ["workflow", "junction_id"]).where("only is null or only = edge_id")
+    at_retry = places.where("to_kind = 'retry'").withColumnRenamed("to_id", "edge_id").join(chosen, ["workflow", "edge_id"])
+    columns = ["workflow", "at", "edge_id", "next", "loops"]
+    return at_junction.select(*columns).union(at_retry.select(*columns))
 
 
 def maps(exits: DataFrame) -> DataFrame:
@@ -39,6 +42,11 @@ def maps(exits: DataFrame) -> DataFrame:
     return start.join(moves, "workflow", "left").join(known, "workflow", "left")
 
 
+def small_maps(exits: DataFrame, most: int = MOST_EXITS) -> DataFrame:
+    """maps(exits), sent to all executors if there are at most `most` exits, so that runs needn't be shuffled; else Spark chooses the join."""
+    return F.broadcast(maps(exits)) if exits.limit(most + 1).count() <= most else maps(exits)
+
+
 def unmarked(steps: Column, units: tuple[str, ...] = ()) -> Column:
     """struct(steps, unit_hits, bad) of a recorded run: its enter and leave markers (>S1, <S1) taken out.
 
@@ -76,7 +84,7 @@ def matched(traces: DataFrame, exits: DataFrame) -> DataFrame:
         legal = (a["bad"] == 0) & next_.isNotNull()
         return F.struct(F.when(legal, next_).otherwise(a["at"]).alias("at"), F.when(legal, path).otherwise(a["path"]).alias("path"), F.when(a["bad"] > 0, a["bad"]).when(legal, 0).otherwise(a["i"] + 1).alias("bad"), (a["i"] + 1).alias("i"))
 
-    walked = traces.join(F.broadcast(maps(exits)).alias("_m"), "workflow", "left").withColumn("_w", F.when(F.col("_m.start").isNotNull(), F.aggregate("steps", zero, step)))
+    walked = traces.join(small_maps(exits).alias("_m"), "workflow", "left").withColumn("_w", F.when(F.col("_m.start").isNotNull(), F.aggregate("steps", zero, step)))
     ended = (F.col("_w.bad") == 0) & F.col("_w.at").startswith("E:")
     return walked.select(
         *[traces[c] for c in traces.columns if c != "workflow"], F.col("workflow"), F.col("_w").isNotNull().alias("known"), F.coalesce(ended, F.lit(False)).alias("matched"), F.col("_w.path").alias("path"),
@@ -99,14 +107,14 @@ def triaged(matches: DataFrame, hashes: DataFrame | None = None, allow_stale: bo
     if "status" in has:
         kind = kind.when(F.col("status") != "complete", "incomplete")
     if hashes is not None and not allow_stale:
-        matches = matches.join(F.broadcast(hashes.select("workflow", F.col("function_hash").alias("_hash"))), "workflow", "left")
+        matches = matches.join(hashes.select("workflow", F.col("function_hash").alias("_hash")), "workflow", "left")
         kind = kind.when(~F.col("function_hash").eqNullSafe(F.col("_hash")), "stale")
     return matches.withColumn("kind", kind.when(~F.col("matched"), "unmatched").otherwise("counted")).drop("_hash")
 
 
 def mismatch_cause(exits: DataFrame, matches: DataFrame) -> DataFrame:
     """For runs that fit no path: the step that failed, and a likely cause from where the run was."""
-    unfit = matches.where(~F.col("matched") & F.col("known")).join(F.broadcast(maps(exits).select("workflow", "edges")), "workflow")
+    unfit = matches.where(~F.col("matched") & F.col("known")).join(maps(exits).select("workflow", "edges"), "workflow")
     step = F.try_element_at(F.col("steps"), F.when(F.col("bad_step") > 0, F.col("bad_step")).cast("int"))
     cause = (
         F.when(F.col("bad_step") == 0, "stopped before an end").when(F.col("at").startswith("E:"), "went on after an end").when(F.col("at") == "D", "went on after a panic")

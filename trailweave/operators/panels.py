@@ -11,7 +11,7 @@ from trailweave.functions.measures import grade, percent
 def stage_pieces(paths: DataFrame, gates: DataFrame, exits: DataFrame) -> DataFrame:
     """paths' columns with stage and piece: each path (steps) cut at its map's gates; gates: workflow, junction_id, stage."""
     of = exits.select("workflow", "edge_id", "junction_id").join(gates, ["workflow", "junction_id"], "left").select("workflow", "edge_id", F.col("stage").alias("_begins"))
-    steps = paths.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode("steps").alias("_at", "edge_id")).join(F.broadcast(of), ["workflow", "edge_id"], "left")
+    steps = paths.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode("steps").alias("_at", "edge_id")).join(of, ["workflow", "edge_id"], "left")
     along = Window.partitionBy("_row").orderBy("_at")
     placed = steps.withColumn("stage", F.coalesce(F.last("_begins", ignorenulls=True).over(along), F.lit(0)))
     keep = [c for c in paths.columns if c != "steps"]
@@ -100,6 +100,15 @@ def unread(model: DataFrame, results: DataFrame, cap: int) -> DataFrame:
     return model.select("workflow", "what", "where").unionByName(capped)
 
 
+def external_maps(external: DataFrame) -> DataFrame:
+    """workflow, external: the map that external_steps reads; external: workflow, edge_id, steps, zero, iterate."""
+    entry = lambda key, value: F.struct(key.alias("k"), value.alias("v"))
+    own = entry(F.col("edge_id"), F.col("steps"))
+    loop = F.array(entry(F.concat(F.lit("0:"), "edge_id"), F.col("zero")), entry(F.concat(F.lit("i:"), "edge_id"), F.array("iterate")))
+    rows = external.select("workflow", F.explode(F.when(F.col("iterate").isNull(), F.array(own)).otherwise(F.concat(F.array(own), loop))).alias("e"))
+    return rows.groupBy("workflow").agg(F.map_from_entries(F.collect_list("e")).alias("external"))
+
+
 def external_steps(steps: Column, external: Column) -> Column:
     """A path's external steps: external is a map from an exit to its steps; a loop's exit adds its "0 rounds" step only if it wasn't iterated before.
 

@@ -1,17 +1,13 @@
-"""What a map alone says: its paths, their number, its pairs, its reachable exits, its gates.
-
-Paths are listed by a frontier that grows a step a round, all workflows at once. A path takes each exit at most
-once, so a round ends at the latest when all exits are used.
-"""
+"""What a map alone says: its paths and its pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.ids import path_id, path_key
-from trailweave.operators.match import place, transitions
-from trailweave.sources.tables import START
+from trailweave.operators.graphs import first_paths
+from trailweave.operators.match import transitions
 
 CAP = 2000
 
@@ -19,25 +15,10 @@ CAP = 2000
 def listed(exits: DataFrame, cap: int = CAP) -> DataFrame:
     """workflow, number, steps, end, path_id, path_key, truncated: each workflow's first `cap` paths in the order of exits.
 
-    A frontier that has outgrown the cap keeps its first rows in that order: later ones can't be listed.
+    A map is bounded by its code and its list by the cap, so a map is a group; all maps of a project are one job.
     """
-    moves = F.broadcast(transitions(exits).join(exits.select("workflow", "edge_id", "ord"), ["workflow", "edge_id"]).select("workflow", "at", "edge_id", "next", "ord"))
-    first = exits.where(F.col("edge_id") == START)
-    open_ = first.select("workflow", place(F.col("to_kind"), F.col("to_id"), F.col("only_edge")).alias("at"), F.array().cast("array<string>").alias("steps"), F.array().cast("array<int>").alias("way"))
-    rounds = exits.where(F.col("edge_id") != START).groupBy("workflow").count().agg(F.max("count")).first()[0] or 0
-    before = Window.partitionBy("workflow").orderBy("way")
-    done = None
-    for _ in range(rounds + 1):
-        ended = open_.where(F.col("at").startswith("E:")).select("workflow", "steps", F.substring("at", 3, 1 << 30).alias("end"), "way")
-        done = ended if done is None else done.unionByName(ended)
-        if open_.where("not startswith(at, 'E:') and at <> 'D'").isEmpty():
-            break
-        grown = open_.join(moves, ["workflow", "at"]).where(~F.array_contains("steps", F.col("edge_id")))
-        grown = grown.select("workflow", F.col("next").alias("at"), F.concat("steps", F.array("edge_id")).alias("steps"), F.concat("way", F.array("ord")).alias("way"))
-        open_ = grown.withColumn("_n", F.row_number().over(before)).where(F.col("_n") <= cap + 1).drop("_n")
-    numbered = done.withColumn("number", F.row_number().over(before)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy("workflow")))
-    out = numbered.where(F.col("number") <= cap)
-    return out.select("workflow", "number", "steps", "end", path_id(F.col("steps"), F.col("end")).alias("path_id"), path_key(F.col("steps"), F.col("end")).alias("path_key"), (F.col("_all") > cap).alias("truncated"))
+    steps, end = F.col("steps"), F.col("end")
+    return first_paths(exits, cap).select("workflow", "number", "steps", "end", path_id(steps, end).alias("path_id"), path_key(steps, end).alias("path_key"), "truncated")
 
 
 def legal_pairs(exits: DataFrame) -> DataFrame:
@@ -56,7 +37,7 @@ def legal_pairs(exits: DataFrame) -> DataFrame:
 def pairs_of(paths: DataFrame, exits: DataFrame) -> DataFrame:
     """Every column of paths but steps, with first, second: neighbouring steps of each path, ways round loops left out."""
     retries = exits.groupBy("workflow").agg(F.collect_set(F.when(F.col("is_retry"), F.col("edge_id"))).alias("_retries"))
-    kept = paths.join(F.broadcast(retries), "workflow").withColumn("steps", F.array_except("steps", "_retries"))
+    kept = paths.join(retries, "workflow").withColumn("steps", F.array_except("steps", "_retries"))
     n = F.size("steps")
     both = F.when(n > 1, F.arrays_zip(F.slice("steps", F.lit(1), n - 1).alias("first"), F.slice("steps", F.lit(2), n - 1).alias("second")))
     return kept.withColumn("_p", F.explode(both)).select(*[c for c in paths.columns if c != "steps"], "_p.first", "_p.second")

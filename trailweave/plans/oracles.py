@@ -163,8 +163,10 @@ ORACLES: dict[str, str] = {
       found as (select case when n = 0 then '0' when n = 1 then '1' else '2+' end as bucket, count(*) as entries from per_run where n > 0 or left_ group by 1)
       select 'shopper' as workflow, 'J1' as junction_id, bucket, coalesce(entries, 0)::bigint as entries, coalesce(entries, 0) > 0 as seen from (values ('0'), ('1'), ('2+')) b(bucket) left join found using (bucket)""",
     "condition_coverage": """with w as (select case when user_id % 17 = 0 then 'ghost' else 'shopper' end as workflow, 'c:' || (event_id % 7) as condition_id, value > 20 as v from events where user_id % 5 + 1 >= 4),
-      seen as (select distinct workflow, condition_id, v from w)
-      select workflow, 9::bigint as atoms, count(*) as seen, 18::bigint as total, 'recorded' as status from seen group by workflow""",
+      seen as (select distinct workflow, condition_id, v from w),
+      atoms as (select workflow, 'c:' || i as condition_id from (values ('shopper'), ('ghost')) n(workflow), unnest(range(9)) t(i))
+      select a.workflow, count(distinct a.condition_id) as atoms, count(s.v) as seen, 18::bigint as total, case when a.workflow in (select workflow from w) then 'recorded' else 'not recorded' end as status
+      from atoms a left join seen s using (workflow, condition_id) group by a.workflow""",
     "rule_match": f"with {RULED} select workflow, path_id, source from hits",
     "classified_paths": f"with {RULED} select workflow, path_id, bucket, label, source, 0 as extra from classified",
     "bucket_breakdown": f"""with {RULED}, c as (select *, bucket in ('testable', 'needs-review') as counts from classified)
@@ -189,11 +191,11 @@ ORACLES: dict[str, str] = {
       from classified where (had and not covered) or (not had and not covered and bucket in ('testable', 'needs-review'))""",
     "snapshot_diff": f"""with {ORDERS}, s as (select workflow, path_id, count(*) filter (order_id % 2 = 0) as a, count(*) filter (order_id % 2 = 1) as b from order_runs group by all)
       select workflow, path_id, case when a = 0 then 'new' when b = 0 then 'removed' else 'changed' end as change from s where a <> b""",
-    "missed_ranking": f"""with {ORDERS}, m as (select workflow, steps, count(*) as missed_paths, len(steps) as line, 'Test' || len(steps) as base, ['cancel', 'compensation', 'activity failure', 'continue-as-new', 'timer', 'signal', 'old version', 'plain logic'][len(steps) % 8 + 1] as risk,
+    "missed_ranking": f"""with {ORDERS}, m as (select workflow, steps, count(*) as missed_paths, len(steps) as line, 'Test' || len(steps) as base, ['cancel', 'compensation', 'activity failure', 'continue-as-new', 'timers and timeouts', 'signals and updates', 'plain logic', 'old version branches'][len(steps) % 8 + 1] as risk,
         sha256(workflow || '|' || array_to_string(steps, ' ')) as branch_id from paths where not covered group by workflow, steps),
-      r as (select *, row_number() over (partition by workflow order by line % 8, missed_paths desc, line, branch_id) as rank from m),
-      t as (select *, row_number() over (partition by workflow, base order by rank) as twin from r)
-      select workflow, branch_id, risk, missed_paths, rank::int as rank, case when twin > 1 then base || twin else base end as name from t""",
+      r as (select *, row_number() over (order by line % 8, missed_paths desc, line, branch_id) as rank from m),
+      t as (select *, row_number() over (partition by base order by rank) as twin from r)
+      select workflow, branch_id, risk, missed_paths, rank::int as rank, case when twin > 1 then base || '_' || twin else base end as name from t""",
     "tests_first": f"with {ORDERS} select workflow, coalesce(steps[1], '') as hint, count(*) as paths, count(*) as variants from paths where not covered group by 1, 2",
     "priority_grades": f"""with {ORDERS}, c as (select workflow, count(*) as paths, count(*) filter (covered) as covered from paths group by workflow)
       select *, 100.0::double * covered / paths as percent, case when 2 * covered < paths then 'High' when 5 * covered > 4 * paths then 'Low' else 'Medium' end as priority, (floor(covered * 1000.0::double / paths + 0.5) / 10)::double as main,

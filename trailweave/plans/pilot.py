@@ -57,6 +57,47 @@ RUNS: list[tuple[str, str, str]] = [
 ]
 
 
+#: External steps of exits: what a run does outside itself where it takes them (fixed values).
+STEPS: dict[str, dict[str, list[str]]] = {
+    "orders.OrderWorkflow": {"J2.failure": ["ChargeCard (activity): failure"], "J2.success": ["ChargeCard (activity): success"]},
+    "approval.ApprovalWorkflow": {
+        "J1.failure": ["AwaitWithTimeout (wait): failure"], "J1.success": ["AwaitWithTimeout (wait): success"], "J2.timeout": ["if !ok (AwaitWithTimeout): timeout"], "J2.signaled": ["if !ok (AwaitWithTimeout): signaled"],
+        "J3.true": ['if decision == "approved": true'], "J3.false": ['if decision == "approved": false'],
+    },
+    "polling.ReportPollingWorkflow": {
+        "J1.iterate": ["loop for attempt <= in.MaxPolls: 1+ rounds"], "J2.failure": ["CheckStatus (activity): failure"], "J2.success": ["CheckStatus (activity): success"], "J3.default": ["timer"],
+    },
+    "shipment.ShipmentWorkflow": {
+        "J1.failure": ["CreateLabel (activity): failure"], "J1.success": ["CreateLabel (activity): success"], 'J2.signal "delivery-update"': ['select (Selector): signal "delivery-update"'], "J2.timeout": ["select (Selector): timeout"],
+        "J4.failure": ["NotifyCustomer (activity): failure"], "J4.success": ["NotifyCustomer (activity): success"],
+    },
+    "fulfillment.OrderFulfillmentWorkflow": {
+        "J1.failure": ["ReserveInventory (activity): failure"], "J1.success": ["ReserveInventory (activity): success"], "J2.failure": ["PaymentWorkflow (child workflow): failure"], "J2.success": ["PaymentWorkflow (child workflow): success"],
+        "J3.failure": ["ShipOrder (activity): failure"], "J3.success": ["ShipOrder (activity): success"],
+    },
+    "fulfillment.PaymentWorkflow": {
+        "J1.failure": ["AuthorizeCard (activity): failure"], "J1.success": ["AuthorizeCard (activity): success"], "J3.failure": ["FraudReview (activity): failure"], "J3.success": ["FraudReview (activity): success"],
+    },
+    "billing.SubscriptionWorkflow": {"J1.iterate": ["loop for i < s.CyclesPerRun: 1+ rounds"], "J2.failure": ["ChargeMonthly (activity): failure"], "J2.success": ["ChargeMonthly (activity): success"]},
+    "reports.DailyReportWorkflow": {
+        "J2.failure": ["BuildReport (activity): failure"], "J2.success": ["BuildReport (activity): success"], "J3.failure": ["EmailReport (activity): failure"], "J3.success": ["EmailReport (activity): success"],
+    },
+}
+#: What the exit of a loop adds if the loop wasn't iterated, and the loop's iterating exit (fixed values).
+ZERO_ROUNDS: dict[str, dict[str, tuple[str, str]]] = {
+    "polling.ReportPollingWorkflow": {"J1.exit": ("loop for attempt <= in.MaxPolls: 0 rounds", "J1.iterate")},
+    "billing.SubscriptionWorkflow": {"J1.exit": ("loop for i < s.CyclesPerRun: 0 rounds", "J1.iterate")},
+}
+
+
+def pilot_external(spark: SparkSession) -> DataFrame:
+    """workflow, edge_id, steps, zero (steps of a loop's exit after no round), iterate (the loop's iterating exit, or null)."""
+    zero = {(w, e): z for w, of in ZERO_ROUNDS.items() for e, z in of.items()}
+    keys = {(w, e) for w, of in STEPS.items() for e in of} | set(zero)
+    rows = [(w, e, STEPS[w].get(e, []), [zero[w, e][0]] if (w, e) in zero else [], zero[w, e][1] if (w, e) in zero else None) for w, e in sorted(keys)]
+    return spark.createDataFrame(rows, "workflow string, edge_id string, steps array<string>, zero array<string>, iterate string")
+
+
 def exit_rows(maps: dict = MAPS) -> list[tuple]:
     """maps as rows of sources.tables.EXITS; the first junction is where a run starts."""
     rows: list[tuple] = []
