@@ -57,9 +57,20 @@ def _ways(m: _Map, avoid: str | None = None, skip: tuple[str, ...] = ()) -> int:
 
 
 def _alive(m: _Map) -> dict[str, bool]:
-    """Of each exit whether an end can be reached by it."""
-    after = lambda edge: [e.edge_id for e in m.next(m.all[edge])]
-    return _from_ends(list(m.all), after, lambda edge, below: m.all[edge].to_kind == "end" or any(below))
+    """Of each exit whether an end can be reached by it: a search from the ends backwards, which bears ways that lead back."""
+    before: dict[str, list[str]] = {}
+    for edge, r in m.all.items():
+        for e in m.next(r):
+            before.setdefault(e.edge_id, []).append(edge)
+        if r.to_kind == "retry":
+            before.setdefault(r.to_id, []).append(edge)
+    alive, todo = dict.fromkeys(m.all, False), [edge for edge, r in m.all.items() if r.to_kind == "end"]
+    while todo:
+        edge = todo.pop()
+        if not alive[edge]:
+            alive[edge] = True
+            todo += before.get(edge, [])
+    return alive
 
 
 def path_counts(exits: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.ids import path_id, path_key
 from trailweave.plans.pilot import exit_rows
-from trailweave.sources.tables import exits
+from trailweave.sources.tables import START, exits
 
 SHOPPER = {"shopper": {"J1": ("loop", {"iterate": "J2", "exit": "J3"}), "J2": ("switch", {"click": "J1", "error": "=failed"}), "J3": ("if", {"true": "=completed", "false": "=completed"})}}
 STEPS = {"view": "J1.iterate", "signup": "J1.exit", "click": "J2.click", "error": "J2.error", "purchase": "J3.true"}
@@ -51,3 +51,16 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_runs(spark, sf_dir).withColumn("path_key", path_key(F.col("steps"), F.col("end")))
     out = rows.groupBy("workflow", "path_key").agg(F.first("steps").alias("steps"), F.first("end").alias("end"), F.count(F.lit(1)).alias("runs"), F.bool_or(F.col("order_id") % 3 == 0).alias("covered"), F.bool_or(F.col("order_id") % 2 == 0).alias("had"))
     return out.withColumn("path_id", path_id(F.col("steps"), F.col("end")))
+
+
+def order_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each order: line n is the decision Jn, whose exit "next" leads to the following line (the last one: completed), and "back" ends as failed if the line was returned, else leads nowhere."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"))).alias("s"))
+    at = lines.select(F.col("l_orderkey").cast("string").alias("workflow"), F.size("s").alias("n"), F.posexplode(F.transform("s", lambda x: x["l_returnflag"])).alias("i", "flag"))
+    junction, last = F.concat(F.lit("J"), F.col("i") + 1), F.col("i") + 1 == F.col("n")
+    way = lambda label, ord_, kind, to: F.struct(F.concat(junction, F.lit(f".{label}")).alias("edge_id"), junction.alias("junction_id"), F.lit("if").alias("kind"), F.lit(label).alias("label"), F.lit(ord_).alias("ord"), kind.alias("to_kind"), to.alias("to_id"))
+    on = way("next", 0, F.when(last, "end").otherwise("junction"), F.when(last, "completed").otherwise(F.concat(F.lit("J"), F.col("i") + 2)))
+    back = way("back", 1, F.when(F.col("flag") == "R", "end").otherwise("dead"), F.when(F.col("flag") == "R", "failed").otherwise(""))
+    start = F.struct(F.lit(START).alias("edge_id"), F.lit("").alias("junction_id"), F.lit("start").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("ord"), F.lit("junction").alias("to_kind"), F.lit("J1").alias("to_id"))
+    rows = at.select("workflow", F.explode(F.when(F.col("i") == 0, F.array(start, on, back)).otherwise(F.array(on, back))).alias("e"))
+    return rows.select("workflow", "e.edge_id", "e.junction_id", "e.kind", "e.label", "e.ord", F.lit(False).alias("is_retry"), "e.to_kind", "e.to_id", F.lit(None).cast("string").alias("only_edge"))

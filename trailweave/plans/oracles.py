@@ -217,3 +217,86 @@ ORACLES: dict[str, str] = {
       select 'ship' as workflow, call, outcome, exists (select 1 from lineitem where l_returnflag || l_linestatus = edge) as seen, place from s""",
     "covered_stay_testable": f"with {RULED} select workflow, path_id from classified where covered and bucket <> 'testable'",
 }
+
+EVERY = (
+    RULED
+    + """,
+has as (select *, list_contains(steps, 'R') as r, list_contains(steps, 'A') as a, list_contains(steps, 'N') as n, path_id[1] as d from paths),
+said as (
+  select workflow, path_id, 'override' as source, 0 as rank, 'needs-special-test' as bucket, 'known-defect' as label from has where d = '0'
+  union all select workflow, path_id, 'comment', 1, 'cannot-be-tested', 'comment' from has where workflow = '1-URGENT' and r
+  union all select workflow, path_id, source, 2, bucket, label from verdicts
+  union all select workflow, path_id, 'closed-signal-channel', 3, 'needs-review', 'needs-review' from has where a
+  union all select workflow, path_id, 'version-gate-old-branch', 5, 'needs-special-test', 'version-gate-old-branch' from has where n
+  union all select workflow, path_id, 'history-limit', 6, case when n then 'needs-special-test' else 'needs-review' end, case when n then 'history-limit' else 'needs-review' end from has where n or r
+  union all select workflow, path_id, 'contradictory', 7, 'cannot-be-tested', 'contradictory' from has where r and a
+  union all select workflow, path_id, 'loop-exit-before-first-trip', 10, 'cannot-be-tested', 'impossible-loop-exit' from has where r and not n
+  union all select workflow, path_id, 'value-flow', 12, 'cannot-be-tested', 'impossible-nil' from has where d in ('1', '2')
+  union all select workflow, path_id, 'likely-defect', 15, 'needs-review', 'likely-defect' from has where d in ('3', '4')
+  union all select workflow, path_id, 'unknown-input-type', 14, 'needs-review', 'unknown-input-type' from has where d = '5')
+"""
+)
+
+
+def _settled(where: str = "true") -> str:
+    return f"""{EVERY},
+ordered as (select *, row_number() over (partition by workflow, path_id order by rank, source, label) as nth from said where {where}),
+first as (select * from ordered where nth = 1),
+further as (select workflow, path_id, string_agg(source, ' ' order by source) as extra from ordered where nth > 1 group by all),
+settled as (
+  select p.*, case when p.covered or v.source is null then 'testable' else v.bucket end as bucket, case when p.covered or v.source is null then 'default' else v.label end as label,
+         case when p.covered or v.source is null then 'default' else v.source end as source, coalesce(f.extra, '') as extra
+  from paths p left join first v using (workflow, path_id) left join further f using (workflow, path_id))
+"""
+
+
+#: Maps of orders: a walk goes from line to line and may end as failed at each returned one.
+ORDER_MAPS = """
+walked as (select l_orderkey::varchar as workflow, list(l_returnflag order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) as flags from lineitem group by 1),
+ends as (
+  select workflow, len(flags) + 1 as pos, list_transform(range(1, len(flags) + 1), lambda i: 'J' || i || '.next') as steps, 'completed' as end from walked
+  union all
+  select workflow, i, list_transform(range(1, i), lambda k: 'J' || k || '.next') || ['J' || i || '.back'], 'failed' from walked, unnest(range(1, len(flags) + 1)) t(i) where flags[i] = 'R')
+"""
+
+ORACLES |= {
+    "every_source": f"with {_settled()} select workflow, path_id, bucket, label, source, extra from settled",
+    "detectors_off": f"with {_settled("source not in ('contradictory', 'history-limit')")} select workflow, source, count(*) as paths from settled group by all",
+    "possible_bugs": f"with {_settled()} select workflow, coalesce(steps[1], '') as place, count(*) as paths, min(path_id) as example from settled where label = 'likely-defect' group by all",
+    "unused_rules": f"""with {RULED}, entries as (select distinct workflow, r.rule_id from paths, (values ('many-returns'), ('no-return'), ('known'), ('old')) r(rule_id))
+      select workflow, rule_id from entries e where not exists (select 1 from hits h where h.workflow = e.workflow and h.source = 'rule:' || e.rule_id)""",
+    "distrusted_claims": f"""with {_settled()}, doubted as (select *, bucket = 'cannot-be-tested' and case when workflow < '3' then steps[1] = 'R' else steps[1] = 'A' and steps[2] = 'R' end as doubt from settled)
+      select workflow, path_id, case when doubt then 'needs-review' else bucket end as bucket, case when doubt then 'unexplained' else label end as label from doubted""",
+    "risk_tags": f"""with {ORDERS}, cut as (select *, case when list_contains(steps, 'N') then steps[list_position(steps, 'N') + 1:] else [] end as later from paths),
+      more as (select *, case when list_contains(later, 'R') then later[list_position(later, 'R') + 1:] else [] end as after_failure from cut)
+      select workflow, path_id, case when list_contains(after_failure, 'N') or list_contains(after_failure, 'R') then 'compensation' when list_contains(steps, 'R') then 'activity failure' when list_contains(steps, 'A') then 'timers and timeouts'
+        when end_kind = 'P' then 'signals and updates' else 'plain logic' end as risk from more""",
+    "outcome_summary": f"""with s as ({ORACLES["outcome_status"]}), c as (select workflow, count(*) filter (status <> 'impossible') as possible, count(*) filter (status = 'covered') as covered, count(*) filter (status = 'blocked') as blocked, count(*) filter (status = 'impossible') as impossible from s group by workflow)
+      select *, case when possible = 0 then 0.0 else 100.0::double * covered / possible end as percent from c""",
+    "acknowledged_groups": f"""with {RUNS}, g as (select workflow, 't1:' || substr(sha256(array_to_string(steps, chr(10))), 1, 12) as steps_id, count(*) as runs from kinds where kind = 'unmatched' group by workflow, kinds.steps)
+      select *, right(steps_id, 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e') as explained from g""",
+    "beyond_list": f"""with {RUNS} select workflow, array_to_string(path, ' ') as steps, maybe_end as end, count(*) as runs from counted
+      where array_to_string(path, ' ') not in ('J1.iterate J2.click J1.exit J3.true', 'J1.iterate J2.click J1.exit J3.false') group by workflow, path, maybe_end""",
+    "coverage_drops": f"""with {ORDERS}, c as (select workflow, 100.0::double * count(*) filter (covered) / count(*) as percent, 100.0::double * count(*) filter (had) / count(*) as was from paths group by workflow)
+      select workflow, percent, was from c where was - percent > 0.5""",
+    "gate_exit_code": f"with g as ({ORACLES['ci_gates']}) select case when bool_or(failed) then 2 else 0 end as code from g",
+    "worst_first": f"""with {ORDERS}, c as (select workflow, count(*) filter (covered) as covered, count(*) as total, 100.0::double * count(*) filter (covered) / count(*) as percent from paths group by workflow)
+      select *, percent >= 40 as met, row_number() over (order by percent >= 40, percent, total - covered desc, workflow)::int as place from c""",
+    "branch_headline": f"""with {ORDERS}, e as (select workflow, edge, bool_or(covered and runs > 40) as took from (select workflow, covered, runs, unnest(steps) as edge from paths) group by all),
+      w as (select workflow, count(*) as branches, count(*) filter (took) as taken from e group by workflow), t as (select sum(branches)::bigint as branches, sum(taken)::bigint as taken, count(*) filter (taken * 100.0 / branches >= 75) as at_target from w)
+      select *, 100.0::double * taken / branches as percent, case when 100.0 * taken / branches >= 90 then 'A' when 100.0 * taken / branches >= 75 then 'B' when 100.0 * taken / branches >= 60 then 'C' else 'D' end as grade from t""",
+    "forced_decisions": f"""with {ORDERS}, o as (select workflow, steps[1] as decision, steps[2] as outcome, bool_or(covered and runs > 20) as ran from paths where len(steps) > 1 group by all),
+      t as (select a.workflow, a.decision, a.outcome, string_agg(b.outcome, ' ' order by b.outcome) as tests_of from o a join o b on a.workflow = b.workflow and a.decision = b.decision and b.ran and b.outcome <> a.outcome group by all) select * from t""",
+    "decision_check": """with r as (select case when l_returnflag = 'R' then 'noticed' when l_returnflag = 'A' then 'survived' when l_quantity > 40 then 'flaky' else 'no visible effect' end as result from lineitem),
+      c as (select count(*) filter (result = 'noticed') as noticed, count(*) filter (result = 'survived') as survived, count(*) filter (result = 'no visible effect') as no_visible_effect, count(*) filter (result = 'flaky') as flaky from r)
+      select *, 100.0::double * noticed / (noticed + survived) as score from c""",
+    "anchor_changes": "select p_partkey::varchar as rule_id, 1::int as entry, p_type as was, p_brand as \"is\" from part where p_partkey % 7 = 0 and p_type is distinct from p_brand",
+    "unmarked_runs": f"with {ORDERS} select order_id, array_to_string(steps, ' ') as steps, order_id % 5 = 0 as bad from order_runs",
+    "stated_assumptions": f"with {ORDERS} select assumption, count(*) as paths, count(distinct workflow) as workflows from (select workflow, unnest(list_distinct(steps)) as assumption from paths) group by 1",
+    "order_maps": f"with {ORDER_MAPS} select workflow, count(*)::varchar as paths from ends group by workflow",
+    "order_map_paths": f"with {ORDER_MAPS} select workflow, row_number() over (partition by workflow order by pos desc)::int as number, array_to_string(steps, ' ') as steps, \"end\" from ends",
+    # on the pilot's maps a decision that all paths pass is a gate
+    "stage_gates": f"""with recursive {MAP}, met as (select l.workflow, l.number, split_part(s, '.', 1) as junction_id, i from listed l, unnest(range(1, len(steps) + 1)) t(i), unnest([steps[i]]) u(s)),
+      every as (select workflow, junction_id, min(i) as pos, count(distinct number) as n from met group by all), total as (select workflow, count(*) as n from listed group by workflow)
+      select e.workflow, junction_id, row_number() over (partition by e.workflow order by pos) - 1 as stage from every e join total t on e.workflow = t.workflow and e.n = t.n""",
+}

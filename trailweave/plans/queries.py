@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import measures
 from trailweave.functions.ids import branch_id, path_id
-from trailweave.operators import classify, compare, coverage, graphs, match, paths
+from trailweave.operators import classify, compare, coverage, graphs, match, panels, paths
 from trailweave.plans import pilot
-from trailweave.plans.adapters import order_paths, order_runs, shopper_exits, table, user_day
+from trailweave.plans.adapters import order_exits, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,164 @@ def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def covered_stay_testable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.hidden_covered(_classified(spark, sf_dir)).select("workflow", "path_id")
+
+
+#: Facts on the flags of orders: exit, kind, name, negated, likely (fixed values).
+FACTS = [
+    ("R", "same-value", "v", False, False), ("A", "same-value", "v", True, False), ("N", "version-gate", "", False, False), ("A", "closed-signal-channel", "", False, True),
+    ("R", "history-limit", "", False, True), ("N", "history-limit", "", False, False), ("R", "first-trip-always", "N", False, False),
+]
+
+
+def _all_verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths of orders, and verdicts of every kind of source on them."""
+    found = order_paths(spark, sf_dir)
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("workflow")).distinct()
+    facts = names.withColumn("f", F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("edge_id", "kind", "name", "negated", "likely"), f)]) for f in FACTS]))).select("workflow", "f.*")
+    starts = F.substring("path_id", 1, 1)
+    overrides = found.where(starts == "0").select("workflow", "path_id", F.lit("needs-special-test").alias("bucket"), F.lit("known-defect").alias("label"))
+    marks = names.where("workflow = '1-URGENT'").select("workflow", F.lit("R").alias("edge_id"), F.lit("comment").alias("label"))
+    claim = lambda where, detector, label: found.where(where).select("workflow", "path_id", F.lit(detector).alias("detector"), F.lit(label).alias("label"))
+    claims = claim(starts.isin("1", "2"), "value-flow", "impossible-nil").union(claim(starts.isin("2", "3", "4"), "likely-defect", "")).union(claim(starts.isin("4", "5"), "unknown-input-type", ""))
+    parts = (classify.by_overrides(found, overrides), classify.by_marks(found, marks), classify.by_rules(found, _rules(spark, sf_dir)), classify.single_facts(found, facts), classify.contradictions(found, facts), classify.leaves_before_trip(found, facts), classify.analysed(claims))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return found, out
+
+
+def _every_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classified(*_all_verdicts(spark, sf_dir))
+
+
+@query
+def every_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_source(spark, sf_dir).select("workflow", "path_id", "bucket", "label", "source", F.array_join("extra", " ").alias("extra"))
+
+
+@query
+def detectors_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, verdicts = _all_verdicts(spark, sf_dir)
+    return classify.classified(found, classify.enabled(verdicts, ("contradictory", "history-limit"))).groupBy("workflow", "source").agg(F.count(F.lit(1)).alias("paths"))
+
+
+@query
+def possible_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _every_source(spark, sf_dir).withColumn("suspect", F.coalesce(F.try_element_at("steps", F.lit(1)), F.lit(""))).withColumn("number", F.col("path_id"))
+    return panels.possible_bugs(rows)
+
+
+@query
+def unused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _rules(spark, sf_dir).select("workflow", "rule_id")
+    entries = entries.union(entries.where("rule_id = 'known'").select("workflow", F.lit("old")))
+    return classify.unused(entries, classify.by_rules(order_paths(spark, sf_dir), _rules(spark, sf_dir))).select("workflow", "rule_id")
+
+
+@query
+def distrusted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that came as far as R, or A R, and then fitted no path."""
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("workflow")).distinct()
+    unmatched = names.select("workflow", F.when(F.col("workflow") < "3", F.array(F.lit("R"))).otherwise(F.array(F.lit("A"), F.lit("R"))).alias("followed"))
+    return classify.distrusted(_every_source(spark, sf_dir), unmatched).select("workflow", "path_id", "bucket", "label")
+
+
+@query
+def risk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.create_map(F.lit("N"), F.lit("ShipOrder (activity): success"), F.lit("R"), F.lit("ChargeCard (activity): failure"), F.lit("A"), F.lit("timer"))
+    rows = order_paths(spark, sf_dir)
+    external = F.concat(F.transform(F.col("steps"), lambda s: said[s]), F.when(F.col("end") == "P", F.array(F.lit('signal "pay"'))).otherwise(F.array().cast("array<string>")))
+    return rows.select("workflow", "path_id", compare.risk_of(external, F.lit(False)).alias("risk"))
+
+
+@query
+def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.outcome_summary(QUERIES["outcome_status"](spark, sf_dir))
+
+
+@query
+def acknowledged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = coverage.unmatched_groups(_triaged(spark, sf_dir))
+    explained = groups.where(F.substring("steps_id", -1, 1).isin(*"02468ace")).select("workflow", "steps_id", F.lit("known").alias("reason"))
+    return coverage.acknowledged(groups, explained)[0].select("workflow", "steps_id", "runs", "explained")
+
+
+@query
+def beyond_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.beyond_list(paths.listed(shopper_exits(spark), cap=2), _counted(spark, sf_dir)).select("workflow", joined("steps").alias("steps"), "end", "runs")
+
+
+@query
+def coverage_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_paths(spark, sf_dir)
+    return compare.drops(coverage.path_coverage(found.withColumn("covered", F.col("had"))), coverage.path_coverage(found), 0.5)
+
+
+@query
+def gate_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.exit_code(QUERIES["ci_gates"](spark, sf_dir))
+
+
+@query
+def worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = coverage.path_coverage(order_paths(spark, sf_dir)).select("workflow", "covered", F.col("paths").alias("total"), "percent", (F.col("percent") >= 40).alias("met"))
+    return panels.worst_first(rows)
+
+
+@query
+def branch_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = order_paths(spark, sf_dir).select("workflow", F.explode("steps").alias("edge_id"), (F.col("covered") & (F.col("runs") > 40)).alias("took"))
+    of = every.groupBy("workflow", "edge_id").agg(F.bool_or("took").alias("took")).groupBy("workflow").agg(F.count(F.lit(1)).alias("branches"), F.count_if("took").alias("taken"))
+    return panels.branch_headline(of)
+
+
+@query
+def forced_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions are the first flags of orders, outcomes the second ones."""
+    rows = order_paths(spark, sf_dir).where(F.size("steps") > 1).select("workflow", F.element_at("steps", 1).alias("decision"), F.element_at("steps", 2).alias("outcome"), (F.col("covered") & (F.col("runs") > 20)).alias("ran"))
+    status = rows.groupBy("workflow", "decision", "outcome").agg(F.when(F.bool_or("ran"), "covered").otherwise("missed").alias("status"))
+    return panels.forced_decisions(status).select("workflow", "decision", "outcome", F.array_join("tests_of", " ").alias("tests_of"))
+
+
+@query
+def decision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = F.when(F.col("l_returnflag") == "R", "noticed").when(F.col("l_returnflag") == "A", "survived").when(F.col("l_quantity") > 40, "flaky").otherwise("no visible effect")
+    return panels.decision_check(table(spark, sf_dir, "lineitem").select(result.alias("result")))
+
+
+@query
+def anchor_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    before = part.select(F.col("p_partkey").cast("string").alias("rule_id"), F.lit(1).alias("entry"), F.col("p_type").alias("decision"))
+    now = part.select(F.col("p_partkey").cast("string").alias("rule_id"), F.lit(1).alias("entry"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("decision"))
+    return panels.anchor_changes(before, now)
+
+
+@query
+def unmarked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of orders inside the markers of a helper; some runs lack the last one."""
+    marked = F.concat(F.array(F.lit(">S1")), F.col("steps"), F.when(F.col("order_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("<S1"))))
+    rows = order_runs(spark, sf_dir).select("order_id", match.unmarked(marked).alias("u"))
+    return rows.select("order_id", joined("u.steps").alias("steps"), F.col("u.bad").alias("bad"))
+
+
+@query
+def stated_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.assumptions(order_paths(spark, sf_dir).select("workflow", F.array_distinct("steps").alias("assumptions")))
+
+
+@query
+def pilot_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios of the pilot, counted from the maps alone."""
+    return graphs.scenario_counts(pilot.pilot_exits(spark), pilot.pilot_external(spark))
+
+
+@query
+def order_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of maps made from the parts that orders hold: a decision a line, which leads to the next line or ends."""
+    return graphs.path_counts(order_exits(spark, sf_dir))
+
+
+@query
+def order_map_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.listed(order_exits(spark, sf_dir)).select("workflow", "number", joined("steps").alias("steps"), "end")
