@@ -9,9 +9,9 @@ LEAST times, at any size of the corpus. The levels of the tree are tables that g
 the one before by a join (see chances); they also hold the grams of the texts to score. The tree starts with the empty context; a longer one is retained if its parent (without its first symbol) is and its
 next symbols diverge from its parent's: count * KL divergence >= DIVERGENCE. A retained context's distribution
 is smoothed by its parent's, which weighs SMOOTHING times the number of its next symbols.
-Scoring: each symbol's probability comes from the longest retained suffix of what stands before it. Grams with at
-least a share SENT_SHARE of all symbols (at most 1 / SENT_SHARE of them) are sent to the executors with their
-probabilities; all others are joined by a shuffle.
+Scoring: each symbol's probability comes from the longest retained suffix of what stands before it. The most
+frequent grams (SENT_GRAMS at most) are sent to the executors with their probabilities, as a file that all workers of
+a machine share; all others are joined by a shuffle.
 
 The base score counts words. Words with at least a share HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of
 them) are sent to the executors; all others are joined by a shuffle.
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from trailweave.llm.common import lean, written
 
 DEPTH, LEAST, DIVERGENCE, SMOOTHING = 6, 2, 1.0, 20.0
-SENT_SHARE = 2e-7
+#: Grams, the most frequent ones, that are sent to the executors.
+SENT_GRAMS = 3_000_000
 HEAD_SHARE = 1e-6
 #: Distinct entries that a task gathers before it hands them on.
 GATHERED = 2_000_000
@@ -126,9 +127,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Lookup:
     """An open-addressing table from 64-bit keys (not 0) to numbers, for arrays of keys at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, path: str | None = None):
+        """With a path, the table is that file."""
         self._sized(max(4, int(len(keys) * 1.5).bit_length()))
-        self.keys, self.values = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.float32)
+        both = np.lib.format.open_memmap(path, "w+", ENTRY, (self.mask + 1,)) if path else np.zeros(self.mask + 1, ENTRY)
+        self.keys, self.values = both["key"], both["value"]
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == 0
@@ -136,15 +139,12 @@ class Lookup:
             placed = self.keys[at] == keys[left]
             self.values[at[placed]] = values[left[placed]]
             left, at = left[~placed], (at[~placed] + 1) & self.mask
+        if path:
+            both.flush()
 
     def _sized(self, bits: int) -> None:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
 
-    def save(self, path: str) -> None:
-        both = np.empty(self.mask + 1, ENTRY)
-        both["key"], both["value"] = self.keys, self.values
-        np.save(path, both)
-
     @classmethod
     def mapped(cls, path: str) -> Lookup:
         """The table of a file, mapped into memory: all workers of a machine share its pages."""
@@ -315,10 +315,24 @@ def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence
     return made.select(F.col("parent").alias("gram"), "n", F.log10("low").alias("log")), sum(symbols.values())
 
 
-def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPTH, head_share: float = HEAD_SHARE, sent_share: float = SENT_SHARE, **tree: float) -> DataFrame:
+def _least_sent(grams: DataFrame, most: int) -> int:
+    """A count that at most `most` grams have or exceed, from the numbers of grams by classes of counts, eight a doubling."""
+    by_class = F.floor(F.log2(F.col("n") + 1) * 8)
+    rows = grams.groupBy(by_class.alias("c")).agg(F.count(F.lit(1)).alias("grams"), F.min("n").alias("least")).orderBy(F.desc("c")).collect()
+    least, so_far = max((r.least for r in rows), default=0) + 1, 0
+    for r in rows:
+        so_far += r.grams
+        if so_far > most:
+            return least
+        least = r.least
+    return least
+
+
+def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPTH, head_share: float = HEAD_SHARE, sent_share: float | None = None, sent_grams: int = SENT_GRAMS, **tree: float) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of documents (doc_id, text).
 
-    Learned from training (text), or from those documents for which training, a condition, holds.
+    Learned from training (text), or from those documents for which training, a condition, holds. Grams with at least
+    a share sent_share of all symbols are sent to the executors, or else the sent_grams most frequent ones.
     """
     if isinstance(training, Column):
         texts = documents.select("text", F.coalesce(training, F.lit(False)).alias("trains"))
@@ -337,11 +351,11 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
         known[b"\n"] = math.log10(n.n + 0.1) - whole
     unknown = -1.0 - whole
     logs_of, symbols = chances(texts, depth, **tree)
-    often = F.col("n") >= max(1, math.ceil(symbols * sent_share))
+    often = F.col("n") >= (_least_sent(logs_of, sent_grams) if sent_share is None else max(1, math.ceil(symbols * sent_share)))
     sent = logs_of.where(often).select("gram", "log").toArrow()
     name = f"grams-{uuid.uuid4().hex}.npy"
     path = os.path.join(tempfile.mkdtemp(prefix="trailweave-"), name)  # on the driver; Spark brings it to the executors
-    Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy()).save(path)
+    Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy(), path)
     spark.sparkContext.addFile(path)
     model = spark.sparkContext.broadcast(known)
     del sent
