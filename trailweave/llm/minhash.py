@@ -175,13 +175,6 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return once.join(one, "a").join(two, "b").where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).select("a", "b")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those of different components."""
-    one, two = labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return both.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
-
-
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose sets are similar."""
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("_one")), sets.select(F.col("node").alias("b"), F.col("items").alias("_two"))
@@ -196,13 +189,16 @@ def _leaders(members: DataFrame) -> DataFrame:
 
 
 def _central(members: DataFrame, ranked: DataFrame) -> DataFrame:
-    """key, leader: of each open bucket the members with the least share of shingles of their own, among all and among those outside its largest component.
+    """Pairs (a, b): each member of an open bucket with the bucket's most central members of other components than its own.
 
-    Around a text that many vary, the least varied one is similar to all that any of them is similar to.
+    Central are those with the least share of shingles of their own, one among all and one among those outside the
+    largest component: around a text that many vary, the least varied one is similar to all that any of them is similar to.
     """
     share = members.join(ranked.select("node", F.struct(F.col("own") / F.col("n"), "node").alias("_share")), "node")
-    leads = share.groupBy("key").agg(F.array(F.min_by("node", "_share"), F.min_by(F.when(F.col("label") != F.col("top"), F.col("node")), F.when(F.col("label") != F.col("top"), F.col("_share")))).alias("found"))
-    return leads.select("key", F.explode(F.array_compact("found")).alias("leader")).distinct()
+    who, outside = F.struct("node", "label"), F.col("label") != F.col("top")
+    leads = share.groupBy("key").agg(F.array(F.min_by(who, "_share"), F.min_by(F.when(outside, who), F.when(outside, F.col("_share")))).alias("found"))
+    leads = leads.select("key", F.explode(F.array_distinct(F.array_compact("found"))).alias("lead"))
+    return members.join(leads, "key").where("label <> lead.label").select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
 
 
 def _several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,8 +237,7 @@ def answers(documents: DataFrame) -> DataFrame:
     undecided = sets.join(open_.select("node").distinct(), "node", "left_semi")
     ranked = written(_ranked(undecided))
     tried = pairs
-    central = open_.join(_central(open_, ranked), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    more = written(_apart(_alike(central, classes).join(tried, ["a", "b"], "left_anti"), labels))
+    more = written(_alike(_central(open_, ranked), classes).join(tried, ["a", "b"], "left_anti"))
     labels, tried = joined(labels, _links(more, sets)), tried.union(more)
     more = written(_alike(_by_postings(_postings(ranked), labels), classes).join(tried, ["a", "b"], "left_anti"))
     labels = joined(labels, _links(more, sets))
