@@ -300,3 +300,57 @@ ORACLES |= {
       every as (select workflow, junction_id, min(i) as pos, count(distinct number) as n from met group by all), total as (select workflow, count(*) as n from listed group by workflow)
       select e.workflow, junction_id, row_number() over (partition by e.workflow order by pos) - 1 as stage from every e join total t on e.workflow = t.workflow and e.n = t.n""",
 }
+
+PART_ENTRIES = """
+kinds as (select distinct p_brand as workflow, 'if ' || p_type as t, p_size % 3 as k from part),
+numbered as (select *, row_number() over (partition by workflow, t order by k) as n from kinds),
+outcomes as (
+  select workflow, t || case when n > 1 then ' #' || n else '' end as decision, label from numbered, (values ('true'), ('false')) l(label)),
+entry_forms as (
+  select workflow, t, m, i as ord,
+         case i when 0 then t || ' --true' when 1 then 'any: ' || t || ' --false' when 2 then t || ' #1 --true' when 3 then t || ' #2 --true'
+                when 4 then t || ' #2/2 --false' when 5 then t || ' #1/3 --true' when 6 then t || '  #9 --false' else t || ' --maybe' end as entry,
+         -- the decision meant, by the form and the number of decisions of this text
+         case i when 0 then case when m = 1 then [t || '.true'] end
+                when 1 then list_sort(list_transform(range(1, m + 1), lambda n: t || case when n > 1 then ' #' || n else '' end || '.false'))
+                when 2 then [t || '.true']
+                when 3 then case when m >= 2 then [t || ' #2.true'] end
+                when 4 then case when m = 2 then [t || ' #2.false'] end
+                when 5 then case when m = 3 then [t || '.true'] end end as edges,
+         case i when 0 then case when m > 1 then 'ambiguous' end when 3 then case when m < 2 then 'unknown' end
+                when 4 then case when m <> 2 then 'count changed' end when 5 then case when m <> 3 then 'count changed' end
+                when 6 then 'unknown' when 7 then 'unknown' end as problem,
+         case when i = 0 and m > 1 then list_sort(list_transform(range(1, m + 1), lambda n: t || case when n > 1 then ' #' || n else '' end || ' --true')) end as options
+  from (select workflow, t, count(*) as m from numbered group by all), unnest(range(0, 8)) x(i))
+"""
+
+WORDED = (
+    ORDERS
+    + """,
+worded as (select *, 's1:' || substr(sha256('s1' || chr(10) || array_to_string(list_transform(steps, lambda s: 'flag' || chr(31) || s), chr(10)) || '|' || end_kind), 1, 12) as stable_id from paths),
+legacy as (
+  select distinct workflow, path_id, 's1:' || substr(sha256('s1' || chr(10) || array_to_string(list_transform(list_filter(steps, lambda s: s <> 'N'), lambda s: 'flag' || chr(31) || s), chr(10)) || '|' || e), 1, 12) as legacy_id
+  from paths, (values ('completed'), ('failed'), ('continued-as-new'), ('')) k(e))
+"""
+)
+
+ORACLES |= {
+    "rule_entries": f"with {PART_ENTRIES} select workflow, entry, array_to_string(edges, '|') as edges, array_to_string(options, '|') as options, problem from entry_forms",
+    "checked_rules": f"""with {PART_ENTRIES}, r as (select workflow, t || '/' || (ord // 2) as rule_id, max(array_to_string(edges, '|')) filter (ord % 2 = 0) as a, max(array_to_string(edges, '|')) filter (ord % 2 = 1) as b,
+        coalesce(string_agg(entry || ': ' || problem, ';' order by entry || ': ' || problem), '') as problems from entry_forms group by all)
+      select workflow, rule_id, case when problems = '' then a end as when, case when problems = '' then b end as without, problems from r""",
+    "pruned_paths": f"""with {ORDERS}, g as (select distinct workflow, case when had then steps[1:2] else steps[1:3] end as prefix, case when had then 2 else 1 end as grp from paths where not covered and len(steps) > 3)
+      select p.workflow, p.path_id, coalesce(min(g.grp), -1) as "group" from paths p left join g on p.workflow = g.workflow and len(p.steps) >= len(g.prefix) and p.steps[1:len(g.prefix)] = g.prefix group by all""",
+    "legacy_path_ids": f"with {WORDED} select workflow, path_id, legacy_id from legacy",
+    "moved_overrides": f"""with {WORDED}, o as (select workflow, stable_id from worded where had union select workflow, legacy_id from legacy union select workflow, 's1:000000000000' from paths),
+      n as (select workflow, stable_id, list_sort(list(distinct path_id)) as own from worded group by all), b as (select workflow, legacy_id as stable_id, list_sort(list(distinct path_id)) as before from legacy group by all)
+      select o.workflow, o.stable_id, array_to_string(coalesce(own, before), ' ') as path_ids, case when own is not null then 'own' when len(before) > 1 then 'ambiguous' when before is not null then 'moved' else 'gone' end as found
+      from o left join n using (workflow, stable_id) left join b using (workflow, stable_id)""",
+    "explained_paths": f"""with {WORDED}, c as (select stable_id, count(distinct workflow) as workflows from worded group by all)
+      select stable_id, 'found' as answer, workflows, workflow, path_id, covered, runs from worded join c using (stable_id) where stable_id in (select stable_id from worded where workflow = '1-URGENT')
+      union all select 's1:000000000000', 'unknown', 0, null, null, false, 0 union all select 's1:xyz', 'malformed', 0, null, null, false, 0""",
+    "floor_parts": f"""with {RULED}
+      select '' as workflow, 'path' as basis, count(*) filter (bucket = 'testable' and covered) as covered, count(*) filter (bucket = 'testable') as total from classified where workflow >= '3'
+      union all select workflow, 'stage', count(*) filter (covered), count(*) filter (bucket <> 'cannot-be-tested') from classified where workflow < '3' and len(steps) <= 5 group by workflow
+      union all select workflow, 'branch', count(*) filter (covered), count(*) from classified where workflow < '3' group by workflow""",
+}

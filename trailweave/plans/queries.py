@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions import measures
-from trailweave.functions.ids import branch_id, path_id
-from trailweave.operators import classify, compare, coverage, graphs, match, panels, paths
+from trailweave.functions.ids import branch_id, path_id, stable_id
+from trailweave.operators import classify, compare, coverage, entries, graphs, match, panels, paths
 from trailweave.plans import pilot
 from trailweave.plans.adapters import order_exits, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
@@ -457,3 +457,105 @@ def order_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def order_map_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.listed(order_exits(spark, sf_dir)).select("workflow", "number", joined("steps").alias("steps"), "end")
+
+
+#: Forms of an entry of a decision's text t (fixed values).
+FORMS = (
+    "{t} --true", "any: {t} --false", "{t} #1 --true", "{t} #2 --true", "{t} #2/2 --false", "{t} #1/3 --true",
+    "{t}  #9 --false", "{t} --maybe",
+)
+
+
+def _part_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions whose texts are the types of parts, one for each remainder of their size, and entries of every form."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("workflow"), F.concat(F.lit("if "), "p_type").alias("t"), (F.col("p_size") % 3).alias("k")
+    )
+    place = Window.partitionBy("workflow", "t").orderBy("k")
+    numbered = part.distinct().withColumn("n", F.row_number().over(place))
+    text = F.when(F.col("n") == 1, F.col("t")).otherwise(F.concat("t", F.lit(" #"), F.col("n").cast("string")))
+    rows = numbered.select("workflow", text.alias("decision"), F.explode(F.array(F.lit("true"), F.lit("false"))).alias("label"))
+    decisions = rows.withColumn("edge_id", F.concat_ws(".", "decision", "label"))
+    forms = F.posexplode(F.array(*[F.replace(F.lit(f), F.lit("{t}"), F.col("t")) for f in FORMS]))
+    return decisions, part.select("workflow", "t").distinct().select("workflow", "t", forms.alias("ord", "entry"))
+
+
+@query
+def rule_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions, said = _part_entries(spark, sf_dir)
+    rows = entries.resolved(said, decisions)
+    return rows.select(
+        "workflow", "entry", F.array_join("edges", "|").alias("edges"), F.array_join("options", "|").alias("options"), "problem"
+    )
+
+
+@query
+def checked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules for each text of a decision, of two entries each: one to meet and one to avoid."""
+    decisions, said = _part_entries(spark, sf_dir)
+    rule = F.concat("t", F.lit("/"), F.floor(F.col("ord") / 2).cast("string"))
+    said = said.select("workflow", rule.alias("rule_id"), "ord", "entry", F.when(F.col("ord") % 2 == 0, "when").otherwise("without").alias("part"))
+    sets = lambda c: F.array_join(F.transform(c, lambda s: F.array_join(s, "|")), ";")
+    rows = entries.checked_rules(entries.resolved(said, decisions))
+    return rows.select(
+        "workflow", "rule_id", sets("when").alias("when"), sets("without").alias("without"), F.array_join("problems", ";").alias("problems")
+    )
+
+
+@query
+def pruned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of orders held against the first two and the first three steps of paths that no order of a kind took."""
+    found = order_paths(spark, sf_dir)
+    missed = found.where("not covered and size(steps) > 3")
+    heads = missed.where("had").select("workflow", F.slice("steps", 1, 2).alias("prefix"), F.lit(2).alias("group"))
+    longer = missed.where("not had").select("workflow", F.slice("steps", 1, 3).alias("prefix"), F.lit(1).alias("group"))
+    rows = entries.pruned_by(found, heads.unionByName(longer).distinct())
+    return rows.select("workflow", "path_id", F.coalesce("group", F.lit(-1)).alias("group"))
+
+
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of orders in words: the decision is "flag", steps N lie in a helper."""
+    word = lambda s: F.struct(F.lit("flag").alias("decision"), s.alias("label"), (s == "N").alias("helper"))
+    rows = order_paths(spark, sf_dir).withColumn("words", F.transform("steps", word))
+    parts = F.transform("steps", lambda s: F.concat(F.lit("flag\x1f"), s))
+    return rows.withColumn("stable_id", stable_id(parts, F.col("end"))).withColumn("truncated", F.lit(False))
+
+
+@query
+def legacy_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.legacy_ids(_worded(spark, sf_dir))
+
+
+@query
+def moved_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides by the ids of today, by ids of before, and one that no path ever had."""
+    found = _worded(spark, sf_dir)
+    today = found.where("had").select("workflow", "stable_id")
+    before = entries.legacy_ids(found).select("workflow", F.col("legacy_id").alias("stable_id"))
+    gone = found.select("workflow", F.lit("s1:000000000000").alias("stable_id"))
+    rows = entries.moved_overrides(today.union(before).union(gone).distinct(), found)
+    return rows.select("workflow", "stable_id", F.array_join("path_ids", " ").alias("path_ids"), "found")
+
+
+@query
+def explained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of every path of the workflow 1-URGENT, and answers to two ids that no path has."""
+    found = _worded(spark, sf_dir).select("workflow", "stable_id", "path_id", "covered", "runs", "truncated")
+    ids = found.where("workflow = '1-URGENT'").select("stable_id")
+    ids = ids.union(spark.createDataFrame([("s1:000000000000",), ("s1:xyz",)], "stable_id string"))
+    return entries.explained(found, ids).drop("truncated").na.fill(False, ["covered"]).na.fill(0, ["runs"])
+
+
+@query
+def floor_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflows of orders, two of them capped; a path's length is its stage, and the longest ones are too big."""
+    found = _classified(spark, sf_dir).withColumn("testable", F.col("bucket") == "testable")
+    numbers = found.groupBy("workflow").agg(
+        F.count_if(F.col("testable") & F.col("covered")).alias("covered"), F.count_if("testable").alias("total"),
+        F.count_if("covered").alias("branches_taken"), F.count(F.lit(1)).alias("branches"),
+    ).withColumn("capped", F.col("workflow") < "3")
+    stages = found.groupBy("workflow", F.size("steps").alias("stage")).agg(
+        F.count_if("covered").alias("covered"), F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("bucket") == "cannot-be-tested").alias("cannot"),
+    ).withColumn("big", F.col("stage") > 5)
+    return entries.testable_floor(numbers, stages).unionByName(entries.testable_floor(numbers, stages, "branch").where("basis = 'branch'"))
