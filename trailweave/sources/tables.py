@@ -31,7 +31,11 @@ def exits(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, folder: str, pattern: str = "*.trace.json") -> DataFrame:
-    """Run files of a folder, one JSON object each; `reading` is ok, older-format, unreadable. No file is an error."""
+    """Run files of a folder, one JSON object each; `reading` is ok, older-format, unreadable. A missing folder holds no runs."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        none = spark.createDataFrame([], TRACE_FILE).withColumns({"file": F.lit(""), "modified": F.lit(None).cast("timestamp")})
+        return none.withColumns({"reading": F.lit("ok"), "recorded_at": F.lit(None).cast("timestamp")})
     rows = spark.read.schema(TRACE_FILE).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", pattern).json(folder)
     rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("modified", F.col("_metadata.file_modification_time"))
     return rows.withColumn("reading", reading(F.col("schemaVersion"), F.col("_corrupt_record"))).withColumn("recorded_at", F.try_to_timestamp("recordedAt"))
