@@ -354,3 +354,45 @@ ORACLES |= {
       union all select workflow, 'stage', count(*) filter (covered), count(*) filter (bucket <> 'cannot-be-tested') from classified where workflow < '3' and len(steps) <= 5 group by workflow
       union all select workflow, 'branch', count(*) filter (covered), count(*) from classified where workflow < '3' group by workflow""",
 }
+
+STAGED = (
+    RULED
+    + """,
+cut as (select *, list_position(steps, 'N') as p from classified where (covered or bucket <> 'cannot-be-tested') and len(steps) > 0),
+ways as (
+  select workflow, 0 as stage, case when coalesce(p, 0) = 0 then steps else steps[1:p - 1] end as piece, covered from cut where coalesce(p, 0) <> 1
+  union all select workflow, 1, steps[p:], covered from cut where p > 0),
+pieces as (select workflow, stage, piece, bool_or(covered) as covered from ways group by all),
+staged as (select workflow, stage, count(*) as pieces, count(*) filter (covered) as covered, count(*) > 100 as big from pieces group by all)
+"""
+)
+
+ORACLES |= {
+    "stage_ways": f"with {STAGED} select * from staged",
+    "capped_headline": f"""with {STAGED}, e as (select workflow, edge, bool_or(covered) as took from (select workflow, covered, unnest(steps) as edge from paths) group by all)
+      select 'path' as kind, count(*) filter (covered)::bigint as covered, count(*)::bigint as total from paths where workflow >= '3'
+      union all select 'stage', coalesce(sum(covered), 0)::bigint, coalesce(sum(pieces), 0)::bigint from staged where workflow < '3' and not big
+      union all select 'branch', count(*) filter (took), count(*) from e""",
+    "handler_totals": f"""with h as ({ORACLES["handler_table"]}), t as (select bool_or(event_type = 'view') as v from events where value > 30),
+      o as (select sum(case when exercised <> 'not recorded' then 1 + branches else 0 end) as total, sum(case when exercised <> 'not recorded' then branches_taken + (exercised = 'yes')::int else 0 end) as covered,
+        count(*) filter (exercised = 'not recorded') as not_recorded from h where not (handler = 'view' and kind = 'signal'))
+      select 'app' as workflow, (covered + coalesce(v, false)::int)::bigint as covered, (total + 2)::bigint as total, not_recorded from o, t""",
+    "helper_regions": """select p_brand as workflow, p_type as helper, count(distinct p_size) as decisions, count(distinct p_partkey % 5) as sites, count(distinct p_size) * count(distinct p_partkey % 5) as score
+      from part where p_size % 4 > 0 and p_type is not null group by all""",
+    "same_list_loops": f"with {ORDERS} select workflow, path_id, 'same-list-loops' as source, 8::int as rank, 'cannot-be-tested' as bucket, 'same-list-loops' as label from paths where list_contains(steps, 'R') and list_contains(steps, 'N')",
+    "name_suggestions": """with w as (select distinct p_type as workflow from part), n as (select substr(workflow, 2) as name from w union select workflow from w union select repeat(workflow, 3) from w),
+      d as (select name, workflow, levenshtein(lower(name), lower(workflow)) as d from n, w where name not in (select workflow from w))
+      select name, workflow from d where d <= 3 qualify row_number() over (partition by name order by d, workflow) = 1""",
+    "targets_met": f"with n as ({ORACLES['main_numbers']}) select count(*) filter (met) as met, count(*) filter (workflow <> '5-LOW') as total, count(*) filter (workflow = '5-LOW') as not_measured from n",
+    "unread_places": f"""with {ORDER_MAPS} select l_orderkey::varchar as workflow, 'unknown call' as what, 'line ' || l_linenumber as "where" from lineitem where l_quantity > 49
+      union all select workflow, 'path cap', 'more than 3 paths' from ends group by workflow having count(*) > 3""",
+    "junit_cases": f"""with n as ({ORACLES['main_numbers']}) select workflow, '<testcase name="' || workflow || '">' || case when workflow = '5-LOW' then '<skipped/>'
+      when not met then '<failure message="' || kind || ' coverage ' || printf('%.1f', percent) || '%, target 80%"/>' else '' end || '</testcase>' as value from n""",
+    "cobertura_lines": """with r as (select l_returnflag as file, l_linenumber::int as line, count(*) as n, count(*) filter (l_quantity > 25) as t from lineitem group by all)
+      select file, line, '<line number="' || line || '" hits="' || t || '" branch="true" condition-coverage="' || (t * 100 // n) || '% (' || t || '/' || n || ')"/>' as value from r""",
+    "map_charts": f"""with {ORDER_MAPS}, e as (
+        select workflow, '  Start -->|| J1' as edge from walked
+        union all select workflow, '  J' || i || ' -->|next| ' || case when i = len(flags) then 'End_completed' else 'J' || (i + 1) end from walked, unnest(range(1, len(flags) + 1)) t(i)
+        union all select workflow, '  J' || i || ' -->|back| ' || case when flags[i] = 'R' then 'End_failed' else '' end from walked, unnest(range(1, len(flags) + 1)) t(i))
+      select workflow, 'flowchart TD' || chr(10) || string_agg(edge, chr(10) order by edge) as value from e group by workflow""",
+}

@@ -13,6 +13,7 @@ from trailweave.operators import classify, compare, coverage, entries, graphs, m
 from trailweave.plans import pilot
 from trailweave.plans.adapters import order_exits, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
+from trailweave.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -559,3 +560,83 @@ def floor_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("bucket") == "cannot-be-tested").alias("cannot"),
     ).withColumn("big", F.col("stage") > 5)
     return entries.testable_floor(numbers, stages).unionByName(entries.testable_floor(numbers, stages, "branch").where("basis = 'branch'"))
+
+
+def _by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways through two stages of the flags of orders: what comes before the first N, and what follows from it on."""
+    found = _classified(spark, sf_dir)
+    names = found.select("workflow").distinct()
+    exits = names.select("workflow", F.explode(F.array(*map(F.lit, "RAN"))).alias("edge_id")).withColumn("junction_id", F.col("edge_id"))
+    gates = names.select("workflow", F.lit("N").alias("junction_id"), F.lit(1).alias("stage"))
+    return panels.stage_coverage(found, gates, exits, most=100)
+
+
+@query
+def stage_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_stage(spark, sf_dir)
+
+
+@query
+def capped_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = coverage.path_coverage(order_paths(spark, sf_dir)).withColumn("capped", F.col("workflow") < "3")
+    branches = order_paths(spark, sf_dir).select("workflow", F.explode("steps").alias("edge_id"), "covered").distinct()
+    branches = branches.groupBy("workflow", "edge_id").agg(F.bool_or("covered").alias("took")).groupBy("workflow").agg(F.count(F.lit(1)).alias("branches"), F.count_if("took").alias("taken"))
+    return panels.capped_headline(numbers, _by_stage(spark, sf_dir), branches)
+
+
+@query
+def handler_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The handlers of handler_table; view is an exit of a selector as well and counts there alone."""
+    selector = spark.createDataFrame([("app", "J9.view", 'signal "view"'), ("app", "J9.timer", "timer")], "workflow string, edge_id string, label string")
+    taken = table(spark, sf_dir, "events").where("value > 30").select(F.lit("app").alias("workflow"), F.concat(F.lit("J9."), "event_type").alias("edge_id"))
+    return panels.handler_stats(QUERIES["handler_table"](spark, sf_dir), selector, taken)
+
+
+@query
+def helper_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    helper = F.when(F.col("p_size") % 4 > 0, F.col("p_type"))
+    return panels.helper_regions(table(spark, sf_dir, "part").select(F.col("p_brand").alias("workflow"), helper.alias("helper"), F.col("p_size").alias("decision"), (F.col("p_partkey") % 5).alias("site")))
+
+
+@query
+def same_list_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R runs the loop over a list and N skips another one over it."""
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("workflow")).distinct()
+    fact = lambda e, negated: names.select("workflow", F.lit(e).alias("edge_id"), F.lit("same-list").alias("kind"), F.lit("items").alias("name"), F.lit(negated).alias("negated"))
+    return classify.skipped_and_ran(order_paths(spark, sf_dir), fact("R", False).unionByName(fact("N", True)))
+
+
+@query
+def name_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a letter too few or none of any workflow's."""
+    names = table(spark, sf_dir, "part").select(F.col("p_type").alias("workflow")).distinct()
+    wrong = names.select(F.expr("substr(workflow, 2)").alias("name")).union(names.select("workflow")).union(names.select(F.repeat("workflow", F.lit(3))))
+    return compare.suggestions(wrong.distinct(), names)
+
+
+@query
+def targets_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.headline(QUERIES["main_numbers"](spark, sf_dir).withColumn("measured", F.col("workflow") != "5-LOW"))
+
+
+@query
+def unread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of orders by parts, whose lists are cut at three paths, and lines that no map could hold."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("workflow"), F.lit("unknown call").alias("what"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("where"))
+    return panels.unread(lines, paths.listed(order_exits(spark, sf_dir), cap=3), 3)
+
+
+@query
+def junit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.junit(QUERIES["main_numbers"](spark, sf_dir).withColumn("measured", F.col("workflow") != "5-LOW"))
+
+
+@query
+def cobertura_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branches = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_quantity") > 25).alias("taken"))
+    return sinks.cobertura(branches)
+
+
+@query
+def map_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.mermaid(order_exits(spark, sf_dir))
