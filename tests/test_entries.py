@@ -71,3 +71,29 @@ def test_floor_without_workflows(spark):
     assert sorted(tuple(r) for r in entries.testable_floor(one, s).collect()) == [("", "path", 0, 0), ("w", "stage", 0, 0)]
     with pytest.raises(ValueError):
         entries.testable_floor(w, s, "path")
+
+
+def test_nearest_names_equal_those_of_all_comparisons(spark):
+    import random
+
+    from trailweave.operators import compare
+
+    r = random.Random(5)
+    known = sorted({"".join(r.choice("abC") for _ in range(r.randint(0, 9))) for _ in range(60)})
+    asked = sorted({"".join(r.choice("aBcd") for _ in range(r.randint(0, 11))) for _ in range(80)} - set(known))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for n in asked:
+        best = min((edits(n.lower(), w.lower()), w) for w in known)
+        if best[0] <= 2:
+            want[n] = best[1]
+    got = compare.suggestions(spark.createDataFrame([(n,) for n in asked], "name string"), spark.createDataFrame([(w,) for w in known], "workflow string"), 2)
+    assert {x.name: x.workflow for x in got.collect()} == want and want

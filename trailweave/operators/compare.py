@@ -118,10 +118,27 @@ def scope(workflows: DataFrame, include: DataFrame | None, exclude: DataFrame) -
 
 
 def suggestions(names: DataFrame, workflows: DataFrame, most: int = 3) -> DataFrame:
-    """name, workflow: for names that no workflow has, the nearest ones by edit distance."""
-    unknown = names.join(workflows.select(F.col("workflow").alias("name")), "name", "left_anti")
-    near = unknown.join(workflows.select("workflow"), F.levenshtein(F.lower("name"), F.lower("workflow"), most) >= 0)
-    return near.withColumn("_d", F.levenshtein(F.lower("name"), F.lower("workflow"))).groupBy("name").agg(F.min_by("workflow", F.struct("_d", "workflow")).alias("workflow"))
+    """name, workflow: for names that no workflow has, the nearest one within `most` edits, case aside; ties to the lesser name.
+
+    A workflow's name is cut into most + 1 pieces. Whatever is within `most` edits holds one of them unchanged and at
+    most so many places away, so names meet by length, piece and its text, and only such pairs are compared.
+    """
+    unknown = names.select("name").distinct().join(workflows.select(F.col("workflow").alias("name")), "name", "left_anti")
+    cut = lambda i: F.floor(i * F.col("_length") / (most + 1)).cast("int")
+    number = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("_piece")
+    size = cut(F.col("_piece") + 1) - cut(F.col("_piece"))
+    known = workflows.select("workflow", F.lower("workflow").alias("_w")).distinct().withColumn("_length", F.length("_w"))
+    known = known.select("*", number).withColumn("_text", F.substr("_w", cut(F.col("_piece")) + 1, size))
+    n = F.length("name")
+    lengths = F.explode(F.sequence(F.greatest(n - most, F.lit(0)), n + most)).alias("_length")
+    away = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("_away")
+    asked = unknown.select("name", lengths).select("*", number).select("*", away)
+    asked = asked.withColumn("_at", cut(F.col("_piece")) + F.col("_away")).where((F.col("_at") >= 0) & (F.col("_at") <= n))
+    asked = asked.withColumn("_text", F.substr(F.lower("name"), F.col("_at") + 1, size))
+    key = ["_length", "_piece", "_text"]
+    met = asked.select("name", *key).distinct().join(known.select("workflow", *key), key).select("name", "workflow").distinct()
+    near = met.withColumn("_d", F.levenshtein(F.lower("name"), F.lower("workflow"))).where(F.col("_d") <= most)
+    return near.groupBy("name").agg(F.min_by("workflow", F.struct("_d", "workflow")).alias("workflow"))
 
 
 def headline(numbers: DataFrame) -> DataFrame:
