@@ -5,13 +5,14 @@ text stand ends only. A context is up to DEPTH symbols before the next one.
 
 Learning: all (DEPTH + 1)-grams of all training texts are counted, first in each task, then by a shuffle; counts
 of shorter contexts are sums of longer ones. A pair (context, next symbol) counts in the tree if it was seen
-LEAST times, at any size of the corpus. The levels of the tree are tables that grow with it, each made from
-the one before by a join (see chances); they also hold the grams of the texts to score. The tree starts with the empty context; a longer one is retained if its parent (without its first symbol) is and its
+LEAST times, at any size of the corpus. The upper levels of the tree are tables that grow with it, each made from
+the one before by a join; the last two are made from these where all grams of one ending of a context are together
+(see chances). They also hold the grams of the texts to score. The tree starts with the empty context; a longer one is retained if its parent (without its first symbol) is and its
 next symbols diverge from its parent's: count * KL divergence >= DIVERGENCE. A retained context's distribution
 is smoothed by its parent's, which weighs SMOOTHING times the number of its next symbols.
 Scoring: each symbol's probability comes from the longest retained suffix of what stands before it. The most
-frequent grams (SENT_GRAMS at most) are sent to the executors with their probabilities, as a file that all workers of
-a machine share; all others are joined by a shuffle.
+frequent grams (SENT_GRAMS at most) are sent to the executors with their probabilities; all others are joined by a
+shuffle.
 
 The base score counts words. Words with at least a share HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of
 them) are sent to the executors; all others are joined by a shuffle.
@@ -24,9 +25,6 @@ are scored each. An empty table gives an empty result. Other columns are not rea
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import lean, written
+from trailweave.llm.common import lean, released, written
 
 DEPTH, LEAST, DIVERGENCE, SMOOTHING = 6, 2, 1.0, 20.0
 #: Grams, the most frequent ones, that are sent to the executors.
-SENT_GRAMS = 3_000_000
+SENT_GRAMS = 1_500_000
 HEAD_SHARE = 1e-6
+#: Levels, the deepest ones, that are made with all grams of one ending of a context together: 256^(DEEP + 1) at most.
+DEEP = 2
+#: Grams of whole endings that a task works on at once.
+TOGETHER = 300_000
 #: Distinct entries that a task gathers before it hands them on.
 GATHERED = 2_000_000
 #: Symbols scored at once: what is made for them stays in a processor's cache.
@@ -127,34 +129,29 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Lookup:
     """An open-addressing table from 64-bit keys (not 0) to numbers, for arrays of keys at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, path: str | None = None):
-        """With a path, the table is that file."""
-        self._sized(max(4, int(len(keys) * 1.5).bit_length()))
-        both = np.lib.format.open_memmap(path, "w+", ENTRY, (self.mask + 1,)) if path else np.zeros(self.mask + 1, ENTRY)
-        self.keys, self.values = both["key"], both["value"]
+    def __init__(self, keys: np.ndarray, values: np.ndarray, load: float = 0.6):
+        self._over(np.zeros(max(16, int(len(keys) / load)), ENTRY))
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == 0
             self.keys[at[free]] = keys[left[free]]  # of several keys for a place the last stays
             placed = self.keys[at] == keys[left]
             self.values[at[placed]] = values[left[placed]]
-            left, at = left[~placed], (at[~placed] + 1) & self.mask
-        if path:
-            both.flush()
+            left, at = left[~placed], (at[~placed] + 1) % len(self.places)
 
-    def _sized(self, bits: int) -> None:
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+    def _over(self, places: np.ndarray) -> None:
+        self.places, self.keys, self.values = places, places["key"], places["value"]
 
     @classmethod
-    def mapped(cls, path: str) -> Lookup:
-        """The table of a file, mapped into memory: all workers of a machine share its pages."""
-        self, both = cls.__new__(cls), np.load(path, mmap_mode="r")
-        self._sized((len(both) - 1).bit_length())
-        self.keys, self.values = both["key"], both["value"]
+    def of(cls, places: np.ndarray) -> Lookup:
+        """The table whose places were taken from another."""
+        self = cls.__new__(cls)
+        self._over(places)
         return self
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        hashed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return ((hashed * np.uint64(len(self.places))) >> np.uint64(32)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and whether the key was found."""
@@ -163,7 +160,7 @@ class Lookup:
         found = held == keys
         todo = np.flatnonzero(~found & (held != 0))
         while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
+            at[todo] = (at[todo] + 1) % len(self.places)
             held = self.keys[at[todo]]
             found[todo] = held == keys[todo]
             todo = todo[(held != 0) & (held != keys[todo])]
@@ -281,18 +278,80 @@ def tree_of(training: DataFrame, depth: int = DEPTH, least: int = LEAST, diverge
     return learned(levels[::-1], divergence, smoothing)
 
 
+def _deep(depth: int, upper: int, least: int, divergence: float, smoothing: float):
+    """For mapInArrow: rows in order of their context's last `upper` symbols, full grams with n, and the pairs of level `upper` with low and n = -2 (retained) or -1."""
+
+    def endings(gram: np.ndarray) -> np.ndarray:
+        return (gram >> 8) & ((1 << 8 * upper) - 1)
+
+    def worked(gram: np.ndarray, n: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        is_known = n < 0
+        full, counts = gram[~is_known], n[~is_known]
+        order = np.argsort(gram[is_known])
+        above, lows, retained = gram[is_known][order], low[is_known][order], n[is_known][order] == -2
+        for d in range(upper + 1, depth + 1):
+            keys, place = np.unique(full & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            times = np.bincount(place, weights=counts, minlength=len(keys))
+            parent = np.searchsorted(above, keys & ((1 << 8 * d) - 1))  # each one is there
+            lows, retained = lows[parent], retained[parent]
+            seen = times >= least
+            context = keys >> 8
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            pairs = np.diff(np.r_[first, len(keys)])
+            in_tree = np.where(seen, times, 0.0)
+            total, weight = np.add.reduceat(in_tree, first), smoothing * np.add.reduceat(seen.astype(float), first)
+            diverges = np.add.reduceat(in_tree * np.log(np.where(seen, times, 1.0) / lows), first) - total * np.log(np.maximum(total, 1.0))
+            retained = retained & np.repeat((total > 0) & (diverges >= divergence), pairs)
+            total, weight = np.repeat(total, pairs), np.repeat(weight, pairs)
+            lows = np.where(retained, (in_tree + weight * lows) / np.maximum(total + weight, 1e-300), lows)
+            above = keys
+        return pa.RecordBatch.from_arrays([pa.array(above), pa.array(times.astype(np.int64)), pa.array(np.log10(lows))], ["gram", "n", "log"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows, enough = 0, TOGETHER
+
+        def out(all_rows: bool) -> Iterator[pa.RecordBatch]:
+            """Hands on what is whole; the last ending may have more rows to come."""
+            nonlocal rows, enough
+            gram, n, low = (np.concatenate(x) for x in zip(*held))
+            ending = endings(gram)
+            before = np.flatnonzero(ending != ending[-1])
+            cut = len(gram) if all_rows else int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                made = worked(gram[:cut], n[:cut], low[:cut])
+                yield from (made.slice(i, 50_000) for i in range(0, len(made), 50_000))
+            held[:] = [[gram[cut:], n[cut:], low[cut:]]]
+            rows = len(gram) - cut
+            enough = max(TOGETHER, 2 * rows)
+
+        for b in batches:
+            if len(b):
+                held.append([b.column(i).to_numpy() for i in range(3)])
+                rows += len(b)
+                if rows >= enough:
+                    yield from out(False)
+        if rows:
+            yield from out(True)
+        released()
+
+    return work
+
+
 def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> tuple[DataFrame, int]:
     """gram, n, log of all full grams of texts (text, trains): its count in the training texts, log10 of its probability; the symbols trained on.
 
-    A level's table has, of each pair (context, next symbol), the probability of the symbol after the longest
+    An upper level's table has, of each pair (context, next symbol), the probability of the symbol after the longest
     retained suffix of the context, and whether the context is retained itself. A longer pair's parent is the pair
     without its first symbol, so a level needs one join with the one before and sums over each context's pairs.
+    Pairs of the last DEEP levels share the ending of their context, and their ancestors, so these come together by it once.
     """
     full = written(texts.mapInArrow(lean(_gram_counts(depth)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = [full]
-    for d in range(depth - 1, -1, -1):
+    upper = depth - DEEP if depth > DEEP else depth
+    levels = [full] if upper == depth else []
+    for d in range(upper - len(levels), -1, -1):
         cut = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")
-        levels.append(written(levels[-1].groupBy(cut).agg(F.sum("n").alias("n"))))
+        levels.append(written((levels[-1] if levels else full).groupBy(cut).agg(F.sum("n").alias("n"))))
     levels.reverse()
     symbols = {r.gram: r.n for r in levels[0].collect()}  # 256 rows at most
     chance = np.full(256, 0.5)
@@ -302,7 +361,7 @@ def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence
     made = texts.sparkSession.createDataFrame([(i, float(x), True) for i, x in enumerate(chance)], "parent long, low double, held boolean")
     if depth == 0:
         return full.join(F.broadcast(made.withColumnRenamed("parent", "gram")), "gram").select("gram", "n", F.log10("low").alias("log")), sum(symbols.values())
-    for d in range(1, depth + 1):
+    for d in range(1, upper + 1):
         pairs = levels[d].select("gram", "n", F.col("gram").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("parent"), F.shiftrightunsigned("gram", 8).alias("context"))
         seen, over = F.when(F.col("n") >= least, F.col("n").cast("double")), Window.partitionBy("context")
         rows = pairs.join(made.select("parent", "low", "held"), "parent").select("gram", "n", "context", "low", "held", seen.alias("seen"))
@@ -312,6 +371,11 @@ def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence
         value = (F.coalesce("seen", F.lit(0.0)) + weight * F.col("low")) / (F.col("total") + weight)
         rows = rows.select("gram", "n", held.alias("held"), F.when(held, value).otherwise(F.col("low")).alias("low"))
         made = written(rows).select(F.col("gram").alias("parent"), "n", "low", "held")
+    if upper < depth:
+        known = made.select(F.col("parent").alias("gram"), F.when(F.col("held"), -2).otherwise(-1).cast("long").alias("n"), "low")
+        ending = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * upper) - 1))
+        rows = full.select("gram", "n", F.lit(0.0).alias("low")).unionAll(known).repartition(ending).sortWithinPartitions(ending)
+        return written(rows.mapInArrow(_deep(depth, upper, least, divergence, smoothing), "gram long, n long, log double")), sum(symbols.values())
     return made.select(F.col("parent").alias("gram"), "n", F.log10("low").alias("log")), sum(symbols.values())
 
 
@@ -353,17 +417,14 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
     logs_of, symbols = chances(texts, depth, **tree)
     often = F.col("n") >= (_least_sent(logs_of, sent_grams) if sent_share is None else max(1, math.ceil(symbols * sent_share)))
     sent = logs_of.where(often).select("gram", "log").toArrow()
-    name = f"grams-{uuid.uuid4().hex}.npy"
-    path = os.path.join(tempfile.mkdtemp(prefix="trailweave-"), name)  # on the driver; Spark brings it to the executors
-    Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy(), path)
-    spark.sparkContext.addFile(path)
-    model = spark.sparkContext.broadcast(known)
-    del sent
+    places = Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy()).places
+    model = spark.sparkContext.broadcast((known, places))
+    del sent, places
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import SparkFiles, TaskContext
+        from pyspark import TaskContext
 
-        logs, frequent = model.value, Lookup.mapped(SparkFiles.get(name))
+        logs, frequent = model.value[0], Lookup.of(model.value[1])
         end = logs.get(b"\n")
         row = TaskContext.get().partitionId() << 36
         for b in batches:
