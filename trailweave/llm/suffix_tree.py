@@ -45,7 +45,7 @@ DEEP = 2
 #: Grams of whole endings that a task works on at once.
 TOGETHER = 300_000
 #: Distinct entries that a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 3_000_000
 #: Symbols scored at once: what is made for them stays in a processor's cache.
 AT_ONCE = 1 << 17
 ENTRY = np.dtype([("key", np.uint64), ("value", np.float32)])
@@ -100,7 +100,7 @@ def _gram_counts(depth: int):
                 if sum(len(k) for k, _ in held) > GATHERED:
                     merged = _merged(held)
                     held[:] = [merged]
-                    if len(merged[0]) > GATHERED // 2:
+                    if len(merged[0]) > GATHERED * 2 // 3:
                         yield from out()
         if held:
             yield from out()
@@ -120,7 +120,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text").to_pylist():
             held.update(words_of(text))
             held[b"\n"] += 1
-        if len(held) > GATHERED // 4:
+        if len(held) > GATHERED // 6:
             yield out()
     if held:
         yield out()
