@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -577,3 +578,26 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(40, 41), (41, 40), (50, 50), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40}
+
+
+def test_deep_levels_do_not_depend_on_batches(monkeypatch):
+    rng = np.random.default_rng(3)
+    full = np.unique(rng.integers(97, 100, (4000, 5)) @ (256 ** np.arange(5)))  # depth 4: endings of two symbols
+    known = np.unique(full & 0xFFFFFF)
+    gram = np.r_[full, known]
+    n = np.r_[rng.integers(0, 9, len(full)), rng.integers(-2, 0, 256)[(known >> 8) % 256]]
+    low = np.r_[np.zeros(len(full)), np.full(len(known), 0.2)]
+    order = np.argsort((gram >> 8) & 0xFFFF, kind="stable")
+    rows = pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (gram, n, low)], ["gram", "n", "low"])
+
+    def made(together, size):
+        monkeypatch.setattr(suffix_tree, "TOGETHER", together)
+        out = suffix_tree._deep(4, 2, 2, 1.0, 20.0)(rows.slice(i, size) for i in range(0, len(rows), size))
+        return sorted(r for b in out for r in zip(*(c.to_pylist() for c in b.columns)))
+
+    whole = made(10**6, len(gram))
+    assert len(whole) == len(full) and len({r[2] for r in whole}) > 1
+    for together, size in ((1, 7), (50, 20)):
+        got = made(together, size)
+        assert [r[:2] for r in got] == [r[:2] for r in whole]
+        assert np.allclose([r[2] for r in got], [r[2] for r in whole])
