@@ -48,13 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and it is computed once. The folder goes with the session."""
     spark = df.sparkSession
     ship(spark)
     small_batches(spark)
     path = f"{shared_dir(spark)}/trailweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import chat, lines, minhash, mixing, neighbours, packing, quality, sharding, substrings, suffix_tree
+from trailweave.llm import best_fit, chat, lines, minhash, mixing, neighbours, packing, quality, sharding, structure, substrings, suffix_tree
 from trailweave.llm.common import table, text_or_empty
-from trailweave.llm.tokens import byte_bpe_50k
+from trailweave.llm.tokens import byte_bpe_50k, word_bpe_49k
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.reports(structure.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.pack(table(spark, sf_dir, "documents"), word_bpe_49k)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_scores": op9_scores,
     "op10_minhash": op10_minhash,
+    "op12_structure": op12_structure,
+    "op13_best_fit": op13_best_fit,
     "pipeline": pipeline,
 }

@@ -1,4 +1,4 @@
-"""Token ids of the public byte-level BPE vocabulary of 50,257 ids."""
+"""Token ids of two public vocabularies: byte-level BPE of 50,257 ids, and BPE with word ends of 49,408."""
 
 from __future__ import annotations
 
@@ -46,3 +46,43 @@ def byte_bpe_50k() -> ByteBpe:
     import public_tokenizers as files
 
     return ByteBpe(str(files.path("byte_bpe_50k.json")), str(files.path("byte_bpe_50k.tiktoken")), files.PATTERN)
+
+
+class WordBpe(dict):
+    """ids(text) as the tokenizers library makes them from the file of a vocabulary that drops white space.
+
+    No id spans white space there, so a text's ids are those of its words, which are kept (as bytes) while they are
+    `most` at most; marks at the end of a plain word are ids of their own. This is a cache of words to their ids.
+    """
+
+    _MARKS = b".,;:?"
+    _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def __init__(self, json_path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.any, self.most = Tokenizer.from_file(json_path), most
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(self._MARKS)
+        if core and core != word and core[-1] in self._PLAIN:
+            found = self[core] + self[word[len(core) :]]
+        else:
+            found = np.array(self.any.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < self.most and len(word) <= 64:
+            self[word] = found
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(self) >= self.most:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+
+
+@lru_cache(1)
+def word_bpe_49k() -> WordBpe:
+    """The vocabulary on this machine."""
+    import public_tokenizers as files
+
+    return WordBpe(str(files.path("word_bpe_49k.json")))
