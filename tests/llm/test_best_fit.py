@@ -23,6 +23,9 @@ class Letters:
     def ids(self, text):
         return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
+    def many(self, texts):
+        return [self.ids(t) for t in texts]
+
 
 def sequences(rows, length):
     by = defaultdict(list)
@@ -62,6 +65,8 @@ def test_ids_equal_those_of_tokenizers(spark):
     odd = ["", " ", "a", "Hello, WORLD's 12,345!!! don't...", "<|endoftext|> a<|startoftext|>. b.<|endoftext|>", "é\xa0b é. ́x", "日本語 テスト。 日本.", "\x00\x1c a\x85b\x0bc", "x" * 3000 + ".", "KK İİ ΑΣ. Σ;", "it's 's ' s a.'s b.' c'.", "a.b, c..,; .5 5. -. ,", "ß¨.", "ﬁ ½."]
     for text in odd + [r.text for r in rows]:
         assert t.ids(text or "").tolist() == t.any.encode(text or "", add_special_tokens=False).ids
+    fresh = type(t)(t.json_path)  # odd and plain words learnt in one call
+    assert [x.tolist() for x in fresh.many(odd)] == [t.ids(x).tolist() for x in odd]
 
 
 def test_best_fit_is_the_plain_one():

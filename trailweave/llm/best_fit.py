@@ -97,8 +97,9 @@ def _local(tokens: Callable[[], object], length: int, end: int, spare: int, bloc
         # 24 bits for the partition, 20 for the block and 19 for the bin; a block has fewer bins than tokens / length * 2
         block, held, n, partition = [], 0, 0, TaskContext.get().partitionId()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.concatenate([vocabulary.ids(text or ""), tail])
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), vocabulary.many(texts)):
+                ids = np.concatenate([ids, tail])
                 if block and held + len(ids) > block_tokens:
                     yield from packed(block, (partition << 39) + (n << 19))
                     block, held, n = [], 0, n + 1
@@ -152,7 +153,7 @@ def _moves(bins: DataFrame, length: int, spare: int, fan_in: int, handed_on: int
 def pack(documents: DataFrame, tokens: Callable[[], object], length: int = LENGTH, end: int = END, spare: int = SPARE, block_tokens: int = BLOCK_TOKENS, fan_in: int = FAN_IN, handed_on: int = HANDED_ON) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids (their token ids), sequence_id, offset of documents (doc_id, text).
 
-    tokens() gives, on the machine where it is called, something whose ids(text) are token ids. spare: the room that a
+    tokens() gives, on the machine where it is called, something whose many(texts) are the token ids of each. spare: the room that a
     sequence may have to be done before the end.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

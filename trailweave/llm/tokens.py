@@ -51,33 +51,80 @@ def byte_bpe_50k() -> ByteBpe:
 class WordBpe(dict):
     """ids(text) as the tokenizers library makes them from the file of a vocabulary that drops white space.
 
-    No id spans white space there, so a text's ids are those of its words, which are kept (as bytes) while they are
-    `most` at most; marks at the end of a plain word are ids of their own. This is a cache of words to their ids.
+    No id spans white space there, so a text's ids are those of its words, which are kept (as bytes) until they take
+    `most` bytes. Plain words that are new go by the same vocabulary's merges in tiktoken, all of a call at once: there a
+    space ends each part of a word, and a line feed is a part between two words.
     """
 
-    _MARKS = b".,;:?"
-    _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    _LETTERS, _NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-įı-ɏ", "0-9²³¹¼½¾"
+    #: The vocabulary's own parts of a word, for plain ones.
+    _PARTS = re.compile(rf"\n|'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+    _PLAIN = re.compile(r"[\n\x21-\x7e¡-įı-ɏ]*")
+    _LONG_WORD = re.compile(r"[^\n]{1000}")
 
-    def __init__(self, json_path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, json_path: str, most: int = 100 << 20):
+        import tiktoken
 
         super().__init__()
-        self.any, self.most = Tokenizer.from_file(json_path), most
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(self._MARKS)
-        if core and core != word and core[-1] in self._PLAIN:
-            found = self[core] + self[word[len(core) :]]
-        else:
-            found = np.array(self.any.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < self.most and len(word) <= 64:
-            self[word] = found
-        return found
+        self.json_path, self.most, self.held = json_path, most, 0
+        with open(json_path, encoding="utf-8") as file:
+            whole = json.load(file)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in whole["added_tokens"]) or "(?!)")
+        model = whole["model"]
+        end, to_byte = model["end_of_word_suffix"], _bytes_of_letters()
+        ranks = {}
+        for token, number in model["vocab"].items():
+            last = token.endswith(end)
+            ranks[bytes(to_byte[c] for c in token.removesuffix(end)) + b" " * last] = number
+        self.plain = tiktoken.Encoding("word_bpe_49k", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.between = ranks[b"\n "]
 
-    def ids(self, text: str) -> np.ndarray:
-        if len(self) >= self.most:
+    @cached_property
+    def any(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
+    def _learn(self, words: list[bytes]) -> None:
+        joined = b"\n".join(words).decode()
+        if not self._PLAIN.fullmatch(joined) or self._LONG_WORD.search(joined) or self.added.search(joined):
+            plain = []
+            for word in words:
+                text = word.decode()
+                if self._PLAIN.fullmatch(text) and len(text) < 1000 and not self.added.search(text):
+                    plain.append(word)
+                else:
+                    self[word] = np.array(self.any.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            words, joined = plain, b"\n".join(plain).decode()
+        if words:
+            ids = self.plain.encode_to_numpy(" ".join(self._PARTS.findall(joined.lower())) + " ", disallowed_special=())
+            ends = (4 * np.flatnonzero(ids == self.between)).tolist()
+            ids = ids.astype("<u4", copy=False).tobytes()
+            for word, begin, stop in zip(words, [0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True):
+                self[word] = ids[begin:stop]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.held > self.most:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+            self.held = 0
+        words = [t.encode().split() for t in texts]
+        new = list(set().union(*words).difference(self))
+        if new:
+            self._learn(new)
+            self.held += sum(map(len, new)) * 3 + 200 * len(new)
+        return [np.frombuffer(b"".join(map(self.__getitem__, w)), "<u4") for w in words]
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that a letter stands for in files of byte-level vocabularies: itself where it can be printed, else one of
+    those from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 @lru_cache(1)
