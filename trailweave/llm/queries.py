@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import best_fit, chat, lines, minhash, mixing, neighbours, packing, quality, sharding, structure, substrings, suffix_tree
+from trailweave.llm import best_fit, chat, lines, minhash, mixing, neighbours, packing, periodic, quality, sharding, structure, substrings, suffix_tree
 from trailweave.llm.common import table, text_or_empty
 from trailweave.llm.tokens import byte_bpe_50k, word_bpe_49k
 
@@ -61,6 +61,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def digests_of_runs(found: DataFrame) -> DataFrame:
+    """The columns of op11 from those of periodic.runs."""
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("longest.s")).alias("start"), F.col("longest.n").alias("length"), (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.n") / -F.col("longest.p")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_of_runs(periodic.runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.reports(structure.damaged(table(spark, sf_dir, "conversations")))
 
@@ -87,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_scores": op9_scores,
     "op10_minhash": op10_minhash,
+    "op11_periodic": op11_periodic,
     "op12_structure": op12_structure,
     "op13_best_fit": op13_best_fit,
     "pipeline": pipeline,
