@@ -168,11 +168,14 @@ def _by_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return joined(x.where("not _ta"), y).union(joined(x.where("_ta"), y.where("not _tb")))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose set sizes allow a link; each once, a < b."""
-    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = classes.select(F.col("node").alias("a"), F.col("n").alias("_na")), classes.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
-    return once.join(one, "a").join(two, "b").where(100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")).select("a", "b")
+def _similar_sizes(m: Column, n: Column) -> Column:
+    """Whether sets of these sizes may be linked."""
+    return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a < b, each once."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,9 +186,11 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("_common") >= PERCENT * (F.col("_sizes") - F.col("_common"))).select("a", "b")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """key, leader: a member of each bucket, drawn by a hash, so that a document meets a leader in each of its buckets."""
-    return members.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("leader"))
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each of members (key, node, n) with its bucket's leader, drawn by a hash, if their sizes allow a link."""
+    leaders = members.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("leader"))
+    met = members.join(leaders, "key").where((F.col("node") != F.col("leader.node")) & _similar_sizes(F.col("n"), F.col("leader.n")))
+    return met.select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
 
 
 def _central(members: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -195,10 +200,11 @@ def _central(members: DataFrame, ranked: DataFrame) -> DataFrame:
     largest component: around a text that many vary, the least varied one is similar to all that any of them is similar to.
     """
     share = members.join(ranked.select("node", F.struct(F.col("own") / F.col("n"), "node").alias("_share")), "node")
-    who, outside = F.struct("node", "label"), F.col("label") != F.col("top")
+    who, outside = F.struct("node", "label", "n"), F.col("label") != F.col("top")
     leads = share.groupBy("key").agg(F.array(F.min_by(who, "_share"), F.min_by(F.when(outside, who), F.when(outside, F.col("_share")))).alias("found"))
     leads = leads.select("key", F.explode(F.array_distinct(F.array_compact("found"))).alias("lead"))
-    return members.join(leads, "key").where("label <> lead.label").select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+    met = members.join(leads, "key").where((F.col("label") != F.col("lead.label")) & _similar_sizes(F.col("n"), F.col("lead.n")))
+    return met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
 
 
 def _several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,11 +227,10 @@ def answers(documents: DataFrame) -> DataFrame:
     known = rows.where("doc_id is not null and n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     firsts = known.join(classes.select("digest", F.col("rep").alias("doc_id"), "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
-    members = firsts.select("node", F.explode("keys").alias("key"))
+    members = firsts.select("node", "n", F.explode("keys").alias("key"))
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     shared = written(members.join(several, "key", "left_semi"))
-    tried = shared.join(_leaders(shared), "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    pairs = written(_alike(tried, classes))
+    pairs = written(_once(_with_leaders(shared)))
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(shared.select("node")).distinct()
     wanted = written(paired.join(classes, "node").select("node", "digest", F.col("rep").alias("doc_id")))
     texts = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -237,9 +242,9 @@ def answers(documents: DataFrame) -> DataFrame:
     undecided = sets.join(open_.select("node").distinct(), "node", "left_semi")
     ranked = written(_ranked(undecided))
     tried = pairs
-    more = written(_alike(_central(open_, ranked), classes).join(tried, ["a", "b"], "left_anti"))
+    more = written(_once(_central(open_, ranked)).join(tried, ["a", "b"], "left_anti"))
     labels, tried = joined(labels, _links(more, sets)), tried.union(more)
-    more = written(_alike(_by_postings(_postings(ranked), labels), classes).join(tried, ["a", "b"], "left_anti"))
+    more = written(_once(_by_postings(_postings(ranked), labels)).join(tried, ["a", "b"], "left_anti"))
     labels = joined(labels, _links(more, sets))
 
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
