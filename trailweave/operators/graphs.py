@@ -1,4 +1,4 @@
-"""Exact numbers of large maps: a small graph each, worked on whole in its group's task. Counts have any length, so they are texts."""
+"""The first paths of maps and the number of their scenarios, a map a group: a list is capped, and so are the states."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from trailweave.operators.roads import path_counts, reachable
+from trailweave.operators.stages import gates
 from trailweave.sources.tables import START
 
+__all__ = ["first_paths", "gates", "path_counts", "reachable", "scenario_counts"]
+
 
 class _Map:
     def __init__(self, rows: pd.DataFrame):
@@ -50,12 +54,6 @@ def _from_ends(starts: list, after: Callable[[object], list], own: Callable[[obj
     return known
 
 
-def _ways(m: _Map, avoid: str | None = None, skip: tuple[str, ...] = ()) -> int:
-    """How many paths m has that avoid a decision and the exits of skip."""
-    after = lambda edge: [e.edge_id for e in m.next(m.all[edge]) if e.junction_id != avoid and e.edge_id not in skip]
-    return _from_ends([START], after, lambda edge, below: 1 if m.all[edge].to_kind == "end" else sum(below))[START]
-
-
 def _alive(m: _Map) -> dict[str, bool]:
     """Of each exit whether an end can be reached by it: a search from the ends backwards, which bears ways that lead back."""
     before: dict[str, list[str]] = {}
@@ -73,34 +71,6 @@ def _alive(m: _Map) -> dict[str, bool]:
     return alive
 
 
-def path_counts(exits: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """workflow, paths (a whole number as text): all paths of each map that take no exit of skip, counted without listing them."""
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"workflow": [rows["workflow"].iloc[0]], "paths": [str(_ways(_Map(rows), skip=skip))]})
-
-    return exits.groupBy("workflow").applyInPandas(count, "workflow string, paths string")
-
-
-def reachable(exits: DataFrame) -> DataFrame:
-    """workflow, edge_id: exits that lie on a path to an end."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        m = _Map(rows)
-        alive, found, todo = _alive(m), set(), [START]
-        while todo:
-            r = m.all[todo.pop()]
-            if r.to_kind == "retry" and alive[r.edge_id]:
-                found.add(r.to_id)
-            for e in m.next(r):
-                if e.edge_id not in found and alive[e.edge_id]:
-                    found.add(e.edge_id)
-                    todo.append(e.edge_id)
-        return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "edge_id": sorted(found)})
-
-    return exits.groupBy("workflow").applyInPandas(walk, "workflow string, edge_id string")
-
-
 def first_paths(exits: DataFrame, cap: int) -> DataFrame:
     """workflow, number, steps, end, truncated: each map's first cap paths in the order of exits; truncated if there are more.
 
@@ -133,50 +103,13 @@ def first_paths(exits: DataFrame, cap: int) -> DataFrame:
                     found.append((list(steps), e.to_id))
                 stack.append(iter(after(e) if e.to_kind != "end" else []))
         kept = found[:cap]
+        if not kept:
+            return pd.DataFrame()
         return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "number": range(1, len(kept) + 1), "steps": [s for s, _ in kept], "end": [e for _, e in kept], "truncated": len(found) > cap})
 
     return exits.groupBy("workflow").applyInPandas(walk, "workflow string, number int, steps array<string>, end string, truncated boolean")
 
 
-def gates(exits: DataFrame) -> DataFrame:
-    """workflow, junction_id, stage: decisions that every path passes (a map's stages begin at them), in their order.
-
-    A decision is a gate if no path avoids it, no road leads to it that is limited to one exit, and no way round a
-    loop crosses it.
-    """
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        m = _Map(rows)
-        total = m.all[START]
-        limited = {r.to_id for r in m.all.values() if r.to_kind == "junction" and r.only_edge is not None}
-        # inside a loop's body: what is reached from its iteration before its way round
-        inside: set[str] = set()
-        for loop in {m.all[r.to_id].junction_id for r in m.all.values() if r.to_kind == "retry"}:
-            todo = [e for e in m.ways[loop] if e.label == "iterate"]
-            seen: set[str] = set()
-            while todo:
-                r = todo.pop()
-                if r.to_kind == "junction" and r.to_id != loop and r.to_id not in seen:
-                    seen.add(r.to_id)
-                    todo += m.next(r)
-            inside |= seen
-        found = [j for j in m.ways if j not in limited and j not in inside and _ways(m, avoid=j) == 0]
-        order: dict[str, int] = {}
-        r, seen_edges = total, set()
-        todo = [total]
-        while todo:
-            r = todo.pop(0)
-            for e in m.next(r):
-                order.setdefault(e.junction_id, len(order))
-                if e.edge_id not in seen_edges:
-                    seen_edges.add(e.edge_id)
-                    todo.append(e)
-        found.sort(key=lambda j: order.get(j, 0))
-        return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "junction_id": found, "stage": range(len(found))})
-
-    return exits.groupBy("workflow").applyInPandas(cut, "workflow string, junction_id string, stage long")
-
-
 def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = 100_000) -> DataFrame:
     """workflow, scenarios (a whole number as text; null if unmeasured): different sequences of external steps and end, counted without listing paths.
 

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.ids import path_id, path_key
+from trailweave.operators import roads
 from trailweave.operators.graphs import first_paths
 from trailweave.operators.match import transitions
+from trailweave.sources.rounds import kept
 
 CAP = 2000
 
 
+def _named(ways: DataFrame) -> DataFrame:
+    steps, end = F.col("steps"), F.expr("substring(place, 3)")
+    return ways.select("workflow", "number", "steps", end.alias("end"), path_id(steps, end).alias("path_id"), path_key(steps, end).alias("path_key"), "truncated")
+
+
 def listed(exits: DataFrame, cap: int = CAP) -> DataFrame:
     """workflow, number, steps, end, path_id, path_key, truncated: each workflow's first `cap` paths in the order of exits.
 
@@ -21,6 +28,20 @@ def listed(exits: DataFrame, cap: int = CAP) -> DataFrame:
     return first_paths(exits, cap).select("workflow", "number", "steps", "end", path_id(steps, end).alias("path_id"), path_key(steps, end).alias("path_key"), "truncated")
 
 
+def pruned(exits: DataFrame, facts: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """The paths of listed but for those that facts show impossible, and the groups of these.
+
+    facts: workflow, edge_id, name, value: what taking an exit shows, such as a condition's truth. Where an exit contradicts
+    what a path has shown before, nothing behind it is listed. Groups: workflow, prefix (up to that exit), name (what it
+    contradicts), paths (how many it leaves out, a whole number as text). So the list fills with paths that can be taken;
+    groups that stand behind its end are not told.
+    """
+    moves = kept(roads.moves(exits))
+    ways, groups = roads.listing(moves, cap, facts=facts)
+    below = roads.ways(moves).select("workflow", "place", roads.as_text(F.col("limbs")).alias("paths"))
+    return _named(ways), groups.join(below, ["workflow", "place"]).select("workflow", "prefix", "name", "paths")
+
+
 def legal_pairs(exits: DataFrame) -> DataFrame:
     """workflow, first, second: each exit with each exit that may come next; the way round a loop leads to its exit."""
     to = transitions(exits)

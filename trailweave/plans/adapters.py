@@ -2,11 +2,13 @@
 
 user_day: a user's events of a day, in order, as a run of the map SHOPPER.
 order_lines: an order's return flags, in the order of its lines, as a path of the workflow of its priority.
+customer_exits: a customer's orders as the decisions of a map; customer_runs: runs of it, by the flags of lines.
+flag_exits: an order's lines as questions, of which those on one flag have one answer (flag_facts).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.ids import path_id, path_key
@@ -64,3 +66,84 @@ def order_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.struct(F.lit(START).alias("edge_id"), F.lit("").alias("junction_id"), F.lit("start").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("ord"), F.lit("junction").alias("to_kind"), F.lit("J1").alias("to_id"))
     rows = at.select("workflow", F.explode(F.when(F.col("i") == 0, F.array(start, on, back)).otherwise(F.array(on, back))).alias("e"))
     return rows.select("workflow", "e.edge_id", "e.junction_id", "e.kind", "e.label", "e.ord", F.lit(False).alias("is_retry"), "e.to_kind", "e.to_id", F.lit(None).cast("string").alias("only_edge"))
+
+
+def _exit(edge: Column, junction: Column, label: str, ord_: int, kind: Column, to: Column) -> Column:
+    return F.struct(
+        edge.alias("edge_id"), junction.alias("junction_id"), F.lit("if").alias("kind"), F.lit(label).alias("label"),
+        F.lit(ord_).alias("ord"), F.lit(False).alias("is_retry"), kind.alias("to_kind"), to.alias("to_id"), F.lit(None).cast("string").alias("only_edge"),
+    )
+
+
+def _decision(labels: dict[str, tuple[Column, Column]]) -> Column:
+    """The exits of the decision of place i (from 1), and START before the first."""
+    junction = F.concat(F.lit("J"), F.col("i"))
+    ways = [_exit(F.concat(junction, F.lit(f".{label}")), junction, label, n, *to) for n, (label, to) in enumerate(labels.items())]
+    start = _exit(F.lit(START), F.lit(""), "", 0, F.lit("junction"), F.lit("J1"))
+    return F.when(F.col("i") == 1, F.array(start, *ways)).otherwise(F.array(*ways))
+
+
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow (the customer), i (from 1), n, sort and order_id of each order.
+
+    sort: skip (low priority: goes on to the next order or the one after it), early (open: goes on or fails), else both
+    (goes on either way).
+    """
+    by = Window.partitionBy("o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    sort = F.when(F.col("o_orderpriority") == "5-LOW", "skip").when(F.col("o_orderstatus") == "O", "early").otherwise("both")
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("workflow"), F.row_number().over(by.orderBy("o_orderkey")).alias("i"),
+        F.count(F.lit(1)).over(by).alias("n"), sort.alias("sort"), F.col("o_orderkey").alias("order_id"),
+    )
+
+
+def _ahead(by: int) -> tuple[Column, Column]:
+    over = F.col("i") + by > F.col("n")
+    return F.when(over, "end").otherwise("junction"), F.when(over, "completed").otherwise(F.concat(F.lit("J"), F.col("i") + by))
+
+
+def customer_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each customer, its decisions the orders; the exits of each are first and second."""
+    failed = (F.lit("end"), F.lit("failed"))
+    second = [F.when(F.col("sort") == "skip", a).when(F.col("sort") == "early", b).otherwise(c) for a, b, c in zip(_ahead(2), failed, _ahead(1))]
+    rows = customer_orders(spark, sf_dir).select("workflow", F.explode(_decision({"first": _ahead(1), "second": tuple(second)})).alias("e"))
+    return rows.select("workflow", "e.*")
+
+
+def customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow, run_id (1 to 7), steps: run r takes the second exit of an order whose line r was returned (flag R), else the first."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("returned"))
+    orders = customer_orders(spark, sf_dir).join(lines, F.col("order_id") == F.col("l_orderkey"), "left")
+    orders = orders.groupBy("workflow").agg(F.array_sort(F.collect_list(F.struct("i", "sort", F.coalesce("returned", F.array().cast("array<int>")).alias("returned")))).alias("orders"))
+    runs = orders.select("workflow", "orders", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("run"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("steps"))
+
+    def step(a: Column, o: Column) -> Column:
+        second = F.array_contains(o["returned"], F.col("run"))
+        to = F.when(second & (o["sort"] == "early"), -1).when(second & (o["sort"] == "skip"), o["i"] + 2).otherwise(o["i"] + 1)
+        taken = F.concat(F.lit("J"), o["i"], F.when(second, ".second").otherwise(".first"))
+        here = a["at"] == o["i"]
+        return F.struct(F.when(here, to).otherwise(a["at"]).alias("at"), F.when(here, F.concat(a["steps"], F.array(taken))).otherwise(a["steps"]).alias("steps"))
+
+    return runs.select("workflow", F.col("run").cast("string").alias("run_id"), F.aggregate("orders", start, step, lambda a: a["steps"]).alias("steps"))
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    place = F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("workflow"), place.alias("i"), F.count(F.lit(1)).over(by).alias("n"), F.col("l_returnflag").alias("flag"))
+
+
+def flag_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each order: each line asks yes or no, and goes on either way."""
+    rows = _flags(spark, sf_dir).select("workflow", F.explode(_decision({"yes": _ahead(1), "no": _ahead(1)})).alias("e"))
+    return rows.select("workflow", "e.*")
+
+
+def flag_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow, edge_id, name, value: all lines of one flag ask the same."""
+    answer = F.explode(F.array(F.lit("yes"), F.lit("no"))).alias("value")
+    rows = _flags(spark, sf_dir).select("workflow", "i", F.col("flag").alias("name"), answer)
+    return rows.select("workflow", F.concat(F.lit("J"), "i", F.lit("."), "value").alias("edge_id"), "name", "value")

@@ -123,6 +123,51 @@ ran_pairs as (
 """
 )
 
+#: Customers' orders as decisions: skip may pass by the next one, early may fail, both goes on either way. One is a gate unless
+#: the one before it may pass it by. Ways from a gate to where a stage stops are counted backwards; stages grow up to 64 ways.
+CUSTOMERS = """o as (
+  select o_custkey::varchar as workflow, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as i,
+    count(*) over (partition by o_custkey) as n,
+    case when o_orderpriority = '5-LOW' then 'skip' when o_orderstatus = 'O' then 'early' else 'both' end as sort
+  from orders),
+led as (select *, lag(sort) over (partition by workflow order by i) as before from o),
+gates as (
+  select workflow, i, n, row_number() over (partition by workflow order by i) - 1 as number
+  from led where i = 1 or not (before = 'skip' and i < n))"""
+STAGES = CUSTOMERS + """,
+stops as (
+  select workflow, number - 1 as until, i as stop from gates where number > 0
+  union all select workflow, max(number), max(n) + 1 from gates group by workflow),
+walk(workflow, until, stop, i, c, after) as (
+  select workflow, until, stop, stop, 1::hugeint, 1::hugeint from stops
+  union all
+  select w.workflow, until, stop, w.i - 1, case sort when 'skip' then c + after when 'early' then c + 1 else 2 * c end, c
+  from walk w join o on o.workflow = w.workflow and o.i = w.i - 1),
+counted as (select g.workflow, number, until, stop, c from gates g join walk w on w.workflow = g.workflow and w.i = g.i where until >= number),
+ends as (
+  select workflow, number, coalesce(min(until) filter (until > number and c > 64) - 1, max(until)) as until from counted group by all),
+runs(workflow, stage, number, until) as (
+  select workflow, 0, number, until from ends where number = 0
+  union all select r.workflow, stage + 1, e.number, e.until from runs r join ends e on e.workflow = r.workflow and e.number = r.until + 1),
+staged as (
+  select r.workflow, stage, g.i as first_i, c.stop as next_i, g.n, c.c as ways, c.c > 64 as big
+  from runs r join gates g using (workflow, number) join counted c using (workflow, number, until))"""
+#: Runs of customers' maps and the pieces of their paths in each stage.
+STAGE_RUNS = STAGES + """,
+taken as (
+  select workflow, i, n, sort, r, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = r and l_returnflag = 'R') as second
+  from o, range(1, 8) t(r)),
+road(workflow, r, i, to_i) as (
+  select workflow, r, i, case when second and sort = 'early' then -1 when second and sort = 'skip' then i + 2 else i + 1 end from taken where i = 1
+  union all
+  select t.workflow, t.r, t.i, case when t.second and t.sort = 'early' then -1 when t.second and t.sort = 'skip' then t.i + 2 else t.i + 1 end
+  from road p join taken t on t.workflow = p.workflow and t.r = p.r and t.i = p.to_i),
+piece as (
+  select s.workflow, s.stage, r, string_agg('J' || i || case when second then '.second' else '.first' end, ' ' order by i) as steps, max_by(to_i, i) as last, any_value(s.next_i) as next_i, any_value(s.n) as n
+  from road join taken using (workflow, r, i) join staged s on s.workflow = road.workflow and i >= first_i and i < next_i where not big group by all),
+hits as (
+  select workflow, stage, steps || '|' || case when last = -1 then 'failed' when last > n then 'completed' else '>' end as key, count(*) as runs from piece group by all)"""
+
 ORACLES: dict[str, str] = {
     "trace_paths": f"with {ORDERS} select workflow, order_id, array_to_string(steps, ' ') as steps, path_id from order_runs",
     "match_runs": f"with {RUNS} select workflow, run_id, known, matched, coalesce(bad_step, -1)::int as bad_step, case when matched then maybe_end end as end, case when matched then array_to_string(path, ' ') end as path from kinds",
@@ -295,10 +340,7 @@ ORACLES |= {
     "stated_assumptions": f"with {ORDERS} select assumption, count(*) as paths, count(distinct workflow) as workflows from (select workflow, unnest(list_distinct(steps)) as assumption from paths) group by 1",
     "order_maps": f"with {ORDER_MAPS} select workflow, count(*)::varchar as paths from ends group by workflow",
     "order_map_paths": f"with {ORDER_MAPS} select workflow, row_number() over (partition by workflow order by pos desc)::int as number, array_to_string(steps, ' ') as steps, \"end\" from ends",
-    # on the pilot's maps a decision that all paths pass is a gate
-    "stage_gates": f"""with recursive {MAP}, met as (select l.workflow, l.number, split_part(s, '.', 1) as junction_id, i from listed l, unnest(range(1, len(steps) + 1)) t(i), unnest([steps[i]]) u(s)),
-      every as (select workflow, junction_id, min(i) as pos, count(distinct number) as n from met group by all), total as (select workflow, count(*) as n from listed group by workflow)
-      select e.workflow, junction_id, row_number() over (partition by e.workflow order by pos) - 1 as stage from every e join total t on e.workflow = t.workflow and e.n = t.n""",
+    "stage_gates": f"with {CUSTOMERS} select workflow, 'J' || i as junction_id, number as stage from gates",
 }
 
 PART_ENTRIES = """
@@ -396,3 +438,22 @@ ORACLES |= {
         union all select workflow, '  J' || i || ' -->|back| ' || case when flags[i] = 'R' then 'End_failed' else '' end from walked, unnest(range(1, len(flags) + 1)) t(i))
       select workflow, 'flowchart TD' || chr(10) || string_agg(edge, chr(10) order by edge) as value from e group by workflow""",
 }
+
+ORACLES |= {
+    "map_path_counts": f"with recursive {STAGES} select workflow, c::varchar as paths from counted where number = 0 and stop = (select max(n) + 1 from o where o.workflow = counted.workflow)",
+    "map_reachable": f"with {CUSTOMERS} select workflow, 'J' || i || x as edge_id from o, unnest(['.first', '.second']) t(x)",
+    "map_stages": f"""with recursive {STAGES} select workflow, stage, 'J' || first_i as entry, case when next_i <= n then 'J' || next_i end as next, ways::varchar as paths, big from staged""",
+    "stage_runs": f"with recursive {STAGE_RUNS} select * from hits",
+    "stage_totals": f"""with recursive {STAGE_RUNS}, capped as (select workflow from counted join (select workflow, max(n) + 1 as stop from o group by all) using (workflow, stop) where number = 0 and c > 2000)
+      select workflow, stage, ways::varchar as paths, big, case when not big then (select count(*) from hits h where h.workflow = staged.workflow and h.stage = staged.stage) end as covered,
+        case when not big then ways::bigint end as testable from staged join capped using (workflow)""",
+    "pruned_paths": """with recursive f as (
+        select l_orderkey::varchar as workflow, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as n, l_returnflag as flag from lineitem),
+      walk(workflow, i, n, steps, known, what) as (
+        select workflow, 0, n, '', '', 'listed' from f where i = 1
+        union all
+        select w.workflow, f.i, f.n, trim(steps || ' J' || f.i || '.' || a), known || '[' || flag || ':' || a || ']',
+          case when contains(known, '[' || flag || ':' || case a when 'yes' then 'no' else 'yes' end || ']') then flag else 'listed' end
+        from walk w join f on f.workflow = w.workflow and f.i = w.i + 1, unnest(['yes', 'no']) t(a) where what = 'listed')
+      select workflow, steps, what, case when what = 'listed' then '1' else (1::bigint << (n - i))::varchar end as paths from walk where what <> 'listed' or i = n""",
+}

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import measures
 from trailweave.functions.ids import branch_id, path_id, stable_id
-from trailweave.operators import classify, compare, coverage, entries, graphs, match, panels, paths
+from trailweave.operators import classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages
 from trailweave.plans import pilot
-from trailweave.plans.adapters import order_exits, order_paths, order_runs, shopper_exits, table, user_day
+from trailweave.plans.adapters import customer_exits, customer_runs, flag_exits, flag_facts, order_exits, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
 from trailweave.sources import sinks
 
@@ -110,7 +110,7 @@ def reachable_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.gates(pilot.pilot_exits(spark))
+    return stages.gates(customer_exits(spark, sf_dir))
 
 
 @query
@@ -641,3 +641,54 @@ def cobertura_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def map_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.mermaid(order_exits(spark, sf_dir))
+
+
+#: Ways up to which the stages of customers' maps are merged, so that most maps have several.
+STAGE_MOST = 64
+
+
+@query
+def map_path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roads.path_counts(customer_exits(spark, sf_dir))
+
+
+@query
+def map_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roads.reachable(customer_exits(spark, sf_dir))
+
+
+@query
+def map_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.stages(customer_exits(spark, sf_dir), STAGE_MOST).select("workflow", "stage", "entry", "next", "paths", "big")
+
+
+def _stage_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    exits = customer_exits(spark, sf_dir)
+    cut = stages.stages(exits, STAGE_MOST)
+    runs = match.matched(customer_runs(spark, sf_dir), exits).where("matched")
+    runs = runs.groupBy("workflow", F.col("path").alias("steps"), "end").agg(F.count(F.lit(1)).alias("runs"))
+    of = stages.stage_map(exits, stages.members(exits, cut))
+    return exits, cut, stages.stage_results(stages.stage_paths(exits, cut, STAGE_MOST), runs, of)
+
+
+@query
+def stage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways of stages that runs took, wherever their whole path stands."""
+    results = _stage_results(spark, sf_dir)[2]
+    return results.where("covered").select("workflow", "stage", "key", "runs")
+
+
+@query
+def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of the maps with more paths than a list holds."""
+    exits, cut, results = _stage_results(spark, sf_dir)
+    capped = roads.path_counts(exits).where(F.col("paths").cast("decimal(38,0)") > paths.CAP)
+    return stages.stage_totals(cut, results, capped)
+
+
+@query
+def pruned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is listed of maps whose questions have known answers, and the groups that are not."""
+    listed, groups = paths.pruned(flag_exits(spark, sf_dir), flag_facts(spark, sf_dir))
+    rows = listed.select("workflow", joined("steps").alias("steps"), F.lit("listed").alias("what"), F.lit("1").alias("paths"))
+    return rows.unionByName(groups.select("workflow", joined("prefix").alias("steps"), F.col("name").alias("what"), "paths"))
