@@ -325,6 +325,15 @@ def test_neighbours_without_clusters(spark):
     assert sum(len(got[q] & set(t)) for q, t in zip(queries, true.tolist())) >= 0.9 * 20 * len(queries)
 
 
+def test_many_ties_go_to_the_smallest_vec_ids(spark):
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i), 0.0]) for i in range(200, 0, -1)]
+    rows += [(1000 + i, [1.0, float(i), 1.0]) for i in range(3)] + [(999, [1.0, 7.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (8192, 16):
+        got = neighbours.nearest(df, F.col("vec_id") == 0, block=block, aimed=1.0).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
 # 7 quality
 
 

@@ -11,7 +11,8 @@ need few files. Vectors without any structure need about half of them at any siz
 square of the rows there; no index of this kind does it with less at that recall.
 
 Equal vectors are one class; it is indexed once and answers with its smallest vec_ids, so a vector that a third of
-all rows hold swells no file. Files of near pivots go into one bundle of about BLOCK vectors, a longer file is cut
+all rows hold swells no file. Wherever classes are cut off, equal scores are ordered by a class's smallest vec_id, so
+that of any number of ties those with the smallest vec_ids stay. Files of near pivots go into one bundle of about BLOCK vectors, a longer file is cut
 into blocks, and the queries that read a bundle are cut into parts; a bundle and a part are a task's unit.
 
 Cases: vectors that are null or zero, or hold a null or non-finite component, take no part, as queries or as
@@ -59,14 +60,24 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarra
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1)
 
 
-def best_of(held: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n best of each row: their values of held, and their scores."""
+def best_of(held: np.ndarray, scores: np.ndarray, n: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The n best of each row: their values of held, and their scores; equal scores by least, if that is given."""
     if scores.shape[1] > n:
         some = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        if least is not None:
+            last = np.take_along_axis(scores, some, 1).min(1)
+            for i in np.flatnonzero(((scores >= last[:, None]).sum(1) > n) & (last > -np.inf)):  # a tie at the last place
+                some[i] = np.lexsort((least[held[i]], -scores[i]))[:n]
         held, scores = np.take_along_axis(held, some, 1), np.take_along_axis(scores, some, 1)
     return held, scores
 
 
+def alike(scores: np.ndarray) -> np.ndarray:
+    """Scores without their last bits, in which equal sums differ that were added in another order."""
+    part, power = np.frexp(scores)
+    return np.ldexp(np.rint(part * 2.0**44) / 2.0**44, power)
+
+
 def files_read(index: DataFrame, pivots: np.ndarray, width: int, top: int, sample: int = SAMPLE, aimed: float = AIMED) -> int:
     """How many files of its nearest pivots a query must read for a share aimed of its true neighbours, measured on sample queries."""
     taken = index.where("q").orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(sample).select("cls", "v").toArrow()
@@ -136,7 +147,8 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
     # a class answers with its top + 1 smallest ids, found in parts first
     some = numbered.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= top + 1).groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, top + 1).alias("ids"))
     asked = rows.where("q").select("cls").distinct().withColumn("q", F.lit(True))
-    classes = rows.select("cls", "v").dropDuplicates(["cls"]).join(asked, "cls", "left").withColumn("q", F.coalesce("q", F.lit(False)))
+    first_ids = ids.groupBy("cls").agg(F.min("vec_id").alias("least"))
+    classes = rows.select("cls", "v").dropDuplicates(["cls"]).join(first_ids, "cls").join(asked, "cls", "left").withColumn("q", F.coalesce("q", F.lit(False)))
     classes = written(classes)
     n_classes = classes.count()
     chosen = classes.orderBy(F.xxhash64("cls"), "cls").limit(n_pivots(n_classes)).select("v").toArrow()
@@ -148,9 +160,10 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = nearest_pivots(_matrix(b.column("v"), width), held.value, near) if len(b) else np.zeros((0, near), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("v"), b.column("q"), pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "v", "q", "nearest"])
+            kept = [b.column(c) for c in ("cls", "v", "q", "least")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "v", "q", "least", "nearest"])
 
-    index = written(classes.mapInArrow(placed, "cls binary, v array<double>, q boolean, nearest array<int>"))
+    index = written(classes.mapInArrow(placed, "cls binary, v array<double>, q boolean, least long, nearest array<int>"))
     reads = files_read(index, pivots, width, top, aimed=aimed)
     sizes = {r.pivot: r["count"] for r in index.select(F.explode("nearest").alias("pivot")).groupBy("pivot").count().collect()}  # a row a pivot
     first, blocks = bundles(pivots, sizes, block)
@@ -180,39 +193,41 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, near: int = NE
     asking = asking.mapInArrow(asked_files, f"cls binary, v array<{small}>, part int, bundle long, wanted array<int>")
     # a row a pivot
     cut = F.broadcast(spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, blocks))], "pivot int, first long, blocks int"))
-    posted = index.select("cls", F.col("v").cast(f"array<{small}>").alias("v"), F.explode("nearest").alias("pivot")).join(cut, "pivot")
-    posted = posted.select("cls", "v", "pivot", (F.col("first") + deal(F.col("blocks"))).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    posted = index.select("cls", "least", F.col("v").cast(f"array<{small}>").alias("v"), F.explode("nearest").alias("pivot")).join(cut, "pivot")
+    posted = posted.select("cls", "least", "v", "pivot", (F.col("first") + deal(F.col("blocks"))).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     several = (top + 1) * near
 
     def one_block(key: tuple, asking: pa.Table, posted: pa.Table) -> pa.Table:
         q, c = asking["cls"].to_pylist(), posted["cls"].to_pylist()
-        out_q, out_c, out_s = [], [], []
+        out_q, out_c, out_s, out_l = [], [], [], []
         if q and c:
             qv, cv = _matrix(asking["v"].combine_chunks(), width), _matrix(posted["v"].combine_chunks(), width)
             wanted = asking["wanted"].combine_chunks()
             asker = np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy())
-            asked, own = wanted.flatten().to_numpy(), posted["pivot"].to_numpy()
+            asked, own, least = wanted.flatten().to_numpy(), posted["pivot"].to_numpy(), posted["least"].to_numpy()
             at, best = np.zeros((len(q), several), np.int64), np.full((len(q), several), -np.inf)
             for p in np.unique(own):
                 columns, rows = np.flatnonzero(own == p), asker[asked == p]
                 for i in range(0, len(rows), 512):
                     some = rows[i : i + 512]
-                    score = qv[some] @ cv[columns].T
-                    here, score = best_of(np.broadcast_to(columns, score.shape), score, several)
-                    at[some], best[some] = best_of(np.hstack([at[some], here]), np.hstack([best[some], score]), several)
+                    score = alike(qv[some] @ cv[columns].T)
+                    here, score = best_of(np.broadcast_to(columns, score.shape), score, several, least)
+                    at[some], best[some] = best_of(np.hstack([at[some], here]), np.hstack([best[some], score]), several, least)
             for i in range(len(q)):
-                names: dict[bytes, float] = {}  # a vector may stand in several files of a bundle
-                for j in np.argsort(-best[i], kind="stable"):
+                names: dict[bytes, tuple[float, int]] = {}  # a vector may stand in several files of a bundle
+                for j in np.lexsort((least[at[i]], -best[i])):
                     if best[i, j] > -np.inf and len(names) <= top:
-                        names.setdefault(c[at[i, j]], best[i, j])
+                        names.setdefault(c[at[i, j]], (best[i, j], least[at[i, j]]))
                 out_q += [q[i]] * len(names)
                 out_c += names
-                out_s += names.values()
-        return pa.table({"query": pa.array(out_q, pa.binary()), "cls": pa.array(out_c, pa.binary()), "score": pa.array(out_s, pa.float64())})
+                out_s += [s for s, _ in names.values()]
+                out_l += [n for _, n in names.values()]
+        return pa.table({"query": pa.array(out_q, pa.binary()), "cls": pa.array(out_c, pa.binary()), "score": pa.array(out_s, pa.float64()), "least": pa.array(out_l, pa.int64())})
 
-    found = asking.groupBy("bundle", "part").cogroup(posted.groupBy("bundle", "part")).applyInArrow(one_block, "query binary, cls binary, score double")
+    found = asking.groupBy("bundle", "part").cogroup(posted.groupBy("bundle", "part")).applyInArrow(one_block, "query binary, cls binary, score double, least long")
     # equal pairs of classes come from several files; the sum of products is taken once more, in one order, for all
-    best = found.groupBy("query", "cls").agg(F.max("score").alias("near")).withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "cls"))).where(F.col("_n") <= top + 1 + 4)
+    best = found.groupBy("query", "cls").agg(F.max("score").alias("near"), F.min("least").alias("least"))
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "least"))).where(F.col("_n") <= top + 1 + 4)
     exact = best.select("query", "cls").join(index.select("cls", F.col("v").alias("cv")), "cls").join(index.select(F.col("cls").alias("query"), F.col("v").alias("qv")), "query")
     exact = exact.select("query", "cls", F.aggregate(F.zip_with("cv", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("score"))
     listed = exact.join(some, "cls").select("query", "score", F.explode("ids").alias("vec_id"))
