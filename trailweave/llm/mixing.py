@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import WHITE, text_or_empty, written
+from trailweave.llm.common import WHITE, sent, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a share of all words; the most that a source gives, as a multiple of its words.
@@ -81,7 +81,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     along = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
     numbered = parted.withColumn("_row", F.row_number().over(Window.partitionBy(*part).orderBy("size", "_tie", "doc_id", "text_key")))
-    d, s, t = numbered.alias("d"), starts.alias("s"), F.broadcast(sources).alias("t")
+    d, s, t = numbered.alias("d"), starts.alias("s"), sent(sources).alias("t")
     same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._class") == F.col("s._class")) & (F.col("d._salt") == F.col("s._salt"))
     joined = d.join(s, same).join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"offset{seed}"), F.coalesce(F.col("d.source"), F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -18,7 +18,7 @@ The base score counts words. Words with at least a share HEAD_SHARE of all token
 them) are sent to the executors; all others are joined by a shuffle.
 
 Cases: a null text is empty: it has one token, the end. Without training texts every count is 0 and every symbol
-has the probability 1 / 257. Null doc_ids train (their hash is that of an empty text). Repeated rows count and
+has the probability 1 / 257. Null doc_ids are held out (the crc32 of an empty text is 0). Repeated rows count and
 are scored each. An empty table gives an empty result. Other columns are not read.
 """
 
