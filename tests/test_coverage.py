@@ -140,4 +140,4 @@ def test_gates_and_diff(spark):
     assert {r.k: r.change for r in compare.snapshot_diff(a, b, ["workflow", "k"], ["v"]).collect()} == {"2": "changed", "3": "removed", "4": "new"}
     names = spark.createDataFrame([("OrderWorkflo",)], "name string")
     flows = spark.createDataFrame([("OrderWorkflow",), ("Other",)], "workflow string")
-    assert compare.suggestions(names, flows).first().workflow == "OrderWorkflow"
+    assert compare.suggestions(names, flows).first().hint == "OrderWorkflow"

@@ -10,7 +10,7 @@ def test_stages(spark):
     r = coverage.path_results(paths.listed(e), m)
     got = {(x.workflow.split(".")[1], x.stage): (x.pieces, x.covered) for x in panels.stage_coverage(r, graphs.gates(e), e).where("workflow like 'reports%' or workflow like 'orders%'").collect()}
     assert got == {("DailyReportWorkflow", 0): (2, 2), ("DailyReportWorkflow", 1): (2, 2), ("DailyReportWorkflow", 2): (2, 1), ("OrderWorkflow", 0): (2, 2), ("OrderWorkflow", 1): (2, 2)}
-    assert tuple(panels.branch_headline(coverage.branch_coverage(e, m)).select("branches", "taken", "percent", "grade", "at_target").first()) == (50, 39, 78.0, "B", 4)
+    assert tuple(panels.branch_headline(coverage.branch_coverage(e, m)).select("branches", "taken", "percent", "grade", "at_target").first()) == (50, 39, 78.0, "commendable", 4)
 
 
 def test_small_panels(spark):

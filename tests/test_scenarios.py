@@ -58,7 +58,7 @@ def test_detectors(spark):
     verdicts = classify.single_facts(results, facts).unionByName(classify.leaves_before_trip(results, facts)).unionByName(classify.analysed(claims))
     got = {r.path_id: (r.bucket, r.label, r.source, r.extra) for r in classify.classified(results, verdicts).collect()}
     assert got == {
-        "p0": ("cannot-be-tested", "closed-signal-channel", "closed-signal-channel", ["value-flow"]), "p1": ("needs-review", "needs-review", "history-limit", []),
+        "p0": ("cannot-be-tested", "closed-signal-channel", "closed-signal-channel", []), "p1": ("needs-review", "needs-review", "history-limit", []),
         "p2": ("cannot-be-tested", "constant-condition", "constant-condition", ["version-gate-old-branch"]), "p3": ("cannot-be-tested", "impossible-loop-exit", "loop-exit-before-first-trip", []),
         "p4": ("testable", "default", "default", []), "p5": ("needs-review", "likely-defect", "likely-defect", []),
     }

@@ -21,6 +21,13 @@ def priority(covered: Column, total: Column) -> Column:
     return F.when(total == 0, "").when(covered * 100 < total * 50, "High").when(covered * 100 > total * 80, "Low").otherwise("Medium")
 
 
+#: The names of grades, the lowest first (fixed values).
+GRADES = ("needs work", "acceptable", "commendable", "exemplary")
+
+
 def grade(share: Column, bands: tuple[float, float, float] = (60.0, 75.0, 90.0)) -> Column:
-    low, fair, good = bands
-    return F.when(share >= good, "A").when(share >= fair, "B").when(share >= low, "C").otherwise("D")
+    """The name of a percentage; bands: the lower edges of all grades but the lowest."""
+    named = F.lit(GRADES[0])
+    for name, edge in zip(GRADES[1:], bands):
+        named = F.when(share >= edge, name).otherwise(named)
+    return named

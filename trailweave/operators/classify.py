@@ -121,8 +121,12 @@ def enabled(verdicts: DataFrame, off: tuple[str, ...]) -> DataFrame:
 def classified(results: DataFrame, verdicts: DataFrame, sure: bool = True) -> DataFrame:
     """results (with covered) with bucket, label, source, extra (further reasons). A covered path is testable whatever is said; the default is testable too.
 
-    sure=False lets claims that something cannot be tested count as needs-review.
+    sure=False lets claims that something cannot be tested count as needs-review. What the analysis of values claims
+    counts only where nothing else hit.
     """
+    by_values = F.col("source").isin(*ANALYSED)
+    others = verdicts.where(~by_values).select("workflow", "path_id").distinct()
+    verdicts = verdicts.where(~by_values).unionByName(verdicts.where(by_values).join(others, ["workflow", "path_id"], "left_anti"))
     order = Window.partitionBy("workflow", "path_id").orderBy("rank", "source", "label")
     best = verdicts.withColumn("_n", F.row_number().over(order))
     top = best.groupBy("workflow", "path_id").agg(F.min_by(F.struct("bucket", "label", "source"), "_n").alias("v"), F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.col("source")))).alias("extra"))
@@ -135,17 +139,20 @@ def classified(results: DataFrame, verdicts: DataFrame, sure: bool = True) -> Da
 
 
 def distrusted(results: DataFrame, unmatched: DataFrame) -> DataFrame:
-    """Claims that a path cannot be tested, taken back to needs-review where an unexplained run came as far as the path's own start.
+    """results, in which claims of detectors and rules that a path cannot be tested are taken back (needs-review, label
+    model-limit) where a run of the workflow that fits no path puts the map itself in doubt.
 
-    unmatched: workflow, followed (the steps that fitted).
+    unmatched: workflow, followed (the steps that fitted) of runs that nobody has explained. A claim is in doubt if it rests
+    on the step at which one of them leaves the map or on a later one; `uses`, if results has it, is the last step that a
+    claim rests on, from 1; 0 or null: not known, which any such run puts in doubt. What a person has said stays.
     """
-    claims = results.where("bucket = 'cannot-be-tested'").select("workflow", "path_id", "steps")
-    heads = unmatched.where(F.size("followed") > 0).select("workflow", F.array_join("followed", "\n").alias("_p")).distinct()
-    every = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda n: F.array_join(F.slice("steps", F.lit(1), n), "\n"))
-    hit = claims.where(F.size("steps") > 0).select("workflow", "path_id", F.explode(every).alias("_p")).join(heads, ["workflow", "_p"], "left_semi").select("workflow", "path_id").distinct().withColumn("_hit", F.lit(True))
-    out = results.join(hit, ["workflow", "path_id"], "left")
-    doubt = F.coalesce("_hit", F.lit(False))
-    return out.select(*[F.when(doubt, "needs-review").otherwise(F.col(c)).alias(c) if c == "bucket" else F.when(doubt, "unexplained").otherwise(F.col(c)).alias(c) if c == "label" else F.col(c) for c in results.columns])
+    leaves = unmatched.groupBy("workflow").agg(F.min(F.size("followed") + 1).alias("_leaves"))
+    uses = F.coalesce(F.col("uses"), F.lit(0)) if "uses" in results.columns else F.lit(0)
+    reached = F.col("_leaves").isNotNull() & ((uses == 0) | (uses >= F.col("_leaves")))
+    doubt = reached & (F.col("bucket") == "cannot-be-tested") & ~F.col("source").isin("override", "comment")
+    said = {"bucket": "needs-review", "label": "model-limit"}
+    out = results.join(leaves, "workflow", "left")
+    return out.select(*[F.when(doubt, said[c]).otherwise(F.col(c)).alias(c) if c in said else F.col(c) for c in results.columns])
 
 
 def unused(entries: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -37,11 +37,16 @@ def risk_of(steps: Column, deferred: Column) -> Column:
 
 
 def baseline_check(baseline: DataFrame, now: DataFrame) -> DataFrame:
-    """workflow, path_id, finding: new paths that no run took (untested), that need review, and paths that lost their cover."""
+    """workflow, path_id, finding, was, bucket: lost: a run took it then and none does now; untested: testable, not covered and
+    not testable then; review: needs review and did not then. A path may be lost and need review; one that the baseline
+    doesn't know was nothing then, and one that is gone is no finding."""
     key = ["workflow", "path_id"]
     both = now.select(*key, "bucket", "covered").join(baseline.select(*key, F.col("bucket").alias("was"), F.col("covered").alias("had")), key, "left")
-    finding = F.when(F.col("had") & ~F.col("covered"), "lost").when(F.col("was").isNull() & ~F.col("covered") & (F.col("bucket") == "testable"), "untested").when(F.col("was").isNull() & (F.col("bucket") == "needs-review"), "review")
-    return both.withColumn("finding", finding).where("finding is not null").select(*key, "finding")
+    is_new = lambda bucket: (F.col("bucket") == bucket) & ~F.col("was").eqNullSafe(F.lit(bucket))
+    found = F.array_compact(F.array(
+        F.when(F.col("had") & ~F.col("covered"), "lost"), F.when(is_new("testable") & ~F.col("covered"), "untested"), F.when(is_new("needs-review"), "review"),
+    ))
+    return both.select(*key, F.explode(found).alias("finding"), F.coalesce("was", F.lit("")).alias("was"), "bucket")
 
 
 def snapshot_diff(base: DataFrame, now: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -118,16 +123,22 @@ def scope(workflows: DataFrame, include: DataFrame | None, exclude: DataFrame) -
 
 
 def suggestions(names: DataFrame, workflows: DataFrame, most: int = 3) -> DataFrame:
-    """name, workflow: for names that no workflow has, the nearest one within `most` edits, case aside; ties to the lesser name.
+    """name, hint: for names that no workflow has, the nearest way to write one of theirs, case aside.
 
-    A workflow's name is cut into most + 1 pieces. Whatever is within `most` edits holds one of them unchanged and at
+    A dotted name can be written whole or from any of its later parts on. Near is at most a third of the name's letters in
+    edits, one at least and `most` at most; ties go to the lesser hint.
+
+    What is written is cut into most + 1 pieces. Whatever is within `most` edits holds one of them unchanged and at
     most so many places away, so names meet by length, piece and its text, and only such pairs are compared.
     """
-    unknown = names.select("name").distinct().join(workflows.select(F.col("workflow").alias("name")), "name", "left_anti")
+    parts = F.split("workflow", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    forms = workflows.select(F.explode(tails).alias("hint")).where("hint <> ''").distinct()
+    unknown = names.select("name").distinct().join(forms.withColumnRenamed("hint", "name"), "name", "left_anti")
     cut = lambda i: F.floor(i * F.col("_length") / (most + 1)).cast("int")
     number = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("_piece")
     size = cut(F.col("_piece") + 1) - cut(F.col("_piece"))
-    known = workflows.select("workflow", F.lower("workflow").alias("_w")).distinct().withColumn("_length", F.length("_w"))
+    known = forms.select("hint", F.lower("hint").alias("_w")).withColumn("_length", F.length("_w"))
     known = known.select("*", number).withColumn("_text", F.substr("_w", cut(F.col("_piece")) + 1, size))
     n = F.length("name")
     lengths = F.explode(F.sequence(F.greatest(n - most, F.lit(0)), n + most)).alias("_length")
@@ -136,9 +147,10 @@ def suggestions(names: DataFrame, workflows: DataFrame, most: int = 3) -> DataFr
     asked = asked.withColumn("_at", cut(F.col("_piece")) + F.col("_away")).where((F.col("_at") >= 0) & (F.col("_at") <= n))
     asked = asked.withColumn("_text", F.substr(F.lower("name"), F.col("_at") + 1, size))
     key = ["_length", "_piece", "_text"]
-    met = asked.select("name", *key).distinct().join(known.select("workflow", *key), key).select("name", "workflow").distinct()
-    near = met.withColumn("_d", F.levenshtein(F.lower("name"), F.lower("workflow"))).where(F.col("_d") <= most)
-    return near.groupBy("name").agg(F.min_by("workflow", F.struct("_d", "workflow")).alias("workflow"))
+    met = asked.select("name", *key).distinct().join(known.select("hint", *key), key).select("name", "hint").distinct()
+    limit = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(n / 3)))
+    near = met.withColumn("_d", F.levenshtein(F.lower("name"), F.lower("hint"))).where(F.col("_d") <= limit)
+    return near.groupBy("name").agg(F.min_by("hint", F.struct("_d", "hint")).alias("hint"))
 
 
 def headline(numbers: DataFrame) -> DataFrame:

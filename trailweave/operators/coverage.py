@@ -68,9 +68,11 @@ def prefixes(paths: DataFrame) -> DataFrame:
 
 
 def missed_groups(results: DataFrame, counted: DataFrame) -> DataFrame:
-    """workflow, prefix, step, missed, first_number, rank: missed paths by the first step that no run took; the largest group first."""
+    """workflow, prefix, step, missed, first_number, rank: missed paths that can be tested (where results has a bucket) by the
+    first step that no run took; the largest group first."""
     taken = prefixes(run_paths(counted).select("workflow", "steps", "runs")).select("workflow", F.array_join("prefix", "\n").alias("_p"))
     missed = results.where("not covered")
+    missed = missed.where("bucket = 'testable'") if "bucket" in results.columns else missed
     cut = missed.select("workflow", "number", "steps", "end", F.explode(F.sequence(F.lit(0), F.size("steps"))).alias("n")).withColumn("_p", F.array_join(F.slice("steps", F.lit(1), F.col("n")), "\n"))
     known = cut.where("n = 0").unionByName(cut.where("n > 0").join(taken, ["workflow", "_p"], "left_semi").select(*cut.columns))
     left = known.groupBy("workflow", "number").agg(F.max("n").alias("n"), F.first("steps").alias("steps"), F.first("end").alias("end"))
@@ -91,20 +93,31 @@ def acknowledged(groups: DataFrame, explained: DataFrame) -> tuple[DataFrame, Da
     return groups.join(explained.withColumn("explained", F.lit(True)), key, "left").withColumn("explained", F.coalesce("explained", F.lit(False))), explained.join(groups, key, "left_anti")
 
 
-def test_results(counted: DataFrame) -> DataFrame:
-    """test, runs, workflows, exits, unique_exits, paths, unique_paths, adds_nothing: what each test takes, and what it alone takes."""
-    runs = counted.withColumn("test", F.when(F.coalesce("test", F.lit("")) == "", "(not recorded)").otherwise(F.col("test")))
-    base = runs.groupBy("test").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("workflow").alias("workflows"))
+#: The name of the row of runs without a test (a fixed value).
+NO_TEST = "(test name not recorded)"
+
 
-    def shares(rows: DataFrame, what: str) -> DataFrame:
-        once = rows.select("test", "workflow", "item").distinct()
-        alone = once.groupBy("workflow", "item").agg(F.count(F.lit(1)).alias("_n"), F.min("test").alias("_t")).where("_n = 1").groupBy(F.col("_t").alias("test")).agg(F.count(F.lit(1)).alias(f"unique_{what}"))
-        return once.groupBy("test").agg(F.count(F.lit(1)).alias(what)).join(alone, "test", "left")
+def test_results(counted: DataFrame, scenario: Column | None = None) -> DataFrame:
+    """test, runs, workflows, scenarios, unique_scenarios, branches, unique_branches, adds_nothing: what each test takes, and
+    what it alone takes.
 
-    steps = shares(runs.select("test", "workflow", F.explode("path").alias("item")), "exits")
-    paths = shares(runs.select("test", "workflow", path_key(F.col("path"), F.col("end")).alias("item")), "paths")
-    out = base.join(steps, "test", "left").join(paths, "test", "left").na.fill(0, ["exits", "unique_exits", "paths", "unique_paths"])
-    return out.withColumn("adds_nothing", (F.col("unique_exits") == 0) & (F.col("unique_paths") == 0))
+    scenario: what a run does outside itself; its path, if not given. A named test without a scenario or a branch of its own
+    adds nothing; the row of runs without a name never does.
+    """
+    named = F.when(F.coalesce("test", F.lit("")) == "", NO_TEST).otherwise(F.col("test"))
+    runs = counted.withColumn("test", named).withColumn("_scenario", path_key(F.col("path"), F.col("end")) if scenario is None else scenario)
+    base = runs.groupBy("test").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("workflow").alias("workflows"))
+    # scenarios and branches of a run in one pass
+    item = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("what"))
+    items = F.concat(F.array(item("scenario", F.col("_scenario"))), F.transform("path", lambda e: item("branch", e)))
+    once = runs.select("test", "workflow", F.explode(items).alias("item")).select("test", "workflow", "item.*").distinct()
+    tests_of = once.groupBy("workflow", "kind", "what").agg(F.count(F.lit(1)).alias("_n"), F.min("test").alias("test"))
+    is_ = lambda kind, alias: F.count_if(F.col("kind") == kind).alias(alias)
+    all_ = once.groupBy("test").agg(is_("scenario", "scenarios"), is_("branch", "branches"))
+    alone = tests_of.where("_n = 1").groupBy("test").agg(is_("scenario", "unique_scenarios"), is_("branch", "unique_branches"))
+    out = base.join(all_, "test").join(alone, "test", "left").na.fill(0, ["unique_scenarios", "unique_branches"])
+    nothing = (F.col("test") != NO_TEST) & (F.col("unique_scenarios") == 0) & (F.col("unique_branches") == 0)
+    return out.withColumn("adds_nothing", nothing)
 
 
 def loop_rounds(counted: DataFrame, loops: DataFrame) -> DataFrame:
@@ -172,20 +185,33 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 RANKS = {"testable": 0, "needs-review": 1, "needs-special-test": 2, "cannot-be-tested": 3}
 
 
-def scenarios(results: DataFrame, ran: DataFrame, external: Column) -> DataFrame:
-    """workflow, scenario_id, path_count, main_number, bucket, runs, covered: paths with the same external steps are one scenario.
+def scenarios(results: DataFrame, ran: DataFrame, external: Column, capped: DataFrame | None = None) -> DataFrame:
+    """workflow, scenario_id, path_count, main_number, bucket, label, runs, covered: paths with the same external steps are one scenario.
 
     external: the external steps of a row of results and of ran (run_paths). The best bucket of its paths is the
-    scenario's; a run makes it testable.
+    scenario's; a run makes it testable. capped (workflow): maps with more paths than are listed. Of these a scenario that
+    only runs beyond the list took is added, with no path, and one whose listed paths are all impossible needs review
+    (label model-limit), as others of its paths may be possible.
     """
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
     rows = results.withColumn("scenario_id", scenario_id(external)).withColumn("_rank", rank[F.col("bucket")])
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.lit(""))
     groups = rows.groupBy("workflow", "scenario_id").agg(
-        F.count(F.lit(1)).alias("path_count"), F.coalesce(F.min(F.when(F.col("covered"), F.col("number"))), F.min("number")).alias("main_number"), F.min_by("bucket", F.struct("_rank", "number")).alias("bucket")
-    )
+        F.count(F.lit(1)).alias("path_count"), F.coalesce(F.min(F.when(F.col("covered"), F.col("number"))), F.min("number")).alias("main_number"),
+        F.min_by(F.struct("bucket", "label"), F.struct("_rank", "number")).alias("_best"),
+    )
     runs = ran.withColumn("scenario_id", scenario_id(external)).groupBy("workflow", "scenario_id").agg(F.sum("runs").alias("runs"))
-    out = groups.join(runs, ["workflow", "scenario_id"], "left").withColumn("runs", F.coalesce("runs", F.lit(0))).withColumn("covered", F.col("runs") > 0)
-    return out.withColumn("bucket", F.when(F.col("covered"), "testable").otherwise(F.col("bucket")))
+    if capped is None:
+        out = groups.join(runs, ["workflow", "scenario_id"], "left").withColumn("_capped", F.lit(False))
+    else:
+        out = groups.join(runs, ["workflow", "scenario_id"], "full").join(capped.select("workflow").distinct().withColumn("_capped", F.lit(True)), "workflow", "left")
+        out = out.withColumn("_capped", F.coalesce("_capped", F.lit(False))).where("_capped or path_count is not null")
+    out = out.withColumn("runs", F.coalesce("runs", F.lit(0))).withColumn("covered", F.col("runs") > 0)
+    limit = F.col("_capped") & (F.col("_best.bucket") == "cannot-be-tested")
+    bucket = F.when(F.col("covered"), "testable").when(limit, "needs-review").otherwise(F.col("_best.bucket"))
+    own = F.coalesce("_best.label", F.lit("default"))
+    label = F.when(F.col("covered") & (F.coalesce("_best.bucket", F.lit("")) != "testable"), "default").when(limit & ~F.col("covered"), "model-limit").otherwise(own)
+    return out.select("workflow", "scenario_id", F.coalesce("path_count", F.lit(0)).alias("path_count"), "main_number", bucket.alias("bucket"), label.alias("label"), "runs", "covered")
 
 
 def breakdown(results: DataFrame, policy: str = "count_as_testable") -> DataFrame:

@@ -194,16 +194,16 @@ ORACLES: dict[str, str] = {
     "decision_pairs": f"with {RUNS} select workflow, path[i] as first, path[i + 1] as second, count(*) as runs from counted, unnest(range(1, len(path))) t(i) group by all",
     "prefix_tree": f"with {ORDERS} select workflow, array_to_string(steps[1:i], ' ') as prefix, sum(runs)::bigint as runs from paths, unnest(range(1, len(steps) + 1)) t(i) group by all",
     "missed_groups": f"""with {RUNS}, five(number, steps) as (values (1, ['J1.iterate', 'J2.click', 'J1.exit', 'J3.true']), (2, ['J1.iterate', 'J2.click', 'J1.exit', 'J3.false']), (3, ['J1.iterate', 'J2.error']), (4, ['J1.exit', 'J3.true']), (5, ['J1.exit', 'J3.false'])),
-      missed as (select * from five where steps not in (select path from counted)),
+      missed as (select * from five where steps not in (select path from counted) and number <> 2),
       cut as (select number, steps, max(i) as n from missed, unnest(range(0, len(steps) + 1)) t(i) where i = 0 or exists (select 1 from counted c where c.path[1:i] = missed.steps[1:i]) group by all),
       grouped as (select array_to_string(steps[1:n], ' ') as prefix, steps[n + 1] as step, count(*) as missed, min(number) as number from cut group by all)
       select 'shopper' as workflow, prefix, step, missed, row_number() over (order by missed desc, number)::int as rank from grouped""",
-    "test_uniqueness": f"""with {RUNS}, named as (select case when test = '' then '(not recorded)' else test end as test, workflow, path from counted),
-      e as (select distinct test, unnest(path) as item from named), p as (select distinct test, path as item from named),
+    "test_uniqueness": f"""with {RUNS}, named as (select case when test = '' then '(test name not recorded)' else test end as test, workflow, path from counted),
+      e as (select distinct test, unnest(path) as item from named), p as (select distinct test, list_filter(path, lambda s: not starts_with(s, 'J3')) as item from named),
       eu as (select min(test) as test, count(*) over () from e group by item having count(*) = 1), pu as (select min(test) as test from p group by item having count(*) = 1),
-      rows as (select n.test, count(*) as runs, count(distinct workflow) as workflows, (select count(*) from e where e.test = n.test) as exits, (select count(*) from eu where eu.test = n.test) as unique_exits,
-        (select count(*) from p where p.test = n.test) as paths, (select count(*) from pu where pu.test = n.test) as unique_paths from named n group by n.test)
-      select *, unique_exits = 0 and unique_paths = 0 as adds_nothing from rows""",
+      rows as (select n.test, count(*) as runs, count(distinct workflow) as workflows, (select count(*) from e where e.test = n.test) as branches, (select count(*) from eu where eu.test = n.test) as unique_branches,
+        (select count(*) from p where p.test = n.test) as scenarios, (select count(*) from pu where pu.test = n.test) as unique_scenarios from named n group by n.test)
+      select *, test <> '(test name not recorded)' and unique_branches = 0 and unique_scenarios = 0 as adds_nothing from rows""",
     "loop_rounds": f"""with {RUNS}, per_run as (select run_id, len(list_filter(steps, lambda s: s = 'J1.iterate')) as n, list_contains(steps, 'J1.exit') as left_ from counted),
       found as (select case when n = 0 then '0' when n = 1 then '1' else '2+' end as bucket, count(*) as entries from per_run where n > 0 or left_ group by 1)
       select 'shopper' as workflow, 'J1' as junction_id, bucket, coalesce(entries, 0)::bigint as entries, coalesce(entries, 0) > 0 as seen from (values ('0'), ('1'), ('2+')) b(bucket) left join found using (bucket)""",
@@ -228,12 +228,17 @@ ORACLES: dict[str, str] = {
         case when bool_or(covered and runs > 40) then 'covered' when bool_or(bucket <> 'cannot-be-tested' and label <> 'known-defect') then 'missed' when bool_or(label = 'known-defect') then 'blocked' else 'impossible' end as status
       from through group by workflow, edge""",
     "scenario_groups": f"""with {RULED}, s as (select *, ('0x' || substr(path_id, 1, 8))::bigint as number, 'sc:' || substr(sha256(array_to_string(list_filter(steps, lambda x: x <> 'N') || ['end: ' || end_kind], chr(31))), 1, 10) as scenario_id,
-        case bucket when 'testable' then 0 when 'needs-review' then 1 when 'needs-special-test' then 2 else 3 end as rank from classified)
-      select workflow, scenario_id, count(*) as path_count, coalesce(min(number) filter (covered), min(number)) as main_number,
-        case when bool_or(covered) then 'testable' else ['testable', 'needs-review', 'needs-special-test', 'cannot-be-tested'][min(rank) + 1] end as bucket, coalesce(sum(runs) filter (covered), 0)::bigint as runs, bool_or(covered) as covered
-      from s group by workflow, scenario_id""",
-    "baseline_check": f"""with {RULED} select workflow, path_id, case when had and not covered then 'lost' when bucket = 'testable' then 'untested' else 'review' end as finding
-      from classified where (had and not covered) or (not had and not covered and bucket in ('testable', 'needs-review'))""",
+        case bucket when 'testable' then 0 when 'needs-review' then 1 when 'needs-special-test' then 2 else 3 end as rank, workflow <> '5-LOW' or len(steps) <= 4 as listed from classified),
+      g as (select workflow, scenario_id, count(*) filter (listed) as path_count, coalesce(min(number) filter (listed and covered), min(number) filter (listed), -1) as main_number,
+          min_by(label, (rank, number)) filter (listed) as own, min(rank) filter (listed) as rank, coalesce(sum(runs) filter (covered), 0)::bigint as runs, bool_or(covered) as covered from s group by workflow, scenario_id)
+      select workflow, scenario_id, path_count, main_number, runs, covered,
+        case when covered then 'testable' when workflow = '5-LOW' and rank = 3 then 'needs-review' else ['testable', 'needs-review', 'needs-special-test', 'cannot-be-tested'][rank + 1] end as bucket,
+        case when covered and coalesce(rank, 9) <> 0 then 'default' when workflow = '5-LOW' and rank = 3 then 'model-limit' else own end as label
+      from g where path_count > 0 or (workflow = '5-LOW' and covered)""",
+    "baseline_check": f"""with {RULED}, b as (select *, case when not had then '' when runs % 2 = 0 then 'cannot-be-tested' else bucket end as was, had and runs % 3 <> 0 as took from classified)
+      select workflow, path_id, 'lost' as finding, was, bucket from b where took and not covered
+      union all select workflow, path_id, 'untested', was, bucket from b where bucket = 'testable' and not covered and was <> 'testable'
+      union all select workflow, path_id, 'review', was, bucket from b where bucket = 'needs-review' and was <> 'needs-review'""",
     "snapshot_diff": f"""with {ORDERS}, s as (select workflow, path_id, count(*) filter (order_id % 2 = 0) as a, count(*) filter (order_id % 2 = 1) as b from order_runs group by all)
       select workflow, path_id, case when a = 0 then 'new' when b = 0 then 'removed' else 'changed' end as change from s where a <> b""",
     "missed_ranking": f"""with {ORDERS}, m as (select workflow, steps, count(*) as missed_paths, len(steps) as line, 'Test' || len(steps) as base, ['cancel', 'compensation', 'activity failure', 'continue-as-new', 'timers and timeouts', 'signals and updates', 'plain logic', 'old version branches'][len(steps) % 8 + 1] as risk,
@@ -244,7 +249,7 @@ ORACLES: dict[str, str] = {
     "tests_first": f"with {ORDERS} select workflow, coalesce(steps[1], '') as hint, count(*) as paths, count(*) as variants from paths where not covered group by 1, 2",
     "priority_grades": f"""with {ORDERS}, c as (select workflow, count(*) as paths, count(*) filter (covered) as covered from paths group by workflow)
       select *, 100.0::double * covered / paths as percent, case when 2 * covered < paths then 'High' when 5 * covered > 4 * paths then 'Low' else 'Medium' end as priority, (floor(covered * 1000.0::double / paths + 0.5) / 10)::double as main,
-        case when 100.0 * covered / paths >= 90 then 'A' when 100.0 * covered / paths >= 75 then 'B' when 100.0 * covered / paths >= 60 then 'C' else 'D' end as grade from c""",
+        case when 100.0 * covered / paths >= 90 then 'exemplary' when 100.0 * covered / paths >= 75 then 'commendable' when 100.0 * covered / paths >= 60 then 'acceptable' else 'needs work' end as grade from c""",
     "main_numbers": f"""with {RULED}, b as (select workflow, count(*) filter (bucket in ('testable', 'needs-review')) as paths, count(*) filter (bucket in ('testable', 'needs-review') and covered) as covered from classified group by workflow),
       k as (select *, case when workflow = '5-LOW' then 'branch' when workflow = '1-URGENT' then 'handler' when paths <= 100 then 'path' when paths <= 500 then 'scenario' else 'branch' end as kind from b),
       n as (select workflow, kind, case kind when 'handler' then 3 when 'branch' then 2 else covered end as covered, case kind when 'handler' then 4 when 'branch' then 3 else paths end as total from k)
@@ -285,7 +290,9 @@ said as (
 
 def _settled(where: str = "true") -> str:
     return f"""{EVERY},
-ordered as (select *, row_number() over (partition by workflow, path_id order by rank, source, label) as nth from said where {where}),
+heard as (select * from said where {where}),
+asked as (select * from heard h where rank < 12 or not exists (select 1 from heard o where o.workflow = h.workflow and o.path_id = h.path_id and o.rank < 12)),
+ordered as (select *, row_number() over (partition by workflow, path_id order by rank, source, label) as nth from asked),
 first as (select * from ordered where nth = 1),
 further as (select workflow, path_id, string_agg(source, ' ' order by source) as extra from ordered where nth > 1 group by all),
 settled as (
@@ -307,11 +314,12 @@ ends as (
 ORACLES |= {
     "every_source": f"with {_settled()} select workflow, path_id, bucket, label, source, extra from settled",
     "detectors_off": f"with {_settled("source not in ('contradictory', 'history-limit')")} select workflow, source, count(*) as paths from settled group by all",
-    "possible_bugs": f"with {_settled()} select workflow, coalesce(steps[1], '') as place, count(*) as paths, min(path_id) as example from settled where label = 'likely-defect' group by all",
+    "possible_bugs": f"with {ORDERS} select workflow, coalesce(steps[1], '') as place, count(*) as paths, min(path_id) as example from paths where not covered and path_id[1] in ('3', '4') group by all",
     "unused_rules": f"""with {RULED}, entries as (select distinct workflow, r.rule_id from paths, (values ('many-returns'), ('no-return'), ('known'), ('old')) r(rule_id))
       select workflow, rule_id from entries e where not exists (select 1 from hits h where h.workflow = e.workflow and h.source = 'rule:' || e.rule_id)""",
-    "distrusted_claims": f"""with {_settled()}, doubted as (select *, bucket = 'cannot-be-tested' and case when workflow < '3' then steps[1] = 'R' else steps[1] = 'A' and steps[2] = 'R' end as doubt from settled)
-      select workflow, path_id, case when doubt then 'needs-review' else bucket end as bucket, case when doubt then 'unexplained' else label end as label from doubted""",
+    "distrusted_claims": f"""with {_settled()}, placed as (select *, coalesce(list_position(steps, 'N'), 0) as uses from settled),
+      doubted as (select *, bucket = 'cannot-be-tested' and source not in ('override', 'comment') and (uses = 0 or uses >= case when workflow < '3' then 2 else 3 end) as doubt from placed)
+      select workflow, path_id, case when doubt then 'needs-review' else bucket end as bucket, case when doubt then 'model-limit' else label end as label from doubted""",
     "risk_tags": f"""with {ORDERS}, cut as (select *, case when list_contains(steps, 'N') then steps[list_position(steps, 'N') + 1:] else [] end as later from paths),
       more as (select *, case when list_contains(later, 'R') then later[list_position(later, 'R') + 1:] else [] end as after_failure from cut)
       select workflow, path_id, case when list_contains(after_failure, 'N') or list_contains(after_failure, 'R') then 'compensation' when list_contains(steps, 'R') then 'activity failure' when list_contains(steps, 'A') then 'timers and timeouts'
@@ -329,7 +337,7 @@ ORACLES |= {
       select *, percent >= 40 as met, row_number() over (order by percent >= 40, percent, total - covered desc, workflow)::int as place from c""",
     "branch_headline": f"""with {ORDERS}, e as (select workflow, edge, bool_or(covered and runs > 40) as took from (select workflow, covered, runs, unnest(steps) as edge from paths) group by all),
       w as (select workflow, count(*) as branches, count(*) filter (took) as taken from e group by workflow), t as (select sum(branches)::bigint as branches, sum(taken)::bigint as taken, count(*) filter (taken * 100.0 / branches >= 75) as at_target from w)
-      select *, 100.0::double * taken / branches as percent, case when 100.0 * taken / branches >= 90 then 'A' when 100.0 * taken / branches >= 75 then 'B' when 100.0 * taken / branches >= 60 then 'C' else 'D' end as grade from t""",
+      select *, 100.0::double * taken / branches as percent, case when 100.0 * taken / branches >= 90 then 'exemplary' when 100.0 * taken / branches >= 75 then 'commendable' when 100.0 * taken / branches >= 60 then 'acceptable' else 'needs work' end as grade from t""",
     "forced_decisions": f"""with {ORDERS}, o as (select workflow, steps[1] as decision, steps[2] as outcome, bool_or(covered and runs > 20) as ran from paths where len(steps) > 1 group by all),
       t as (select a.workflow, a.decision, a.outcome, string_agg(b.outcome, ' ' order by b.outcome) as tests_of from o a join o b on a.workflow = b.workflow and a.decision = b.decision and b.ran and b.outcome <> a.outcome group by all) select * from t""",
     "decision_check": """with r as (select case when l_returnflag = 'R' then 'noticed' when l_returnflag = 'A' then 'survived' when l_quantity > 40 then 'flaky' else 'no visible effect' end as result from lineitem),
@@ -422,9 +430,11 @@ ORACLES |= {
     "helper_regions": """select p_brand as workflow, p_type as helper, count(distinct p_size) as decisions, count(distinct p_partkey % 5) as sites, count(distinct p_size) * count(distinct p_partkey % 5) as score
       from part where p_size % 4 > 0 and p_type is not null group by all""",
     "same_list_loops": f"with {ORDERS} select workflow, path_id, 'same-list-loops' as source, 8::int as rank, 'cannot-be-tested' as bucket, 'same-list-loops' as label from paths where list_contains(steps, 'R') and list_contains(steps, 'N')",
-    "name_suggestions": """with w as (select distinct p_type as workflow from part), n as (select substr(workflow, 2) as name from w union select workflow from w union select repeat(workflow, 3) from w),
-      d as (select name, workflow, levenshtein(lower(name), lower(workflow)) as d from n, w where name not in (select workflow from w))
-      select name, workflow from d where d <= 3 qualify row_number() over (partition by name order by d, workflow) = 1""",
+    "name_suggestions": """with w as (select distinct replace(p_type, ' ', '.') as workflow, split(p_type, ' ') as parts from part),
+      f as (select distinct array_to_string(parts[i:], '.') as hint from w, unnest(range(1, len(parts) + 1)) t(i)),
+      n as (select substr(workflow, 2) as name from w union select workflow from w union select repeat(workflow, 3) from w union select substr(parts[-1], 2) from w union select parts[-1] from w union select 'x' || substr(parts[-1], 3, 2) from w),
+      d as (select name, hint, levenshtein(lower(name), lower(hint)) as d from n, f where name not in (select hint from f))
+      select name, hint from d where d <= least(3, greatest(1, length(name) // 3)) qualify row_number() over (partition by name order by d, hint) = 1""",
     "targets_met": f"with n as ({ORACLES['main_numbers']}) select count(*) filter (met) as met, count(*) filter (workflow <> '5-LOW') as total, count(*) filter (workflow = '5-LOW') as not_measured from n",
     "unread_places": f"""with {ORDER_MAPS} select l_orderkey::varchar as workflow, 'unknown call' as what, 'line ' || l_linenumber as "where" from lineitem where l_quantity > 49
       union all select workflow, 'path cap', 'more than 3 paths' from ends group by workflow having count(*) > 3""",
