@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators.classify import rule_matches
 from trailweave.operators.compare import RISKS, risk_of
+from trailweave.sources.rounds import kept
 
 #: A label that says a bug blocks a path, not that the path is impossible (a fixed value).
 DEFECT = "known-defect"
@@ -40,7 +41,7 @@ def checked_entries(paths: DataFrame, rules: DataFrame, overrides: DataFrame, ma
     mark = marks.select("workflow", F.lit("comment").alias("kind"), F.col("edge_id").alias("id"), F.lit("manual").alias("label"), F.lit(True).alias("_claims")).distinct()
     entries = rule.unionByName(single).unionByName(mark)
     key = ["workflow", "kind", "id"]
-    hits = entry_hits(paths, rules, overrides, marks)
+    hits = kept(entry_hits(paths, rules, overrides, marks))
     counts = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("hits"), F.count_if("covered").alias("covered"))
     met = hits.groupBy("workflow", "path_id").agg(F.array_sort(F.collect_set(F.struct("kind", "id"))).alias("met"))
     met = met.where(F.size("met") > 1).select("workflow", "met").distinct()
@@ -94,10 +95,10 @@ def outcome_paths(missed: DataFrame, branch_exits: DataFrame, results: DataFrame
     old = F.lit(False) if old is None else old
     tag = F.when(old, RISKS[7]).otherwise(risk_of(external, deferred))
     open_ = results.where("not covered").select("workflow", "number", "steps", tag.alias("_risk"))
-    steps = open_.select("workflow", "number", "_risk", F.explode("steps").alias("edge_id"))
+    steps = kept(open_.select("workflow", "number", "_risk", F.explode("steps").alias("edge_id")).distinct())
     seen = took.select("workflow", "edge_id").distinct().withColumn("_seen", F.lit(1))
     new = steps.join(seen, ["workflow", "edge_id"], "left").groupBy("workflow", "number").agg(F.count_if(F.col("_seen").isNull()).alias("_new"))
-    through = steps.distinct().join(new, ["workflow", "number"]).join(branch_exits.select("workflow", "branch_id", "edge_id"), ["workflow", "edge_id"])
+    through = steps.join(new, ["workflow", "number"]).join(branch_exits.select("workflow", "branch_id", "edge_id"), ["workflow", "edge_id"])
     place = F.array_position(F.array(*map(F.lit, RISKS)), F.col("_risk"))
     best = through.groupBy("workflow", "branch_id").agg(F.min_by(F.struct("_risk", "number", "_new"), F.struct(-place, F.col("_new"), F.col("number"))).alias("_best"))
     own = outcome_risk(F.col("kind"), F.col("label"), F.coalesce("old", F.lit(False)) if "old" in missed.columns else F.lit(False))
@@ -112,6 +113,7 @@ def drafted_rules(results: DataFrame) -> DataFrame:
     exits that all of them take in the order of the first, if no other path takes all of these; else each path is a draft of
     its own, of all its exits (exact). Known defects are left out. Drafts are numbered over all workflows.
     """
+    results = kept(results.select("workflow", "number", "path_id", "steps", "covered", "bucket", "label"))
     label = F.when(F.coalesce("label", F.lit("")) == "", "needs-review").otherwise(F.col("label"))
     review = results.where("not covered and bucket = 'needs-review'").withColumn("_label", label).where(F.col("_label") != DEFECT)
     key = ["workflow", "_label"]
@@ -128,7 +130,7 @@ def drafted_rules(results: DataFrame) -> DataFrame:
     ids = F.transform(F.array_sort(F.collect_list(F.struct("number", "path_id"))), lambda x: x["path_id"])
     whole = rows.where("_one").groupBy(*key).agg(F.min("number").alias("number"), F.first("_when").alias("when"), ids.alias("path_ids"))
     each = rows.where("not _one").select(*key, "number", F.col("steps").alias("when"), F.array("path_id").alias("path_ids"))
-    drafts = whole.withColumn("exact", F.lit(False)).unionByName(each.withColumn("exact", F.lit(True)))
+    drafts = kept(whole.withColumn("exact", F.lit(False)).unionByName(each.withColumn("exact", F.lit(True))))
     # numbers: those of the workflows before, a row a workflow, and the place in one's own
     counts = drafts.groupBy("workflow").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("workflow").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -467,3 +467,37 @@ ORACLES |= {
         from walk w join f on f.workflow = w.workflow and f.i = w.i + 1, unnest(['yes', 'no']) t(a) where what = 'listed')
       select workflow, steps, what, case when what = 'listed' then '1' else (1::bigint << (n - i))::varchar end as paths from walk where what <> 'listed' or i = n""",
 }
+
+ORACLES |= {
+    "entry_check": f"""with {RULED},
+      entry as (
+        select w.workflow, 'rule' as kind, r.id, r.label, true as claims from (select distinct workflow from paths) w, (values ('many-returns', 'rule'), ('no-return', 'unexplained'), ('known', 'known-defect')) r(id, label)
+        union all select workflow, 'override', path_id, case path_id[1] when '0' then 'known-defect' else '' end, path_id[1] = '0' from paths where path_id[1] in ('0', '1')
+        union all select '5-LOW', 'override', 'gone', 'known-defect', true union all select '1-URGENT', 'comment', 'R', 'manual', true),
+      hit as (
+        select workflow, 'rule' as kind, source[6:] as id, path_id from hits
+        union all select workflow, 'override', path_id, path_id from paths where path_id[1] in ('0', '1')
+        union all select workflow, 'comment', 'R', path_id from paths where workflow = '1-URGENT' and list_contains(steps, 'R')),
+      counts as (select workflow, kind, id, count(*) as hits, count(*) filter (covered) as covered from hit join paths using (workflow, path_id) group by all),
+      laps as (select a.workflow, a.kind, a.id, array_to_string(list_sort(list(distinct b.kind || ' ' || b.id)), ',') as others from hit a join hit b on a.workflow = b.workflow and a.path_id = b.path_id and (a.kind <> b.kind or a.id <> b.id) group by all)
+      select workflow, kind, id, label, coalesce(hits, 0) as hits, coalesce(covered, 0) as covered, case when claims then coalesce(covered, 0) else 0 end as refused, hits is null as stale, sha256(coalesce(others, '')) as overlaps_sha256
+      from entry left join counts using (workflow, kind, id) left join laps using (workflow, kind, id)""",
+    "outcome_paths": f"""with {ORDERS}, cut as (select *, case when list_contains(steps, 'N') then steps[list_position(steps, 'N') + 1:] else [] end as later from paths),
+      more as (select *, case when list_contains(later, 'R') then later[list_position(later, 'R') + 1:] else [] end as after_failure from cut),
+      p as (select workflow, path_id, steps, covered and runs > 40 as ran, case when list_contains(after_failure, 'N') or list_contains(after_failure, 'R') then 2 when list_contains(steps, 'R') then 3 when list_contains(steps, 'A') then 5 else 7 end as risk from more),
+      x as (select workflow, path_id, ran, risk, i || steps[i] as edge from p, unnest(range(1, len(steps) + 1)) t(i)),
+      took as (select distinct workflow, edge from x where ran),
+      fresh as (select workflow, path_id, any_value(risk) as risk, count(*) filter ((workflow, edge) not in (select (workflow, edge) from took)) as new_exits from x where not ran group by all),
+      best as (select x.workflow, x.edge, f.path_id, f.risk, f.new_exits from x join fresh f using (workflow, path_id) where not ran and (x.workflow, x.edge) not in (select (workflow, edge) from took)
+        qualify row_number() over (partition by x.workflow, x.edge order by f.risk desc, f.new_exits, f.path_id) = 1)
+      select workflow, edge as branch_id, ['cancel', 'compensation', 'activity failure', 'continue-as-new', 'timers and timeouts', 'signals and updates', 'plain logic'][risk] as risk, path_id as number, new_exits from best""",
+    "rule_drafts": f"""with {_settled()}, review as (select * from settled where not covered and bucket = 'needs-review' and label <> 'known-defect'),
+      g as (select workflow, label, count(*) as n, min_by(steps, path_id) as first_steps from review group by all),
+      e as (select workflow, label, s from (select distinct workflow, label, path_id, unnest(steps) as s from review) join g using (workflow, label) group by workflow, label, s having count(*) = any_value(n)),
+      shared as (select workflow, label, list(s) as shared from e group by all),
+      w as (select g.*, list_filter(first_steps, lambda x: list_contains(coalesce(shared, []), x)) as needs from g left join shared using (workflow, label)),
+      o as (select *, len(needs) > 0 and not exists (select 1 from settled s where s.workflow = w.workflow and list_has_all(s.steps, needs) and not (not s.covered and s.bucket = 'needs-review' and s.label = w.label)) as one from w),
+      d as (select workflow, label, min(path_id) as number, any_value(needs) as needs, list(path_id order by path_id) as ids, false as exact from review join o using (workflow, label) where one group by workflow, label
+        union all select workflow, label, path_id, steps, [path_id], true from review join o using (workflow, label) where not one)
+      select workflow, label, regexp_replace('review-' || workflow || '-' || label, '[^A-Za-z0-9_-]+', '-', 'g') || '-' || row_number() over (order by workflow, label, number) as rule_id, array_to_string(needs, ' ') as "when", sha256(array_to_string(ids, ',')) as paths_sha256, len(ids) as paths, exact from d""",
+}

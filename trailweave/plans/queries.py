@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import measures
 from trailweave.functions.ids import branch_id, path_id, stable_id
-from trailweave.operators import classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages
+from trailweave.operators import advice, classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages
 from trailweave.plans import pilot
 from trailweave.plans.adapters import customer_exits, customer_runs, flag_exits, flag_facts, order_exits, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
@@ -709,3 +709,39 @@ def pruned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed, groups = paths.pruned(flag_exits(spark, sf_dir), flag_facts(spark, sf_dir))
     rows = listed.select("workflow", joined("steps").alias("steps"), F.lit("listed").alias("what"), F.lit("1").alias("paths"))
     return rows.unionByName(groups.select("workflow", joined("prefix").alias("steps"), F.col("name").alias("what"), "paths"))
+
+
+def _own_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Overrides by the first letters of path ids, and one of a path that is no more; a mark on R in one workflow."""
+    starts = F.substring("path_id", 1, 1)
+    overrides = order_paths(spark, sf_dir).where(starts.isin("0", "1")).select("workflow", "path_id", (starts == "0").alias("untestable"), F.lit("known-defect").alias("label"))
+    gone = spark.createDataFrame([("5-LOW", "gone", True, "known-defect")], overrides.schema)
+    marks = spark.createDataFrame([("1-URGENT", "R")], "workflow string, edge_id string")
+    return overrides.unionByName(gone), marks
+
+
+@query
+def entry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries held against the paths of orders; runs disprove those that say a path is impossible."""
+    entries_ = advice.checked_entries(order_paths(spark, sf_dir), _rules(spark, sf_dir), *_own_entries(spark, sf_dir))
+    return entries_.select("workflow", "kind", "id", "label", "hits", "covered", "refused", "stale", F.sha2(F.array_join("overlaps", ","), 256).alias("overlaps_sha256"))
+
+
+@query
+def outcome_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flag at its place in an order is an exit; paths of which over 40 runs are known are covered."""
+    said = F.create_map(F.lit("N"), F.lit("ShipOrder (activity): success"), F.lit("R"), F.lit("ChargeCard (activity): failure"), F.lit("A"), F.lit("timer"))
+    found = order_paths(spark, sf_dir).withColumn("covered", F.col("covered") & (F.col("runs") > 40))
+    found = found.withColumn("outside", F.transform("steps", lambda x: said[x])).withColumn("number", F.col("path_id"))
+    found = found.withColumn("steps", F.transform("steps", lambda x, i: F.concat((i + 1).cast("string"), x)))
+    took = found.where("covered").select("workflow", F.explode("steps").alias("edge_id")).distinct()
+    exits = found.select("workflow", F.explode("steps").alias("edge_id")).distinct().join(took, ["workflow", "edge_id"], "left_anti")
+    missed = exits.select("workflow", F.col("edge_id").alias("branch_id"), F.lit("if").alias("kind"), F.lit("true").alias("label"))
+    return advice.outcome_paths(missed, exits.withColumn("branch_id", F.col("edge_id")), found, took, F.col("outside"), F.lit(False)).select("workflow", "branch_id", "risk", "number", "new_exits")
+
+
+@query
+def rule_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _every_source(spark, sf_dir).withColumn("number", F.col("path_id"))
+    drafts = advice.drafted_rules(found)
+    return drafts.select("workflow", "label", "rule_id", joined("when").alias("when"), F.sha2(F.array_join("path_ids", ","), 256).alias("paths_sha256"), "paths", "exact")
