@@ -1,14 +1,13 @@
-"""The first paths of maps and the number of their scenarios, a map a group: a list is capped, and so are the states."""
+"""The first paths of maps, a map a group: a list is capped."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from trailweave.operators.roads import path_counts, reachable
 from trailweave.operators.stages import gates
+from trailweave.operators.words import scenario_counts
 from trailweave.sources.tables import START
 
 __all__ = ["first_paths", "gates", "path_counts", "reachable", "scenario_counts"]
@@ -33,27 +32,6 @@ class _Map:
         return [e for e in self.ways.get(r.to_id, []) if not e.is_retry and (r.only_edge is None or e.edge_id == r.only_edge)]
 
 
-def _from_ends(starts: list, after: Callable[[object], list], own: Callable[[object, list], object]) -> dict:
-    """own(x, values of what comes after x) of all that can be reached from starts, ends first; a stack of its own bears long maps."""
-    known: dict = {}
-    stack, open_ = list(starts), set()
-    while stack:
-        x = stack[-1]
-        if x in known:
-            stack.pop()
-            continue
-        todo = [c for c in after(x) if c not in known]
-        if not todo:
-            known[x] = own(x, [known[c] for c in after(x)])
-            stack.pop()
-        elif x in open_:
-            raise ValueError(f"a way leads back to {x} that is no retry")
-        else:
-            open_.add(x)
-            stack += todo
-    return known
-
-
 def _alive(m: _Map) -> dict[str, bool]:
     """Of each exit whether an end can be reached by it: a search from the ends backwards, which bears ways that lead back."""
     before: dict[str, list[str]] = {}
@@ -108,58 +86,3 @@ def first_paths(exits: DataFrame, cap: int) -> DataFrame:
         return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "number": range(1, len(kept) + 1), "steps": [s for s, _ in kept], "end": [e for _, e in kept], "truncated": len(found) > cap})
 
     return exits.groupBy("workflow").applyInPandas(walk, "workflow string, number int, steps array<string>, end string, truncated boolean")
-
-
-def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = 100_000) -> DataFrame:
-    """workflow, scenarios (a whole number as text; null if unmeasured): different sequences of external steps and end, counted without listing paths.
-
-    external: workflow, edge_id, steps, zero (a loop exit's steps if the loop wasn't iterated). Sets of places that
-    one sequence leads to are the states; above most_states of them the count is given up.
-    """
-
-    def count(key: tuple, rows: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"workflow": [], "scenarios": []})
-        m = _Map(rows)
-        words = {r.edge_id: (list(r.steps), list(r.zero)) for r in outside.itertuples()}
-
-        def said(edge: str, round_: bool) -> list[str]:
-            own, zero = words.get(edge, ([], []))
-            return own if round_ else own + zero
-
-        def after(edge: str) -> list[tuple[str, bool]]:
-            r = m.all[edge]
-            return [(e.edge_id, r.to_kind == "retry") for e in m.next(r)]
-
-        made: dict[frozenset, tuple[set, list[frozenset]]] = {}
-
-        def states(places: frozenset) -> list[frozenset]:
-            """The sets of places that one further step leads to; places: (edge, came round, steps of it said)."""
-            if places in made:
-                return made[places][1]
-            if len(made) > most_states:
-                raise OverflowError
-            ends, by_step, todo, seen = set(), {}, list(places), set(places)
-            while todo:
-                edge, round_, n = todo.pop()
-                steps = said(edge, round_)
-                if n < len(steps):
-                    by_step.setdefault(steps[n], set()).add((edge, round_, n + 1))
-                    continue
-                if m.all[edge].to_kind == "end":
-                    ends.add(m.all[edge].to_id)
-                for e, again in after(edge):
-                    if (e, again, 0) not in seen:
-                        seen.add((e, again, 0))
-                        todo.append((e, again, 0))
-            made[places] = ends, [frozenset(p) for p in by_step.values()]
-            return made[places][1]
-
-        first = frozenset({(START, False, 0)})
-        try:
-            n = str(_from_ends([first], states, lambda p, below: len(made[p][0]) + sum(below))[first])
-        except OverflowError:
-            n = None
-        return pd.DataFrame({"workflow": [key[0]], "scenarios": [n]})
-
-    return exits.groupBy("workflow").cogroup(external.groupBy("workflow")).applyInPandas(count, "workflow string, scenarios string")

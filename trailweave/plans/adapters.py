@@ -147,3 +147,17 @@ def flag_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.explode(F.array(F.lit("yes"), F.lit("no"))).alias("value")
     rows = _flags(spark, sf_dir).select("workflow", "i", F.col("flag").alias("name"), answer)
     return rows.select("workflow", F.concat(F.lit("J"), "i", F.lit("."), "value").alias("edge_id"), "name", "value")
+
+
+def order_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """workflow, edge_id, steps, zero of the maps of order_exits: going on from a line of flag N ships, going back returns."""
+    lines = _lines_of_orders(spark, sf_dir)
+    next_ = F.when(F.col("flag") == "N", F.array(F.lit("shipped"))).otherwise(F.array().cast("array<string>"))
+    each = F.explode(F.array(F.struct(F.lit("next").alias("way"), next_.alias("steps")), F.struct(F.lit("back").alias("way"), F.array(F.lit("returned")).alias("steps"))))
+    rows = lines.select("workflow", "i", each.alias("e"))
+    return rows.select("workflow", F.concat(F.lit("J"), F.col("i") + 1, F.lit("."), "e.way").alias("edge_id"), "e.steps", F.array().cast("array<string>").alias("zero"))
+
+
+def _lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"))).alias("s"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("workflow"), F.posexplode(F.transform("s", lambda x: x["l_returnflag"])).alias("i", "flag"))

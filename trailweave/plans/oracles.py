@@ -501,3 +501,29 @@ ORACLES |= {
         union all select workflow, label, path_id, steps, [path_id], true from review join o using (workflow, label) where not one)
       select workflow, label, regexp_replace('review-' || workflow || '-' || label, '[^A-Za-z0-9_-]+', '-', 'g') || '-' || row_number() over (order by workflow, label, number) as rule_id, array_to_string(needs, ' ') as "when", sha256(array_to_string(ids, ',')) as paths_sha256, len(ids) as paths, exact from d""",
 }
+
+
+def _external() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    said = [f"({text(w)}, {text(e)}, {k}, {text(x)})" for w, of in pilot.STEPS.items() for e, steps in of.items() for k, x in enumerate(steps)]
+    zero = [f"({text(w)}, {text(e)}, {text(step)}, {text(iterate)})" for w, of in pilot.ZERO_ROUNDS.items() for e, (step, iterate) in of.items()]
+    return f"said(workflow, edge, k, step) as (values {', '.join(said)}), zero(workflow, edge, step, iterate) as (values {', '.join(zero)})"
+
+
+ORDER_WORDS = f"""{ORDER_MAPS},
+spoken as (
+  select distinct e.workflow, list_transform(list_filter(flags[1:case "end" when 'failed' then pos - 1 else len(flags) end], lambda f: f = 'N'), lambda f: 'shipped')
+    || case "end" when 'failed' then ['returned', 'end: failed'] else ['end: completed'] end as steps
+  from ends e join walked using (workflow))"""
+
+ORACLES |= {
+    "pilot_scenarios": f"""with recursive {MAP}, {_external()},
+      step_of as (select workflow, number, steps, i from listed, unnest(range(1, len(steps) + 1)) t(i)),
+      say as (
+        select a.workflow, number, i, k, step from step_of a join said s on s.workflow = a.workflow and s.edge = steps[i]
+        union all select a.workflow, number, i, 99, step from step_of a join zero z on z.workflow = a.workflow and z.edge = steps[i] where not list_contains(steps[1:i - 1], iterate)),
+      w as (select l.workflow, l.number, any_value(l.end_kind) || '|' || coalesce(string_agg(step, chr(31) order by i, k), '') as word from listed l left join say using (workflow, number) group by l.workflow, l.number)
+      select workflow, count(distinct word)::varchar as scenarios from w group by workflow""",
+    "map_scenarios": f"with {ORDER_WORDS} select workflow, count(*)::varchar as scenarios from spoken group by workflow",
+    "map_scenario_words": f"with {ORDER_WORDS} select workflow, row_number() over (partition by workflow order by steps)::int as number, array_to_string(steps, ' ') as steps, false as truncated from spoken",
+}

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import measures
 from trailweave.functions.ids import branch_id, path_id, stable_id
-from trailweave.operators import advice, classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages
+from trailweave.operators import advice, classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages, words
 from trailweave.plans import pilot
-from trailweave.plans.adapters import customer_exits, customer_runs, flag_exits, flag_facts, order_exits, order_paths, order_runs, shopper_exits, table, user_day
+from trailweave.plans.adapters import customer_exits, customer_runs, flag_exits, flag_facts, order_exits, order_external, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
 from trailweave.sources import sinks
 
@@ -461,7 +461,7 @@ def stated_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pilot_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios of the pilot, counted from the maps alone."""
-    return graphs.scenario_counts(pilot.pilot_exits(spark), pilot.pilot_external(spark))
+    return words.scenario_counts(pilot.pilot_exits(spark), pilot.pilot_external(spark))
 
 
 @query
@@ -745,3 +745,14 @@ def rule_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _every_source(spark, sf_dir).withColumn("number", F.col("path_id"))
     drafts = advice.drafted_rules(found)
     return drafts.select("workflow", "label", "rule_id", joined("when").alias("when"), F.sha2(F.array_join("path_ids", ","), 256).alias("paths_sha256"), "paths", "exact")
+
+
+@query
+def map_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.scenario_counts(order_exits(spark, sf_dir), order_external(spark, sf_dir))
+
+
+@query
+def map_scenario_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = words.scenario_words(order_exits(spark, sf_dir), order_external(spark, sf_dir))
+    return found.select("workflow", "number", joined("steps").alias("steps"), "truncated")
