@@ -60,3 +60,23 @@ def test_scenarios_of_a_capped_map(spark):
     capped = spark.createDataFrame([("w",)], "workflow string")
     got = sorted((r.workflow, r.path_count, r.main_number or 0, r.bucket, r.label, r.runs) for r in coverage.scenarios(results, ran, F.col("steps"), capped).collect())
     assert got == [("v", 1, 1, "cannot-be-tested", "rule", 0), ("w", 0, 0, "testable", "default", 3), ("w", 1, 1, "needs-review", "model-limit", 0), ("w", 1, 2, "testable", "default", 2)]
+
+
+def test_numbers_that_fell(spark):
+    was = spark.createDataFrame([("a", "path", 80.0), ("b", "path", 80.0), ("c", "path", 80.0), ("d", "path", 80.0), ("gone", "path", 80.0)], "workflow string, kind string, percent double")
+    now = spark.createDataFrame([("a", "path", 79.5, True), ("b", "path", 78.9, True), ("c", "branch", 1.0, True), ("d", "path", 0.0, False), ("new", "path", 0.0, True)], "workflow string, kind string, percent double, measured boolean")
+    assert {(r.workflow, r.finding, r.percent) for r in compare.main_drops(was, now, 1.0).collect()} == {("b", "drop", 78.9), ("c", "kind changed", 1.0), ("d", "not measured", None)}
+
+
+def test_what_a_version_adds(spark):
+    columns = "workflow string, branch_id string, status string"
+    base = spark.createDataFrame([("w", "b:1", "missed"), ("w", "b:2", "covered")], columns)
+    now = spark.createDataFrame([("w", "b:1", "covered"), ("w", "b:3", "covered"), ("w", "b:4", "missed"), ("w", "b:5", "impossible"), ("v", "b:2", "blocked")], columns)
+    added = compare.new_outcomes(base, now)
+    assert {(r.workflow, r.branch_id) for r in added.collect()} == {("w", "b:3"), ("w", "b:4"), ("v", "b:2")}
+    assert [(r.covered, r.total, round(r.percent, 2)) for r in compare.new_coverage(added).collect()] == [(1, 3, 33.33)]
+    assert compare.new_coverage(compare.new_outcomes(now, now)).count() == 0
+    a = spark.createDataFrame([("w", "x", "1"), ("w", "y", "1"), ("w", "gone", "1")], "workflow string, id string, exits string")
+    b = spark.createDataFrame([("w", "x", "1", False), ("w", "y", "2", True), ("w", "z", "1", True), ("w", "u", "1", False)], "workflow string, id string, exits string, covered boolean")
+    got = {r.id: (r.change, r.tested) for r in compare.tested_changes(a, b, ["workflow", "id"], ["exits"]).collect()}
+    assert got == {"y": ("changed", None), "z": ("new", True), "u": ("new", False), "gone": ("removed", None)}

@@ -67,6 +67,39 @@ def drops(base: DataFrame, now: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return now.select("workflow", "percent").join(base.select("workflow", F.col("percent").alias("was")), "workflow").where(F.col("was") - F.col("percent") > tolerance)
 
 
+def main_drops(base: DataFrame, now: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """workflow, finding, was, percent: workflows whose main number fell by more than tolerance (drop), that have none any more
+    (not measured), or whose number is of another kind (kind changed, and so not compared).
+
+    Rows: workflow, kind, percent; now has measured, too. Only workflows that the baseline has a number of are compared.
+    """
+    both = now.select("workflow", "kind", "percent", "measured").join(base.select("workflow", F.col("kind").alias("_kind"), F.col("percent").alias("was")), "workflow")
+    fell = F.when(F.col("percent") < F.col("was") - tolerance, "drop")
+    finding = F.when(~F.col("measured"), "not measured").when(~F.col("kind").eqNullSafe(F.col("_kind")), "kind changed").otherwise(fell)
+    return both.select("workflow", finding.alias("finding"), "was", F.when(F.col("measured"), F.col("percent")).alias("percent")).where("finding is not null")
+
+
+def new_outcomes(base: DataFrame, now: DataFrame) -> DataFrame:
+    """workflow, branch_id, status: the outcomes that a version adds, but for those that can't happen; rows: the same columns."""
+    added = now.join(base.select("workflow", "branch_id").distinct(), ["workflow", "branch_id"], "left_anti")
+    return added.where("status <> 'impossible'").select("workflow", "branch_id", "status")
+
+
+def new_coverage(outcomes: DataFrame) -> DataFrame:
+    """covered, total, percent of new_outcomes; no row if there are none."""
+    counts = outcomes.agg(F.count_if(F.col("status") == "covered").alias("covered"), F.count(F.lit(1)).alias("total")).where("total > 0")
+    return counts.withColumn("percent", F.col("covered") * 100.0 / F.col("total"))
+
+
+def tested_changes(base: DataFrame, now: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """snapshot_diff with tested: of what is new, whether a run covers it; now has covered, too."""
+    change = snapshot_diff(base, now, key, values)
+    on = [change[k].eqNullSafe(F.col(f"_{k}")) for k in key]
+    known = now.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("covered").alias("_covered"))
+    out = change.join(known, on, "left")
+    return out.select(*key, "change", F.when(F.col("change") == "new", F.coalesce("_covered", F.lit(False))).alias("tested"))
+
+
 def gates(totals: DataFrame, floors: dict[str, float]) -> DataFrame:
     """gate, value, floor, failed: one row a gate; totals is one row with a column for each."""
     rows = F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).cast("double").alias("value"), F.lit(float(x)).alias("floor")) for g, x in floors.items()]))

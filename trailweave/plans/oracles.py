@@ -527,3 +527,18 @@ ORACLES |= {
     "map_scenarios": f"with {ORDER_WORDS} select workflow, count(*)::varchar as scenarios from spoken group by workflow",
     "map_scenario_words": f"with {ORDER_WORDS} select workflow, row_number() over (partition by workflow order by steps)::int as number, array_to_string(steps, ' ') as steps, false as truncated from spoken",
 }
+
+OUTCOMES = RULED + """,
+x as (select workflow, i || steps[i] as branch_id, covered, bucket, runs from classified, unnest(range(1, len(steps) + 1)) t(i)),
+added as (
+  select workflow, branch_id, case when bool_or(covered) then 'covered' when bool_and(bucket = 'cannot-be-tested') then 'impossible' else 'missed' end as status
+  from x group by workflow, branch_id having max(runs) <= 2)"""
+
+ORACLES |= {
+    "main_drops": f"""with {ORDERS}, c as (select workflow, 100.0::double * count(*) filter (covered) / count(*) as percent, 100.0::double * count(*) filter (had) / count(*) as was from paths where workflow <> '1-URGENT' group by workflow),
+      f as (select workflow, case when workflow = '5-LOW' then 'not measured' when workflow = '4-NOT SPECIFIED' then 'kind changed' when percent < was - 0.5 then 'drop' end as finding, was, case when workflow <> '5-LOW' then percent end as percent from c)
+      select * from f where finding is not null""",
+    "new_outcomes": f"with {OUTCOMES} select * from added where status <> 'impossible'",
+    "new_coverage": f"with {OUTCOMES}, n as (select count(*) filter (status = 'covered') as covered, count(*) as total from added where status <> 'impossible') select covered, total, covered * 100.0::double / total as percent from n where total > 0",
+    "tested_changes": f"with {ORDERS} select workflow, path_id, 'new' as change, covered as tested from paths where not had",
+}

@@ -756,3 +756,39 @@ def map_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_scenario_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = words.scenario_words(order_exits(spark, sf_dir), order_external(spark, sf_dir))
     return found.select("workflow", "number", joined("steps").alias("steps"), "truncated")
+
+
+@query
+def main_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main numbers of two versions; one workflow has none any more, and one counts something else."""
+    found = order_paths(spark, sf_dir)
+    kind = F.when(F.col("workflow") == "4-NOT SPECIFIED", "scenario").otherwise("path")
+    was = coverage.path_coverage(found.withColumn("covered", F.col("had"))).withColumn("kind", F.lit("path"))
+    now = coverage.path_coverage(found).withColumn("kind", kind).withColumn("measured", F.col("workflow") != "5-LOW")
+    return compare.main_drops(was.where("workflow <> '1-URGENT'"), now, 0.5)
+
+
+def _outcomes_of(found: DataFrame) -> DataFrame:
+    """A flag at its place in an order is an outcome."""
+    rows = found.select("workflow", "covered", "bucket", F.explode(F.transform("steps", lambda x, i: F.concat((i + 1).cast("string"), x))).alias("branch_id"))
+    rows = rows.groupBy("workflow", "branch_id").agg(F.bool_or("covered").alias("_c"), F.bool_and(F.col("bucket") == "cannot-be-tested").alias("_i"))
+    return rows.select("workflow", "branch_id", F.when(F.col("_c"), "covered").when(F.col("_i"), "impossible").otherwise("missed").alias("status"))
+
+
+@query
+def new_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the paths that many orders take are the old version's."""
+    found = _classified(spark, sf_dir)
+    return compare.new_outcomes(_outcomes_of(found.where("runs > 2")), _outcomes_of(found))
+
+
+@query
+def new_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.new_coverage(QUERIES["new_outcomes"](spark, sf_dir))
+
+
+@query
+def tested_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of even orders against those of all, and whether an order divisible by 3 takes the new ones."""
+    found = order_paths(spark, sf_dir)
+    return compare.tested_changes(found.where("had"), found, ["workflow", "path_id"], ["end"])
