@@ -95,7 +95,9 @@ def matched(traces: DataFrame, exits: DataFrame) -> DataFrame:
 def triaged(matches: DataFrame, hashes: DataFrame | None = None, allow_stale: bool = False) -> DataFrame:
     """matches with kind: unreadable, excluded, other, unknown, incomplete, stale, unmatched or counted; the first that holds.
 
-    Reads, where they are there, reading, excluded and other (booleans), status, function_hash; hashes: workflow, function_hash of the maps.
+    Reads, where they are there, reading, excluded and other (booleans), status, function_hash, package, and what convert.prepared
+    adds: runs that it converted are not stale, those with bad markers are unmatched. hashes: workflow, function_hash of the
+    maps, and perhaps package: a run of another package's workflow of that name is unknown.
     """
     has = set(matches.columns)
     kind = F.when(F.col("reading") != "ok", "unreadable") if "reading" in has else F.when(F.lit(False), "")
@@ -104,12 +106,20 @@ def triaged(matches: DataFrame, hashes: DataFrame | None = None, allow_stale: bo
     if "other" in has:
         kind = kind.when(F.col("other"), "other")
     kind = kind.when(~F.col("known"), "unknown")
+    if hashes is not None:
+        now = [F.col("function_hash").alias("_hash"), *([F.col("package").alias("_package")] if "package" in hashes.columns else [])]
+        matches = matches.join(hashes.select("workflow", *now), "workflow", "left")
+        if "package" in has and "package" in hashes.columns:
+            named = (F.col("package") != "") & (F.col("_package") != "") & (F.col("package") != F.col("_package"))
+            kind = kind.when(F.coalesce(named, F.lit(False)), "unknown")
     if "status" in has:
         kind = kind.when(F.col("status") != "complete", "incomplete")
     if hashes is not None and not allow_stale:
-        matches = matches.join(hashes.select("workflow", F.col("function_hash").alias("_hash")), "workflow", "left")
-        kind = kind.when(~F.col("function_hash").eqNullSafe(F.col("_hash")), "stale")
-    return matches.withColumn("kind", kind.when(~F.col("matched"), "unmatched").otherwise("counted")).drop("_hash")
+        old = ~F.col("function_hash").eqNullSafe(F.col("_hash"))
+        kind = kind.when(old & ~F.col("converted") if "converted" in has else old, "stale")
+    if "bad_markers" in has:
+        kind = kind.when(F.col("bad_markers"), "unmatched")
+    return matches.withColumn("kind", kind.when(~F.col("matched"), "unmatched").otherwise("counted")).drop("_hash", "_package")
 
 
 def mismatch_cause(exits: DataFrame, matches: DataFrame) -> DataFrame:
