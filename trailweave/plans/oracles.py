@@ -542,3 +542,50 @@ ORACLES |= {
     "new_coverage": f"with {OUTCOMES}, n as (select count(*) filter (status = 'covered') as covered, count(*) as total from added where status <> 'impossible') select covered, total, covered * 100.0::double / total as percent from n where total > 0",
     "tested_changes": f"with {ORDERS} select workflow, path_id, 'new' as change, covered as tested from paths where not had",
 }
+
+AROUND = """
+l as (select l_orderkey::varchar as workflow, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as n, l_returnflag = 'R' as fails from lineitem),
+-- ways from line a on that have ended or are about to enter line b + 1
+span(workflow, n, a, b, live, ended) as (
+  select workflow, n, i, i, case when fails then 1 else 2 end, case when fails then 1 else 0 end from l
+  union all
+  select s.workflow, s.n, a, b + 1, live * case when fails then 1 else 2 end, ended + case when fails then live else 0 end from span s join l on l.workflow = s.workflow and l.i = b + 1),
+m as (select workflow, n, a, b, live + ended as c, live, ended from span),
+whole as (select workflow, n, c + 1 as c, (live + 1) * 2 + ended as merged from m where a = 1 and b = n),
+cut(workflow, a, b) as (
+  select m.workflow, 1, max(b) from m join whole using (workflow) where whole.c > 8 and m.a = 1 and (m.c <= 8 or m.b = 1) group by m.workflow
+  union all
+  select c.workflow, c.b + 1, (select max(m.b) from m where m.workflow = c.workflow and m.a = c.b + 1 and (m.c <= 8 or m.b = m.a)) from cut c join whole using (workflow) where c.b < whole.n),
+rows_ as (
+  select workflow, 0 as k, 0 as of_stage, 'J1' as entry, merged as paths, null as split_from from whole where merged <= 8
+  union all select workflow, 0, 0, 'J1', case when c > 8 then 2 else c end, case when c > 8 then c end from whole where merged > 8
+  union all select cut.workflow, cut.a, 0, 'J' || (cut.a + 1), m.c, whole.c from cut join m using (workflow, a, b) join whole using (workflow)
+  union all select workflow, 1000, 1, 'J' || (n + 2), 2, null from whole where merged > 8)"""
+
+ORACLES |= {
+    "stage_parts": f"""with recursive {AROUND}
+      select workflow, row_number() over (partition by workflow order by k) - 1 as stage, of_stage::bigint as of_stage, entry, paths::varchar as paths, false as big, split_from is not null as is_part, split_from::varchar as split_from, null::varchar as why from rows_""",
+    "converted_runs": """with l as (
+        select o_orderpriority as workflow, l_orderkey as order_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, count(*) over (partition by l_orderkey) as n,
+          l_returnflag as flag, l_linenumber as line, 'K' || (l_suppkey % 4) as k from lineitem join orders on l_orderkey = o_orderkey),
+      r as (select order_id, order_id % 5 <> 0 and not bool_or((flag = 'N' and line = 7) or (flag = 'R' and k = 'K3')) as converted, order_id % 7 = 0 and max_by(flag, i) <> 'N' as bad_markers from l group by order_id),
+      w as (select order_id, converted, bad_markers, i,
+          case when flag = 'N' then (case when converted then 'D' else 'J' end) || line else (case when converted then 'H' else 'S' end) || flag || '.' || k end as step, flag,
+          case when flag = 'N' then '' when converted then 'H' || flag else 'S' || flag end as place, i = n and bad_markers as lost from l join r using (order_id))
+      select order_id, converted, bad_markers,
+        case when bad_markers then string_agg(case when flag = 'N' then step else '>' || place || ' ' || step || case when lost then '' else ' <' || place end end, ' ' order by i)
+          else coalesce(string_agg(step, ' ' order by i) filter (flag = 'N' or not converted), '') end as steps,
+        case when bad_markers then '' else coalesce(string_agg(step, ' ' order by i) filter (flag <> 'N' and converted), '') end as unit_hits
+      from w group by order_id, converted, bad_markers""",
+    "loop_spans": """with l as (select l_orderkey as order_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, l_returnflag as flag, (l_suppkey % 2)::varchar as loop from lineitem),
+      s as (select *, coalesce(sum(case when flag = 'N' then 1 when flag = 'R' and loop = '0' then 2 when flag = 'R' then 1 when loop = '0' then 1 else 0 end) over (partition by order_id order by i rows between unbounded preceding and 1 preceding), 0) as before,
+        sum(case when flag = 'N' then 1 when flag = 'R' and loop = '0' then 2 when flag = 'R' then 1 when loop = '0' then 1 else 0 end) over (partition by order_id) as total from l),
+      e as (select *, lead(flag) over (partition by order_id, loop order by i) as next_flag, lead(before) over (partition by order_id, loop order by i) as next_before from s where flag <> 'N')
+      select order_id, (row_number() over (partition by order_id order by i) - 1)::int as number, loop, (before + 1)::int as from_step, (case when next_flag = 'A' then next_before else total end)::int as to_step from e where flag = 'R'""",
+    "named_workflows": """with p as (select replace(p_name, ' ', '.') as own, p_brand as brand, p_type as type, case when p_size % 2 = 0 then 'f' || (p_size % 3) || '/' else '' end || p_brand || '.' || replace(p_name, ' ', '.') as workflow from part),
+      w as (select distinct workflow, regexp_replace(workflow, '^.*/', '') as plain from p),
+      asked as (select own as name from p union select brand || '.' || own from p union select '(*' || type || ')' from p union select workflow from p),
+      a as (select name, replace(replace(name, '(*', ''), ')', '') as want from asked),
+      m as (select name, list(distinct workflow order by workflow) filter (workflow is not null) as found from a left join w on workflow = want or ends_with(workflow, '.' || want) or (not contains(want, '/') and (plain = want or ends_with(plain, '.' || want))) group by name)
+      select name, case when len(found) = 1 then found[1] end as workflow, coalesce(array_to_string(found, ' '), '') as matches, case when found is null then 'none' when len(found) > 1 then 'several' end as problem from m""",
+}

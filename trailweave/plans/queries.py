@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import measures
 from trailweave.functions.ids import branch_id, path_id, stable_id
-from trailweave.operators import advice, classify, compare, coverage, entries, graphs, match, panels, paths, roads, stages, words
+from trailweave.operators import advice, classify, compare, convert, coverage, entries, graphs, match, names, panels, paths, regions, roads, spans, stages, words
 from trailweave.plans import pilot
 from trailweave.plans.adapters import customer_exits, customer_runs, flag_exits, flag_facts, order_exits, order_external, order_paths, order_runs, shopper_exits, table, user_day
 from trailweave.shipping import ship
 from trailweave.sources import sinks
+from trailweave.sources.tables import START
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -660,6 +661,9 @@ def map_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.mermaid(order_exits(spark, sf_dir))
 
 
+#: Ways up to which the stages of orders' maps are merged.
+PART_MOST = 8
+
 #: Ways up to which the stages of customers' maps are merged, so that most maps have several.
 STAGE_MOST = 64
 
@@ -792,3 +796,91 @@ def tested_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of even orders against those of all, and whether an order divisible by 3 takes the new ones."""
     found = order_paths(spark, sf_dir)
     return compare.tested_changes(found.where("had"), found, ["workflow", "path_id"], ["end"])
+
+
+def _helper_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as runs of an old map, and the lookups of the new one.
+
+    A line of flag N is a decision of the order's own; one of another flag is taken in that flag's helper, entered and left
+    around it. An order divisible by 7 has its last marker lost. The new map has no decision for seventh lines, and its unit of R
+    none for suppliers of remainder 3.
+    """
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own, flag = F.col("l_returnflag") == "N", F.col("l_returnflag")
+    kind = F.concat(F.lit("K"), (F.col("l_suppkey") % 4).cast("string"))
+    lines = lines.select(
+        F.col("o_orderpriority").alias("workflow"), F.col("l_orderkey").alias("order_id"), "l_linenumber", "l_partkey", "l_suppkey", flag.alias("flag"),
+        F.when(own, F.concat(F.lit("J"), F.col("l_linenumber"))).otherwise(F.concat(F.lit("S"), flag, F.lit("."), kind)).alias("old"),
+        F.when(own, F.concat(F.lit("line "), F.col("l_linenumber"))).otherwise(F.concat(flag, F.lit(" "), kind)).alias("statement"),
+    )
+    steps = F.when(F.col("flag") == "N", F.array("old")).otherwise(F.array(F.concat(F.lit(">S"), "flag"), F.col("old"), F.concat(F.lit("<S"), "flag")))
+    runs = lines.withColumn("s", steps).groupBy("workflow", "order_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "flag", "s"))).alias("l"))
+    all_ = F.flatten(F.transform("l", lambda x: x["s"]))
+    cut = F.when((F.col("order_id") % 7 == 0) & (F.element_at("l", -1)["flag"] != "N"), F.slice(all_, F.lit(1), F.size(all_) - 1)).otherwise(all_)
+    runs = runs.select("workflow", "order_id", F.when(F.col("order_id") % 5 == 0, "now").otherwise("old").alias("function_hash"), cut.alias("steps"))
+    site = F.when(F.col("flag") != "N", F.concat(F.lit("S"), "flag"))
+    old_exits = lines.select("workflow", F.col("old").alias("edge_id"), site.alias("site_id"), "statement", F.lit("on").alias("label"), "flag", "l_linenumber").distinct()
+    helpers = old_exits.where("site_id is not null").select("workflow", "site_id", F.concat(F.lit("H"), "flag").alias("unit_id"), F.col("flag").alias("body")).distinct()
+    lost = ((F.col("flag") == "N") & (F.col("l_linenumber") == 7)) | (F.col("edge_id") == "SR.K3")
+    new = F.when(F.col("flag") == "N", F.concat(F.lit("D"), F.expr("substring(edge_id, 2)"))).otherwise(F.concat(F.lit("H"), F.expr("substring(edge_id, 2)")))
+    exits = old_exits.where(~lost).select("workflow", new.alias("edge_id"), F.when(F.col("flag") != "N", F.concat(F.lit("H"), "flag")).alias("unit_id"), "statement", "label").distinct()
+    hashes = lines.select("workflow").distinct().withColumn("old_hash", F.lit("old"))
+    of = convert.lookups(hashes, helpers.select("workflow", "site_id", "body"), old_exits.select("workflow", "edge_id", "site_id", "statement", "label").distinct(), helpers.select("workflow", "unit_id", "body"), exits)
+    return runs, of
+
+
+@query
+def converted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = convert.prepared(*_helper_runs(spark, sf_dir))
+    return rows.select("order_id", joined("steps").alias("steps"), joined("unit_hits").alias("unit_hits"), "bad_markers", "converted")
+
+
+@query
+def loop_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as steps: R goes into the loop of the supplier's remainder, A goes round it, N does something."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", (F.col("l_suppkey") % 2).cast("string")).alias("e")).alias("s"))
+    runs = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["e"]).alias("steps"))
+    texts = lambda pairs: F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+    said = {k: F.array(*map(F.lit, v)) for k, v in {"N0": ["work"], "N1": ["work"], "R0": ["loop 0: 1+ rounds", "begin"], "R1": ["loop 1: 1+ rounds"], "A0": ["again"]}.items()}
+    found = spans.loop_spans(F.col("steps"), texts(said), texts({"R0": F.lit("0"), "R1": F.lit("1")}), texts({"A0": F.lit("0"), "A1": F.lit("1")}))
+    rows = runs.select(F.col("l_orderkey").alias("order_id"), F.posexplode(found).alias("number", "s"))
+    return rows.select("order_id", "number", "s.loop", F.col("s.from").alias("from_step"), F.col("s.to").alias("to_step"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as workflows in folders, and names as parts are called, with and without what comes before."""
+    part = table(spark, sf_dir, "part")
+    own = F.replace("p_name", F.lit(" "), F.lit("."))
+    full = F.concat(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("f"), (F.col("p_size") % 3).cast("string"), F.lit("/"))).otherwise(""), "p_brand", F.lit("."), own)
+    asked = F.array(own, F.concat("p_brand", F.lit("."), own), F.concat(F.lit("(*"), "p_type", F.lit(")")), full)
+    return part.select(F.explode(asked).alias("name")).distinct(), part.select(full.alias("workflow")).distinct()
+
+
+@query
+def named_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = names.resolved(*_named(spark, sf_dir))
+    return rows.select("name", "workflow", F.array_join("matches", " ").alias("matches"), "problem")
+
+
+def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each order: J1 goes into its lines or around them; a line of flag R may fail, all others go on either way."""
+    by = Window.partitionBy("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = lines.select(F.col("l_orderkey").cast("string").alias("workflow"), F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("i"), F.count(F.lit(1)).over(by).alias("n"), F.col("l_returnflag").alias("flag"))
+    way = lambda at, label, ord_, kind, to: F.struct(F.concat(at, F.lit(f".{label}")).alias("edge_id"), at.alias("junction_id"), F.lit("if").alias("kind"), F.lit(label).alias("label"), F.lit(ord_).alias("ord"), kind.alias("to_kind"), to.alias("to_id"))
+    name = lambda i: F.concat(F.lit("J"), i)
+    j, end, last = F.lit("junction"), F.lit("end"), name(F.col("n") + 2)
+    here, on, fails = name(F.col("i") + 1), name(F.col("i") + 2), F.col("flag") == "R"
+    own = [way(here, "true", 0, j, on), way(here, "false", 1, F.when(fails, "end").otherwise("junction"), F.when(fails, "failed").otherwise(on))]
+    start = F.struct(F.lit(START).alias("edge_id"), F.lit("").alias("junction_id"), F.lit("start").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("ord"), j.alias("to_kind"), F.lit("J1").alias("to_id"))
+    first = [start, way(F.lit("J1"), "true", 0, j, F.lit("J2")), way(F.lit("J1"), "false", 1, j, last), way(last, "true", 0, end, F.lit("completed")), way(last, "false", 1, end, F.lit("failed"))]
+    rows = lines.select("workflow", F.explode(F.when(F.col("i") == 1, F.array(*first, *own)).otherwise(F.array(*own))).alias("e"))
+    return rows.select("workflow", "e.edge_id", "e.junction_id", "e.kind", "e.label", "e.ord", F.lit(False).alias("is_retry"), "e.to_kind", "e.to_id", F.lit(None).cast("string").alias("only_edge"))
+
+
+@query
+def stage_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large stages of the maps of orders, cut at the region of their lines."""
+    exits = _around(spark, sf_dir)
+    parts = regions.split(exits, stages.stages(exits, PART_MOST), PART_MOST)[0]
+    return parts.select("workflow", "stage", "of_stage", "entry", "paths", "big", "is_part", "split_from", "why")
