@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 from trailweave.operators.roads import path_counts, reachable
 from trailweave.operators.stages import gates
+from trailweave.operators.walks import EXIT
 from trailweave.operators.words import scenario_counts
+from trailweave.sources.held import by_group
 from trailweave.sources.tables import START
 
 __all__ = ["first_paths", "gates", "path_counts", "reachable", "scenario_counts"]
 
 
+_Exit = namedtuple("_Exit", EXIT)
+
+
 class _Map:
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: list[tuple]):
         self.ways: dict[str, list] = {}
         self.all = {}
-        for r in rows.sort_values("ord").itertuples():
+        for r in sorted((_Exit(*r) for r in rows), key=lambda r: r.ord):
             self.all[r.edge_id] = r
             if r.edge_id != START:
                 self.ways.setdefault(r.junction_id, []).append(r)
@@ -56,7 +63,7 @@ def first_paths(exits: DataFrame, cap: int) -> DataFrame:
     unless its way is blocked by exits that it has taken already.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[tuple]) -> Iterator[tuple]:
         m = _Map(rows)
         alive, found = _alive(m), []
 
@@ -80,9 +87,7 @@ def first_paths(exits: DataFrame, cap: int) -> DataFrame:
                 if e.to_kind == "end":
                     found.append((list(steps), e.to_id))
                 stack.append(iter(after(e) if e.to_kind != "end" else []))
-        kept = found[:cap]
-        if not kept:
-            return pd.DataFrame()
-        return pd.DataFrame({"workflow": rows["workflow"].iloc[0], "number": range(1, len(kept) + 1), "steps": [s for s, _ in kept], "end": [e for _, e in kept], "truncated": len(found) > cap})
+        for number, (path, end) in enumerate(found[:cap]):
+            yield number + 1, path, end, len(found) > cap
 
-    return exits.groupBy("workflow").applyInPandas(walk, "workflow string, number int, steps array<string>, end string, truncated boolean")
+    return by_group(exits.select("workflow", *EXIT), ["workflow"], walk, "number int, steps array<string>, end string, truncated boolean")
