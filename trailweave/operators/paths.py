@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.ids import path_id, path_key
 from trailweave.operators import roads
+from trailweave.operators.alike import alike, for_all
 from trailweave.operators.graphs import first_paths
 from trailweave.operators.match import transitions
 from trailweave.sources.rounds import kept
@@ -36,10 +37,12 @@ def pruned(exits: DataFrame, facts: DataFrame, cap: int = CAP) -> tuple[DataFram
     contradicts), paths (how many it leaves out, a whole number as text). So the list fills with paths that can be taken;
     groups that stand behind its end are not told.
     """
+    names, (exits, facts) = alike(exits, facts)
     moves = kept(roads.moves(exits))
     ways, groups = roads.listing(moves, cap, facts=facts)
     below = roads.ways(moves).select("workflow", "place", roads.as_text(F.col("limbs")).alias("paths"))
-    return _named(ways), groups.join(below, ["workflow", "place"]).select("workflow", "prefix", "name", "paths")
+    groups = groups.join(below, ["workflow", "place"]).select("workflow", "prefix", "name", "paths")
+    return for_all(_named(ways), names), for_all(groups, names)
 
 
 def legal_pairs(exits: DataFrame) -> DataFrame:

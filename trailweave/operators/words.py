@@ -3,7 +3,7 @@
 A place of a map is a state, an exit with n external steps n arcs in a row, one without a silent arc. Paths that look the
 same from outside are one word of this automaton, so it is made deterministic: a state is then the sorted set of all places
 that one beginning of a word may have led to, named by its hash. In a round each new set is followed by each of its steps,
-for all maps; sets that are known already are left out. The result is a table of moves like that of a map, so words are
+for all maps (one of those that are alike); sets that are known already are left out. The result is a table of moves like that of a map, so words are
 counted and listed as paths are.
 """
 
@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.operators.alike import alike, for_all
 from trailweave.operators.roads import as_text, listing, moves, rounds_for, ways
 from trailweave.sources.rounds import kept
 
@@ -86,14 +87,16 @@ def automaton(exits: DataFrame, external: DataFrame, most_states: int = MOST_STA
 
 def scenario_counts(exits: DataFrame, external: DataFrame, most_states: int = MOST_STATES) -> DataFrame:
     """workflow, scenarios (a whole number as text; null if there are too many states to tell)."""
+    names, (exits, external) = alike(exits, external)
     steps, large = automaton(exits, external, most_states)
     counted = ways(steps).where("place = ''").select("workflow", as_text(F.col("limbs")).alias("scenarios"))
     rows = exits.select("workflow").distinct().join(counted, "workflow", "left").join(large.withColumn("_large", F.lit(True)), "workflow", "left")
-    return rows.select("workflow", F.when(F.col("_large").isNull(), F.coalesce("scenarios", F.lit("0"))).alias("scenarios"))
+    return for_all(rows.select("workflow", F.when(F.col("_large").isNull(), F.coalesce("scenarios", F.lit("0"))).alias("scenarios")), names)
 
 
 def scenario_words(exits: DataFrame, external: DataFrame, most: int = MOST_LISTED, most_states: int = MOST_STATES) -> DataFrame:
     """workflow, number, steps (the last is the end), truncated: the first scenarios of each map in the order of their steps."""
+    names, (exits, external) = alike(exits, external)
     steps, large = automaton(exits, external, most_states)
     steps = steps.join(large, "workflow", "left_anti")
     # the order of steps is that of their texts; a step may come again, so each move has a name of its own
@@ -102,4 +105,4 @@ def scenario_words(exits: DataFrame, external: DataFrame, most: int = MOST_LISTE
     named = steps.drop("ord").join(order, ["workflow", "edge_id"]).withColumn("edge_id", F.concat("at", F.lit("\n"), "edge_id"))
     words, _ = listing(named, most)
     said = F.transform("steps", lambda s: F.substring_index(s, "\n", -1))
-    return words.select("workflow", "number", said.alias("steps"), "truncated")
+    return for_all(words.select("workflow", "number", said.alias("steps"), "truncated"), names)
