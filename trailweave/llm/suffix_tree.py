@@ -11,8 +11,9 @@ the one before by a join; the last two are made from these where all grams of on
 next symbols diverge from its parent's: count * KL divergence >= DIVERGENCE. A retained context's distribution
 is smoothed by its parent's, which weighs SMOOTHING times the number of its next symbols.
 Scoring: each symbol's probability comes from the longest retained suffix of what stands before it. The most
-frequent grams (SENT_GRAMS at most) are sent to the executors with their probabilities; all others are joined by a
-shuffle.
+frequent grams (SENT_GRAMS at most) are sent to the executors with their probabilities, the most frequent of them where
+a lookup looks first; all others are joined by a shuffle. Texts are worked on a slice at once: its bytes are read as
+numbers at each symbol, its words as numbers of its distinct words, so no word is a Python object but the distinct ones.
 
 The base score counts words. Words with at least a share HEAD_SHARE of all tokens (at most 1 / HEAD_SHARE of
 them) are sent to the executors; all others are joined by a shuffle.
@@ -25,12 +26,13 @@ are scored each. An empty table gives an empty result. Other columns are not rea
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,32 +47,57 @@ DEEP = 2
 #: Grams of whole endings that a task works on at once.
 TOGETHER = 300_000
 #: Distinct entries that a task gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 4_000_000
 #: Symbols scored at once: what is made for them stays in a processor's cache.
 AT_ONCE = 1 << 17
-ENTRY = np.dtype([("key", np.uint64), ("value", np.float32)])
-_END = 10  # the end's byte: white space, so no word holds it
+_END = b"\n"  # the end: white space, so no word holds it
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b" " * 5)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def joined(text: bytes | None) -> bytes:
+    """words_of a text of UTF-8 bytes, joined by single spaces."""
+    text = (text or b"").translate(_PLAIN)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.strip(b" ")
+
+
+def _joined(batch: pa.RecordBatch) -> list[bytes]:
+    return [joined(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 def grams(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The last depth + 1 symbols at each symbol of the texts, the next symbol in the lowest byte; the number of symbols of each text."""
-    ends = b"\n" * depth
-    streams = [b" ".join(w) + b"\n" for w in texts]
-    data = np.frombuffer(b"".join([part for s in streams for part in (ends, s)]), np.uint8)
-    sizes = np.array([len(s) for s in streams], np.int64)
-    scored = np.ones(len(data), bool)
-    starts = np.cumsum(sizes + depth) - sizes - depth
-    scored[(starts[:, None] + np.arange(depth)).ravel()] = False
-    key = np.zeros(len(data), np.uint64)
-    for j in range(depth + 1):
-        key[j:] |= data[: len(data) - j].astype(np.uint64) << np.uint64(8 * j)
+    return _grams([b" ".join(w) for w in texts], depth)
+
+
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """grams of joined texts; depth is 6 at most."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data = b"".join([bytes(7 - depth), *(part for t in texts for part in (_END * depth, t, _END))])
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    # eight bytes from each place on, the symbol last: the first number is that of the first text's first symbol
+    key = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)
+    key &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    scored = np.ones(len(key), bool)
+    ends = np.cumsum(sizes + depth)[:-1] - depth  # where those before a later text begin
+    scored[(ends[:, None] + np.arange(depth)).ravel()] = False
     return key[scored], sizes
 
 
+def _numbered(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words of joined texts; of each word of the texts its number there; the number of words of each text."""
+    data = b" ".join([*filter(None, texts), b""])  # a space behind each word
+    ends = np.r_[0, np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1].astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return pc.binary_slice(words.dictionary, 0, -1), words.indices.to_numpy(), np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
@@ -90,18 +117,15 @@ def _gram_counts(depth: int):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], ["gram", "n"])
 
         for b in batches:
-            texts, trains = b.column("text").to_pylist(), b.column("trains").to_numpy(zero_copy_only=False).astype(bool)
-            for i in range(0, len(texts), 500):
-                keys, sizes = grams([words_of(t) for t in texts[i : i + 500]], depth)
-                trained = np.repeat(trains[i : i + 500], sizes)
-                held.append(np.unique(keys[trained], return_counts=True))
-                others = np.unique(keys[~trained])
-                held.append((others, np.zeros(len(others), np.int64)))
-                if sum(len(k) for k, _ in held) > GATHERED:
-                    merged = _merged(held)
-                    held[:] = [merged]
-                    if len(merged[0]) > GATHERED * 2 // 3:
-                        yield from out()
+            texts, trains = _joined(b), b.column("trains").to_pylist()
+            held.append(np.unique(_grams([t for t, x in zip(texts, trains) if x], depth)[0], return_counts=True))
+            others = np.unique(_grams([t for t, x in zip(texts, trains) if not x], depth)[0])
+            held.append((others, np.zeros(len(others), np.int64)))
+            if sum(len(k) for k, _ in held) > GATHERED:
+                merged = _merged(held)
+                held[:] = [merged]
+                if len(merged[0]) > GATHERED * 2 // 3:
+                    yield from out()
         if held:
             yield from out()
 
@@ -109,62 +133,70 @@ def _gram_counts(depth: int):
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    held: list[pa.Table] = []
+    most = GATHERED // 3
 
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        held.clear()
-        return b
+    def merge() -> None:
+        held[:] = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])]
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            held.update(words_of(text))
-            held[b"\n"] += 1
-        if len(held) > GATHERED // 6:
-            yield out()
+        texts = _joined(b)
+        words, number, _ = _numbered(texts)
+        held.append(pa.table({"word": words, "n": np.bincount(number, minlength=len(words)).astype(np.int64)}))
+        held.append(pa.table({"word": pa.array([_END], pa.binary()), "n": np.array([len(texts)], np.int64)}))
+        if sum(map(len, held)) > most:
+            merge()
+            if len(held[0]) > most * 2 // 3:
+                yield from held.pop().to_batches(100_000)
     if held:
-        yield out()
+        merge()
+        yield from held.pop().to_batches(100_000)
 
 
 class Lookup:
-    """An open-addressing table from 64-bit keys (not 0) to numbers, for arrays of keys at once."""
+    """An open-addressing table from 64-bit keys (not 0) to numbers, for arrays of keys at once.
+
+    Of several keys that belong in one place, the last one given gets it; so the keys that are asked for most stand last.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, load: float = 0.6):
-        self._over(np.zeros(max(16, int(len(keys) / load)), ENTRY))
+        size = max(16, int(len(keys) / load))
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == 0
             self.keys[at[free]] = keys[left[free]]  # of several keys for a place the last stays
             placed = self.keys[at] == keys[left]
             self.values[at[placed]] = values[left[placed]]
-            left, at = left[~placed], (at[~placed] + 1) % len(self.places)
-
-    def _over(self, places: np.ndarray) -> None:
-        self.places, self.keys, self.values = places, places["key"], places["value"]
+            left, at = left[~placed], (at[~placed] + 1) % size
 
     @classmethod
-    def of(cls, places: np.ndarray) -> Lookup:
-        """The table whose places were taken from another."""
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Lookup:
+        """The table whose keys and values, by places, were taken from another."""
         self = cls.__new__(cls)
-        self._over(places)
+        self.keys, self.values = keys, values
         return self
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        hashed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        return ((hashed * np.uint64(len(self.places))) >> np.uint64(32)).astype(np.int64)
+        home = keys * np.uint64(0x9E3779B97F4A7C15)
+        home >>= np.uint64(32)
+        home *= np.uint64(len(self.keys))
+        home >>= np.uint64(32)
+        return home.view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and whether the key was found."""
         at = self._home(keys)
-        held = self.keys[at]
-        found = held == keys
-        todo = np.flatnonzero(~found & (held != 0))
+        found = self.keys.take(at) == keys
+        todo = np.flatnonzero(~found)
+        todo = todo[self.keys[at[todo]] != 0]
         while len(todo):
-            at[todo] = (at[todo] + 1) % len(self.places)
+            at[todo] = (at[todo] + 1) % len(self.keys)
             held = self.keys[at[todo]]
-            found[todo] = held == keys[todo]
-            todo = todo[(held != 0) & (held != keys[todo])]
-        return self.values[at], found
+            here = held == keys[todo]
+            found[todo] = here
+            todo = todo[(held != 0) & ~here]
+        return self.values.take(at), found
 
 
 def _tagged(key: np.ndarray, depth: int) -> np.ndarray:
@@ -346,7 +378,7 @@ def chances(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence
     without its first symbol, so a level needs one join with the one before and sums over each context's pairs.
     Pairs of the last DEEP levels share the ending of their context, and their ancestors, so these come together by it once.
     """
-    full = written(texts.mapInArrow(lean(_gram_counts(depth)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    full = written(texts.mapInArrow(lean(_gram_counts(depth)), "gram long, n long").repartition("gram").groupBy("gram").agg(F.sum("n").alias("n")))  # a task's grams are distinct: counting begins behind the shuffle
     upper = depth - DEEP if depth > DEEP else depth
     levels = [full] if upper == depth else []
     for d in range(upper - len(levels), -1, -1):
@@ -404,55 +436,56 @@ def scores(documents: DataFrame, training: DataFrame | Column, depth: int = DEPT
     else:
         texts = documents.select("text", F.lit(False).alias("trains")).unionAll(training.select("text", F.lit(True).alias("trains")))
     spark = documents.sparkSession
-    counts = written(training.select("text").mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = written(training.select("text").mapInArrow(lean(_word_counts), "word binary, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2, math.ceil(tokens * head_share))
     head = counts.where(F.col("n") >= least).toArrow()
     whole = math.log10(tokens + 0.1 * (distinct + 1))
     known = dict(zip(head["word"].to_pylist(), (math.log10(n + 0.1) - whole for n in head["n"].to_pylist())))
-    if tokens and b"\n" not in known:  # the end is a head word at any count
-        n = counts.where(F.col("word") == F.lit(b"\n")).first()
-        known[b"\n"] = math.log10(n.n + 0.1) - whole
+    if tokens and _END not in known:  # the end is a head word at any count
+        n = counts.where(F.col("word") == F.lit(_END)).first()
+        known[_END] = math.log10(n.n + 0.1) - whole
     unknown = -1.0 - whole
     logs_of, symbols = chances(texts, depth, **tree)
     often = F.col("n") >= (_least_sent(logs_of, sent_grams) if sent_share is None else max(1, math.ceil(symbols * sent_share)))
-    sent = logs_of.where(often).select("gram", "log").toArrow()
-    places = Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64), depth), sent["log"].to_numpy()).places
-    model = spark.sparkContext.broadcast((known, places))
-    del sent, places
+    sent = logs_of.where(often).select("gram", "log", F.col("n").cast("float").alias("n")).toArrow()
+    order = np.argsort(sent["n"].to_numpy(), kind="stable")
+    frequent = Lookup(_tagged(sent["gram"].to_numpy().view(np.uint64)[order], depth), sent["log"].to_numpy()[order])
+    model = spark.sparkContext.broadcast((known, frequent.keys, frequent.values))
+    del sent, order, frequent
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        logs, frequent = model.value[0], Lookup.of(model.value[1])
-        end = logs.get(b"\n")
+        logs, frequent = model.value[0], Lookup.of(*model.value[1:])
+        end = logs.get(_END)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for i in range(0, len(texts), 500):
-                words = [words_of(t) for t in texts[i : i + 500]]
-                keys, sizes = grams(words, depth)
-                value, found = frequent(_tagged(keys, depth))
-                starts = np.cumsum(sizes) - sizes
-                total = np.add.reduceat(np.where(found, value, 0.0).astype(float), starts)
-                offsets = np.r_[0, np.cumsum(np.add.reduceat((~found).astype(np.int64), starts))]
-                others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[~found].view(np.int64)))
-                n, in_head, base, rare, times = [], [], [], [], []
-                for w in words:
-                    values = list(map(logs.get, w))
-                    found = [v for v in values if v is not None]
-                    tail = Counter(x for x, v in zip(w, values) if v is None) if len(found) < len(w) else {}
-                    n.append(len(w) + 1)
-                    in_head.append(len(found) + (end is not None))
-                    base.append(math.fsum(found) + (unknown if end is None else end) + unknown * (len(w) - len(found)))
-                    rare.append(list(tail))
-                    times.append(list(tail.values()))
-                rows = pa.array(range(row, row + len(words)), pa.int64())
-                row += len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [rows, ids[i : i + 500], pa.array(n, pa.int64()), pa.array(in_head, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), others],
-                    ["row", "doc_id", "n_tokens", "in_head", "base", "score", "rare", "times", "others"],
-                )
+            texts = _joined(b)
+            keys, sizes = _grams(texts, depth)
+            value, found = np.empty(len(keys), np.float32), np.empty(len(keys), bool)
+            for i in range(0, len(keys), AT_ONCE):
+                value[i : i + AT_ONCE], found[i : i + AT_ONCE] = frequent(_tagged(keys[i : i + AT_ONCE], depth))
+            value[~found] = 0
+            starts = np.cumsum(sizes) - sizes
+            total = np.add.reduceat(value, starts, dtype=float)
+            offsets = np.r_[0, np.cumsum(np.add.reduceat(~found, starts, dtype=np.int64))]
+            others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[~found].view(np.int64)))
+            words, number, n = _numbered(texts)
+            value = np.fromiter(map(logs.get, words.to_numpy(zero_copy_only=False), repeat(math.nan)), float, len(words))[number]
+            in_head, text = ~np.isnan(value), np.repeat(np.arange(len(n)), n)
+            base = np.bincount(text, np.where(in_head, value, unknown), len(n)) + (unknown if end is None else end)
+            tail, times = np.unique(text[~in_head] * len(words) + number[~in_head], return_counts=True)
+            of_text, tail = np.divmod(tail, max(1, len(words)))
+            offsets = pa.array(np.searchsorted(of_text, np.arange(len(n) + 1)), pa.int32())
+            rare, times = pa.ListArray.from_arrays(offsets, words.take(pa.array(tail))), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
+            rows = pa.array(range(row, row + len(n)), pa.int64())
+            row += len(n)
+            in_head = np.bincount(text[in_head], minlength=len(n)) + (end is not None)
+            yield pa.RecordBatch.from_arrays(
+                [rows, b.column("doc_id"), pa.array(n + 1), pa.array(in_head, pa.int64()), pa.array(base), pa.array(total), rare, times, others],
+                ["row", "doc_id", "n_tokens", "in_head", "base", "score", "rare", "times", "others"],
+            )
 
     schema = "row long, doc_id long, n_tokens long, in_head long, base double, score double, rare array<binary>, times array<long>, others array<long>"
     scored = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(score), schema))
