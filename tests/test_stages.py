@@ -213,3 +213,56 @@ def test_pruned_listing(spark):
     rows_ = listed.where("workflow = 'a'").orderBy("number").collect()
     assert [r.steps[0] + " " + r.steps[4] + " " + r.steps[5] for r in rows_] == ["J1.true J5.true J6.true", "J1.true J5.true J6.false", "J1.true J5.true J6.true"]
     assert all(r.truncated for r in rows_) and groups.count() == 1
+
+
+def test_written_tables_are_not_taken_for_small_by_their_files(spark):
+    """Maps' rows are up to a hundred times as large as the file that holds them, by which Spark would send them to the driver."""
+    from trailweave.sources.rounds import SENT_VALUES, kept
+
+    def plan(rows, more):
+        table = kept(spark.range(rows).select(F.lit("a workflow of a long name").alias("workflow"), (F.col("id") % 7).alias("stage"), more.alias("more")).repartition(2))
+        other = spark.range(SENT_VALUES).select(F.lit("a workflow of a long name").alias("workflow"), F.col("id").alias("stage"))
+        both = other.join(table.where("stage = 3").distinct(), ["workflow", "stage"])
+        return both.count(), both._jdf.queryExecution().executedPlan().toString()
+
+    for rows, more, sent in [(700, F.lit(1), True), (700, F.sequence(F.lit(1), F.lit(SENT_VALUES // 700)), False), (SENT_VALUES // 3 + 1, F.lit(1), False), (0, F.lit(1), True)]:
+        found, made = plan(rows, more)
+        assert found == min(rows, 1)
+        if rows:
+            assert ("BroadcastHashJoin" in made) == sent and ("SortMergeJoin" in made) == (not sent)
+
+
+def test_no_answer_for_all_maps_is_sent(spark):
+    from trailweave.operators import alike
+
+    names = spark.createDataFrame([("a", "a"), ("b", "a")], "workflow string, like string")
+    found = alike.for_all(spark.createDataFrame([("a", 1)], "workflow string, n int"), names)
+    assert sorted(map(tuple, found.collect())) == [("a", 1), ("b", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stage_hits_are_ways_of_their_stages(spark):
+    """What runs took, without a listing, is what the listing marks as covered; big stages' hits are told, too."""
+    maps = {"a": chain(9), "b": {"J1": ("if", {"true": "J2", "false": "J3"}), "J2": ("if", {"true": "J3", "false": BAD}), "J3": ("if", {"true": OK, "false": BAD})}}
+    all_rows = rows(maps)
+    e = exits(spark, all_rows)
+    found = stages.stages(e, 4)
+    of = stages.stage_map(e, stages.members(e, found))
+    taken = [(w, steps, end, n + 1) for w in maps for n, (steps, end) in enumerate(plain_paths([r for r in all_rows if r[0] == w])[::3])]
+    runs = spark.createDataFrame(taken, "workflow string, steps array<string>, end string, runs long")
+    columns = ["workflow", "stage", "key", "runs"]
+    listed = stages.stage_results(stages.stage_paths(e, found, 4), runs, of).where("covered").select(*columns)
+    hits = stages.stage_hits(runs, of).join(found.where("not big"), ["workflow", "stage"]).select(*columns)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, listed.collect())) != []
+    per_stage = stages.stage_hits(runs, of).where("workflow = 'a'").groupBy("stage").agg(F.sum("runs").alias("n")).collect()
+    assert {r.n for r in per_stage} == {sum(n for w, *_, n in taken if w == "a")}
+
+
+def test_stage_runs_lists_no_ways(spark, monkeypatch):
+    from trailweave.plans import queries
+
+    monkeypatch.setattr(stages, "stage_paths", None)
+    held = []
+    monkeypatch.setattr(queries.stages, "stage_hits", lambda runs, of, hits=stages.stage_hits: held.append(runs) or hits(runs, of))
+    found = queries.stage_runs(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["workflow", "stage", "key", "runs"] and found.count() > 0 and len(held) == 1
