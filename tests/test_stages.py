@@ -266,3 +266,28 @@ def test_stage_runs_lists_no_ways(spark, monkeypatch):
     monkeypatch.setattr(queries.stages, "stage_hits", lambda runs, of, hits=stages.stage_hits: held.append(runs) or hits(runs, of))
     found = queries.stage_runs(spark, "/root/testdata/sf0.001")
     assert found.columns == ["workflow", "stage", "key", "runs"] and found.count() > 0 and len(held) == 1
+
+
+def test_stage_totals_looks_into_capped_maps_only(spark, monkeypatch):
+    """Neither ways nor runs of maps whose paths are all listed are made."""
+    from trailweave.plans import queries
+    from trailweave.plans.adapters import customer_exits
+
+    sf, seen = "/root/testdata/sf0.001", {}
+
+    def noted(name, at):
+        whole = getattr(stages, name)
+
+        def run(*given):
+            seen[name] = {r[0] for r in given[at].select("workflow").distinct().collect()}
+            return whole(*given)
+
+        monkeypatch.setattr(stages, name, run)
+
+    noted("stage_paths", 0)
+    noted("stage_results", 1)
+    found = {r.workflow for r in queries.stage_totals(spark, sf).collect()}
+    counts = {r.workflow: int(r.paths) for r in roads.path_counts(customer_exits(spark, sf)).collect()}
+    capped = {w for w, n in counts.items() if n > paths.CAP}
+    assert found == capped and 0 < len(capped) < len(counts)
+    assert seen["stage_paths"] <= capped and seen["stage_results"] <= capped
